@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphsets.functions.text import WHITESPACE
 
@@ -51,7 +52,7 @@ def canonical_ascii(answer: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark SQL has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

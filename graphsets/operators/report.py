@@ -190,15 +190,20 @@ def eval_subset(rows: DataFrame, cap: int, example_id: str, seed: int) -> DataFr
     return lowest(drawn, [], "_draw", [example_id], cap).drop("_draw").orderBy(example_id)
 
 
-def natural_order(rows: DataFrame, name: str, prefix: str) -> DataFrame:
-    """Sort names that end in ``prefix<digits>`` by that number and before all others."""
+def natural_keys(rows: DataFrame, name: str, prefix: str) -> tuple[DataFrame, list[str]]:
+    """Sort columns that put names ending in ``prefix<digits>`` first, by that number."""
     digits = F.regexp_extract(name, prefix + r"(\d+)$", 1)
     numbered = digits != ""
-    return rows.orderBy(
-        F.when(numbered, 0).otherwise(1),
-        F.when(numbered, digits.cast("decimal(38,0)")),
-        name,
+    keyed = rows.withColumn("_plain", F.when(numbered, 0).otherwise(1)).withColumn(
+        "_number", F.when(numbered, digits.cast("decimal(38,0)"))
     )
+    return keyed, ["_plain", "_number", name]
+
+
+def natural_order(rows: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Rows sorted by the number at the end of the name, other names behind."""
+    keyed, order = natural_keys(rows, name, prefix)
+    return keyed.orderBy(*order).drop("_plain", "_number")
 
 
 def _stat_row(lengths: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def pass_at_k_table(examples: DataFrame, max_k: int) -> DataFrame:
     those few pairs.
     """
     pairs = examples.groupBy("samples", "correct").agg(F.count(F.lit(1)).alias("_n"))
-    ks = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k))).cast("bigint"))
+    ks = pairs.withColumn("k", F.explode(F.expr(f"sequence(1L, {int(max_k)}L)")))
     value = pass_at_k(F.col("samples"), F.col("correct"), F.col("k"))
     return ks.groupBy("k").agg((F.sum(value * F.col("_n")) / F.sum("_n")).alias("pass_at_k"))
 

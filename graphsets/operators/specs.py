@@ -45,7 +45,7 @@ def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool =
             .withColumn("observed_ords", F.array_append("observed_ords", F.col("_o")))
             .drop("_e", "_o")
         )
-        sizes.append(grown.withColumn("obs_size", F.lit(size)))
+        sizes.append(grown.withColumn("obs_size", F.lit(size).cast("bigint")))
     return reduce(DataFrame.unionByName, sizes)
 
 
