@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,18 +55,15 @@ def canonical_ascii(answer: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark SQL has no function for."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def with_nfkc(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NFKC-normalise columns; only rows that hold non-ASCII text reach Python."""
-    plain = F.lit(True)
-    for name in columns:
-        plain = plain & ~F.coalesce(F.col(name).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    rest = df.filter(~plain)
-    for name in columns:
-        rest = rest.withColumn(name, nfkc(name))
-    return df.filter(plain).unionByName(rest)
+    if text.isna().all():
+        return text
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def normal_form(text: Column) -> Column:
+    """NFKC in one pass: Python gets nulls in place of the ASCII texts it cannot change."""
+    other = F.when(F.octet_length(text) != F.char_length(text), text)
+    return F.coalesce(nfkc(other), text)
 
 
 def pass_at_k(samples: Column, correct: Column, k: Column) -> Column:

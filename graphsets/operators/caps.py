@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
-from graphsets.operators.ranking import draw_ranked, lowest
+from graphsets.operators.ranking import lowest, nth_row
 from graphsets.session import durable, small_side
 
 CONDITION = ["graph_idx", "query_entity", "observed_entities", "observed_values"]
@@ -96,7 +96,6 @@ def saturation_points(
     Each round settles the label that fills up first and drops the later rows
     that carry it; there are at most as many rounds as labels.
     """
-    place = F.struct(F.col(drawn).alias("d"), F.col(row_key).alias("k"))
     prefix = lowest(
         df.select(
             F.col(split).alias("split"),
@@ -113,7 +112,7 @@ def saturation_points(
         each = live.select("split", F.explode("labels").alias("label"), "d", "k")
         if settled is not None:
             each = each.join(settled.select("split", "label"), ["split", "label"], "left_anti")
-        full = draw_ranked(each, ["split", "label"], "d", ["k"]).filter(F.col("rank") == cap)
+        full = nth_row(each, ["split", "label"], "d", ["k"], cap)
         first = durable(
             full.withColumn("at", place)
             .groupBy("split")

@@ -148,42 +148,79 @@ def pair_relations(pairs: DataFrame, related: DataFrame) -> DataFrame:
     )
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add ``component_root`` (smallest member) and ``component_id`` (dense per graph).
+def _star_round(pairs: DataFrame) -> DataFrame:
+    """Move every (high, low) pair closer to the smallest node of its component.
 
-    Smallest-label rounds with pointer jumping: after taking the smallest label
-    around a node, the node also takes the label of that label.
+    First each node hands its smallest neighbour to its larger neighbours, then
+    to its smaller ones. The pairs never get more than they were.
     """
-    there = edges.select("graph_idx", F.col("parent").alias("entity"), F.col("child").alias("near"))
-    back = edges.select("graph_idx", F.col("child").alias("entity"), F.col("parent").alias("near"))
-    links = durable(there.unionByName(back).distinct())
-    labels = nodes.select("graph_idx", "entity", F.col("entity").alias("label"))
-    while True:
-        offered = links.join(
-            labels.withColumnRenamed("entity", "near"), ["graph_idx", "near"]
-        ).select("graph_idx", "entity", "label", F.lit(None).cast("string").alias("was"))
-        lower = (
-            labels.withColumn("was", F.col("label"))
-            .unionByName(offered)
-            .groupBy("graph_idx", "entity")
-            .agg(F.min("label").alias("label"), F.min("was").alias("was"))
-        )
-        hop = labels.select("graph_idx", F.col("entity").alias("label"), F.col("label").alias("_next"))
-        lower = durable(
-            lower.join(hop, ["graph_idx", "label"]).select(
-                "graph_idx", "entity", F.col("_next").alias("label"), "was"
-            )
+    swapped = pairs.select("graph_idx", F.col("low").alias("high"), F.col("high").alias("low"))
+    both = pairs.unionByName(swapped).withColumnsRenamed({"high": "node", "low": "near"})
+    smallest = both.groupBy("graph_idx", "node").agg(
+        F.least("node", F.min("near")).alias("low")
+    )
+    outward = (
+        both.filter(F.col("near") > F.col("node"))
+        .join(smallest, ["graph_idx", "node"])
+        .select("graph_idx", F.col("near").alias("high"), "low")
+        .distinct()
+    )
+    centre = outward.groupBy("graph_idx", "high").agg(F.min("low").alias("_centre"))
+    inward = outward.join(centre, ["graph_idx", "high"]).select(
+        "graph_idx",
+        F.when(F.col("low") == F.col("_centre"), F.col("high")).otherwise(F.col("low")).alias("high"),
+        F.col("_centre").alias("low"),
+    )
+    # A high node that loses its only smaller link keeps its centre.
+    kept = centre.select("graph_idx", "high", F.col("_centre").alias("low"))
+    return inward.unionByName(kept).distinct()
+
+
+def _not_star(pairs: DataFrame) -> DataFrame:
+    """Nodes with two lower ends, or that are a lower and an upper end."""
+    ends = pairs.select("graph_idx", F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(
+        pairs.select("graph_idx", F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return (
+        ends.groupBy("graph_idx", "node")
+        .agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        .filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))
+    )
+
+
+def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_idx, entity, component_root): the smallest node of each weak component.
+
+    Alternates between handing smallest neighbours outward and inward until
+    every component is a star around its smallest node. Rounds grow with the
+    logarithm of a component's size, not with its diameter.
+    """
+    pairs = durable(
+        edges.filter(F.col("parent") != F.col("child"))
+        .select(
+            "graph_idx",
+            F.greatest("parent", "child").alias("high"),
+            F.least("parent", "child").alias("low"),
         )
-        done = lower.filter(F.col("label") != F.col("was")).isEmpty()
-        labels = lower.drop("was")
-        if done:
-            break
-    roots = labels.select("graph_idx", F.col("label").alias("component_root")).distinct()
-    numbered = group_indexed(roots, ["graph_idx"], ["component_root"], "component_id")
-    members = labels.withColumnRenamed("label", "component_root").join(
-        numbered, ["graph_idx", "component_root"]
+        .distinct()
     )
-    return nodes.join(members, ["graph_idx", "entity"])
+    while not _not_star(pairs).isEmpty():
+        pairs = durable(_star_round(pairs))
+    found = pairs.select("graph_idx", F.col("high").alias("entity"), F.col("low").alias("_root"))
+    return nodes.select("graph_idx", "entity").join(found, ["graph_idx", "entity"], "left").select(
+        "graph_idx", "entity", F.coalesce("_root", "entity").alias("component_root")
+    )
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add ``component_root`` (smallest member) and ``component_id`` (dense per graph)."""
+    members = durable(component_roots(nodes, edges))
+    roots = members.filter(F.col("entity") == F.col("component_root")).select(
+        "graph_idx", "component_root"
+    )
+    numbered = group_indexed(roots, ["graph_idx"], ["component_root"], "component_id")
+    return nodes.join(members.join(numbered, ["graph_idx", "component_root"]), ["graph_idx", "entity"])
 
 
 def _indegrees(edges: DataFrame) -> DataFrame:

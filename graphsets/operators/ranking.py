@@ -66,6 +66,21 @@ def lowest(df: DataFrame, keys: list[str], drawn: str, tie: list[str], keep) ->
     return _number(joined, keys, [drawn, *tie], "_rank").filter(F.col("_rank") <= keep).drop("_rank")
 
 
+def nth_row(df: DataFrame, keys: list[str], drawn: str, tie: list[str], position: int) -> DataFrame:
+    """The row at a 1-based position of each group's draw order, if there is one.
+
+    Only the one bucket of a group that holds the position is sorted.
+    """
+    tagged = df.withColumn("_bucket", draw_bucket(F.col(drawn)))
+    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket"))
+    home = counts.withColumn("_before", upto - F.col("_rows")).filter(
+        (F.col("_before") < position) & (F.col("_before") + F.col("_rows") >= position)
+    )
+    joined = tagged.join(home.drop("_rows"), [*keys, "_bucket"])
+    return _number(joined, keys, [drawn, *tie], "_rank").filter(F.col("_rank") == position).drop("_rank")
+
+
 def indexed(df: DataFrame, order: list, out: str = "row_idx") -> DataFrame:
     """Add the 0-based position in the order of the columns ``order`` (a total order).
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsets.functions.answers import canonical_ascii, last_boxed, pass_at_k, with_nfkc
+from graphsets.functions.answers import canonical_ascii, last_boxed, normal_form, pass_at_k
 
 
 def columns_to_rows(generations: DataFrame) -> DataFrame:
@@ -32,8 +32,7 @@ def rows_to_columns(samples: DataFrame) -> DataFrame:
 
 def canonical_answers(df: DataFrame, source: str, out: str) -> DataFrame:
     """Add ``out``, the comparable form of the answers in ``source``."""
-    copied = with_nfkc(df.withColumn(out, F.col(source)), [out])
-    return copied.withColumn(out, canonical_ascii(F.col(out)))
+    return df.withColumn(out, canonical_ascii(normal_form(F.col(source))))
 
 
 def score_samples(samples: DataFrame) -> DataFrame:
@@ -42,19 +41,15 @@ def score_samples(samples: DataFrame) -> DataFrame:
     A sample without a box is wrong.
     """
     read = samples.withColumn("prediction", last_boxed(F.col("generated_text")))
-    both = with_nfkc(
-        read.withColumn("canonical_prediction", F.col("prediction")).withColumn(
-            "canonical_answer", F.col("answer")
-        ),
-        ["canonical_prediction", "canonical_answer"],
-    )
-    right = F.col("prediction").isNotNull() & (
-        F.col("canonical_prediction") == F.col("canonical_answer")
+    normal = read.withColumns(
+        {"_p": normal_form(F.col("prediction")), "_a": normal_form(F.col("answer"))}
     )
+    right = F.col("canonical_prediction") == F.col("canonical_answer")
     return (
-        both.withColumn("canonical_prediction", canonical_ascii(F.col("canonical_prediction")))
-        .withColumn("canonical_answer", canonical_ascii(F.col("canonical_answer")))
+        normal.withColumn("canonical_prediction", canonical_ascii(F.col("_p")))
+        .withColumn("canonical_answer", canonical_ascii(F.col("_a")))
         .withColumn("correct", F.coalesce(right, F.lit(False)).cast("bigint"))
+        .drop("_p", "_a")
     )
 
 
