@@ -301,7 +301,7 @@ UNION ALL SELECT * REPLACE (row_key || '|copy1' AS row_key) FROM explanation_row
 UNION ALL SELECT * FROM instruction_rows"""
 
 LINE_KEY = """concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT,
-  round(l_extendedprice * 100)::BIGINT, strftime(l_shipdate, '%Y%m%d'))"""
+  floor(l_extendedprice * 100 + 0.5)::BIGINT, date_diff('day', DATE '1970-01-01', l_shipdate::DATE))"""
 
 CTES["lines"] = f"""
 SELECT row_key, l_returnflag AS split, l_linestatus AS key, l_suppkey AS supplier,

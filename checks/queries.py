@@ -286,12 +286,12 @@ def instruction_examples(spark, sf):
 
 
 def cap_by_key(spark, sf):
-    lines = star.lines(spark, sf)
+    lines = star.lines(spark, sf).select("split", "key", "row_key")
     return caps.cap_by_key(lines, KEY_CAP, ["split", "key"], "row_key", SEED).select("split", "key", "row_key")
 
 
 def cap_multilabel(spark, sf):
-    lines = star.lines(spark, sf)
+    lines = star.lines(spark, sf).select("split", "inference_types", "row_key")
     return caps.cap_multilabel(lines, LABEL_CAP, "row_key", SEED).select(
         "split", joined("inference_types"), "row_key"
     )
@@ -422,15 +422,17 @@ def eval_split_fanout(spark, sf):
 
 
 def example_index(spark, sf):
-    return report.example_index(star.lines(spark, sf), ["row_key"]).select("split", "row_key", "example_id")
+    rows = star.lines(spark, sf).select("split", "row_key")
+    return report.example_index(rows, ["row_key"]).select("split", "row_key", "example_id")
 
 
 def seeded_shuffle(spark, sf):
-    return report.seeded_shuffle(star.lines(spark, sf), "row_key", SEED).select("row_key", "position")
+    rows = star.lines(spark, sf).select("row_key")
+    return report.seeded_shuffle(rows, "row_key", SEED).select("row_key", "position")
 
 
 def stride_sample(spark, sf):
-    return report.stride_sample(star.lines(spark, sf), ["row_key"], 2000).select("row_key")
+    return report.stride_sample(star.lines(spark, sf).select("row_key"), ["row_key"], 2000)
 
 
 def natural_order(spark, sf):
@@ -527,7 +529,7 @@ def boxed_extract_last(spark, sf):
 
 def _stated(spark, sf):
     """Answers in many wordings, one per line item."""
-    form = draw(SEED, "wording", "row_key") % 8
+    form = F.col("_form")
     one, two = F.col("supplier").cast("string"), F.col("key")
     wording = (
         F.when(form == 0, F.concat(F.lit("Option ("), F.col("split"), F.lit(").")))
@@ -539,7 +541,8 @@ def _stated(spark, sf):
         .when(form == 6, F.concat(two, F.lit("\n and "), two, F.lit(" Are Independent")))
         .otherwise(F.concat(F.lit("no"), two))
     )
-    return star.lines(spark, sf).select("row_key", wording.alias("answer"))
+    formed = star.lines(spark, sf).withColumn("_form", draw(SEED, "wording", "row_key") % 8)
+    return formed.select("row_key", wording.alias("answer"))
 
 
 def canonicalize_answers(spark, sf):

@@ -96,16 +96,16 @@ def saturation_points(
     Each round settles the label that fills up first and drops the later rows
     that carry it; there are at most as many rounds as labels.
     """
-    prefix = lowest(
+    # Only the draws and labels are read twice, not the rows they came from.
+    narrow = durable(
         df.select(
             F.col(split).alias("split"),
             F.array_sort(labels).alias("labels"),
             F.col(drawn).alias("d"),
             F.col(row_key).alias("k"),
-        ).withColumn("_set", F.array_join("labels", "|")),
-        ["split", "_set"], "d", ["k"], cap,
+        ).withColumn("_set", F.array_join("labels", "|"))
     )
-    live = durable(prefix.drop("_set"))
+    live = durable(lowest(narrow, ["split", "_set"], "d", ["k"], cap).drop("_set"))
     place = F.struct("d", "k")
     settled = None
     while True:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import chance, draw
+from graphsets.operators.pairing import pair_members
 from graphsets.operators.ranking import group_indexed
 from graphsets.session import durable
 
@@ -21,7 +22,7 @@ def candidate_edges(nodes: DataFrame, edge_prob: float, seed: int) -> DataFrame:
     earlier = nodes.select("graph_idx", F.col("entity").alias("parent"), F.col("ord").alias("_a"))
     later = nodes.select("graph_idx", F.col("entity").alias("child"), F.col("ord").alias("_b"))
     return (
-        earlier.join(later, "graph_idx")
+        pair_members(earlier, later, ["graph_idx"], "parent")
         .filter(F.col("_a") < F.col("_b"))
         .filter(chance(edge_prob, draw(seed, "edge", "graph_idx", "parent", "child")))
         .select("graph_idx", "parent", "child")
@@ -138,7 +139,7 @@ def ordered_pairs(nodes: DataFrame, per_component: bool = False) -> DataFrame:
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
     first = nodes.select(*on, F.col("entity").alias("first"))
     second = nodes.select(*on, F.col("entity").alias("second"))
-    return first.join(second, on).filter(F.col("first") != F.col("second"))
+    return pair_members(first, second, on, "first").filter(F.col("first") != F.col("second"))
 
 
 def pair_relations(pairs: DataFrame, related: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
+from graphsets.operators.pairing import copied, salted
 from graphsets.operators.ranking import bucket_ranked
 from graphsets.schema import INFERENCE_PRIORITY
-from graphsets.session import durable
+from graphsets.session import durable, spread
 
 CHUNK = 1 << 16
 
@@ -24,28 +25,30 @@ def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool =
 
     Columns graph_idx, [component_id,] query_entity, query_ord, obs_size,
     observed_entities, observed_ords. The sets are the result asked for; one
-    self join per slot with rising ``ord`` yields each once.
+    self join per slot with rising ``ord`` yields each once. All slots reuse the
+    partitioning by group and salt of the query.
     """
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
-    grown = nodes.select(
+    queries = nodes.select(
         *on,
         F.col("entity").alias("query_entity"),
         F.col("ord").alias("query_ord"),
         F.array().cast("array<string>").alias("observed_entities"),
         F.array().cast("array<bigint>").alias("observed_ords"),
     )
+    grown = salted(queries, on, "query_entity")
     sizes = []
     for size in range(1, max_obs_size + 1):
         slot = nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o"))
         rising = F.lit(True) if size == 1 else F.col("_o") > F.col("observed_ords")[size - 2]
         grown = (
-            grown.join(slot, on)
+            grown.join(copied(slot), [*on, "_salt"])
             .filter(rising & (F.col("_o") != F.col("query_ord")))
             .withColumn("observed_entities", F.array_append("observed_entities", F.col("_e")))
             .withColumn("observed_ords", F.array_append("observed_ords", F.col("_o")))
             .drop("_e", "_o")
         )
-        sizes.append(grown.withColumn("obs_size", F.lit(size).cast("bigint")))
+        sizes.append(grown.drop("_salt").withColumn("obs_size", F.lit(size).cast("bigint")))
     return reduce(DataFrame.unionByName, sizes)
 
 
@@ -114,10 +117,10 @@ def _attempts(groups: DataFrame, seed: int) -> DataFrame:
     """
     chunks = groups.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("tries") - 1) / CHUNK)))
-    ).repartition("graph_idx", "world_id", "_chunk")
+    )
     start = F.col("_chunk") * CHUNK
     stop = F.least(start + CHUNK, F.col("tries")) - 1
-    tried = chunks.withColumn("_try", F.explode(F.sequence(start, stop)))
+    tried = spread(chunks, "graph_idx", "world_id", "_chunk").withColumn("_try", F.explode(F.sequence(start, stop)))
     ordinal = draw(seed, "spec", "graph_idx", "world_id", "_try") % F.col("n")
     return (
         tried.withColumn("spec_ord", ordinal)
@@ -130,7 +133,9 @@ def _first_distinct(groups: DataFrame, seed: int) -> DataFrame:
     """The first ``want`` distinct ordinals of each group's endless draw sequence."""
     found, factor = [], 1
     while True:
-        tries = ((F.col("want") * 3 / 2 + 64) * factor).cast("bigint")
+        # A quarter more than the expected number of draws, and a few; the loop covers bad luck.
+        expected = -F.col("n") * F.ln(1 - F.col("want") / F.col("n"))
+        tries = ((expected * 1.25 + 8) * factor).cast("bigint")
         tried = _attempts(groups.withColumn("tries", tries), seed)
         ranked = durable(
             bucket_ranked(
@@ -169,9 +174,13 @@ def sample_per_world(specs: DataFrame, num_worlds: int, ratio: float, seed: int)
     if not direct.isEmpty():
         drawn.append(_first_distinct(direct, seed))
     if not inverse.isEmpty():
-        every = specs.select("graph_idx", "spec_ord").join(
-            inverse.select("graph_idx", "world_id"), "graph_idx"
-        ).select("graph_idx", "world_id", "spec_ord")
+        numbers = specs.select("graph_idx", "spec_ord")
+        every = spread(numbers, "graph_idx", "spec_ord").withColumn(
+            "world_id", F.explode(F.expr(f"sequence(0L, {num_worlds - 1}L)"))
+        )
+        every = every.join(inverse.select("graph_idx").distinct(), "graph_idx", "left_semi").select(
+            "graph_idx", "world_id", "spec_ord"
+        )
         partial = inverse.withColumn("want", F.col("n") - F.col("keep")).filter("want > 0")
         if not partial.isEmpty():
             left_out = _first_distinct(partial, seed)

@@ -120,37 +120,33 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-
-
 def line_key() -> F.Column:
-    """A name for a line; integers and whole cents, so that engines print it alike."""
+    """A name for a line; integers, whole cents and days, so that engines print it alike."""
     return F.concat_ws(
         "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        F.col("l_quantity").cast("bigint"), F.floor(F.col("l_extendedprice") * 100 + 0.5),
+        F.datediff("l_shipdate", F.lit("1970-01-01")),
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as labelled rows: one to three distinct labels each."""
-    extra = draw(SEED, "label", "row_key") % 4
-    labels = F.array_compact(
-        F.array(
-            "l_linestatus",
-            F.when(extra >= 2, F.lit("X")),
-            F.when(extra == 3, F.lit("Y")),
-        )
+    extra = F.col("_extra")
+    more = (
+        F.when(extra == 3, F.array(F.lit("X"), F.lit("Y")))
+        .when(extra == 2, F.array(F.lit("X")))
+        .otherwise(F.array().cast("array<string>"))
     )
     return (
         table(spark, sf_dir, "lineitem")
         .withColumn("row_key", line_key())
+        .withColumn("_extra", draw(SEED, "label", "row_key") % 4)
         .select(
             "row_key",
             F.col("l_returnflag").alias("split"),
             F.col("l_linestatus").alias("key"),
             F.col("l_suppkey").alias("supplier"),
-            labels.alias("inference_types"),
+            F.concat(F.array("l_linestatus"), more).alias("inference_types"),
         )
     )
 
@@ -166,7 +162,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("answer"),
         F.col("o_orderpriority").alias("primary_inference_type"),
     )
-    form = draw(SEED, "form", "row_key") % 10
+    form = F.col("_form")
     said = F.col("l_linestatus")
     wording = (
         F.when(form == 0, F.concat(F.lit("I think it is "), said))
@@ -178,6 +174,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     generated = (
         table(spark, sf_dir, "lineitem")
         .withColumn("row_key", line_key())
+        .withColumn("_form", draw(SEED, "form", "row_key") % 10)
         .select(F.col("l_orderkey").alias("example_id"), "row_key", wording.alias("generated_text"))
     )
     return orders.join(generated, "example_id")

@@ -42,6 +42,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partition before a step whose output dwarfs its input.
+
+    The count is ``spark.sql.shuffle.partitions`` and is not coalesced, as the
+    input's few bytes say nothing about the output.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Compute a join side once; broadcast it only if its counted size allows."""
     kept = durable(df)
