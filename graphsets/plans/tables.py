@@ -15,7 +15,7 @@ from graphsets.functions.draws import chance, draw
 from graphsets.functions.text import boxed
 from graphsets.operators import graph
 from graphsets.plans.dataset import DatasetBuilder, DatasetConfig, GraphTables, prepare_nodes
-from graphsets.session import durable
+from graphsets.session import durable, spread
 
 BLOCK = 20
 SEED = 42
@@ -39,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_scan(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a table that is stored in fewer splits than there are cores.
+
+    A large table has more splits than cores and is read as it lies.
+    """
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return spread(df, *columns) if few else df
+
+
 def entity(key) -> F.Column:
     """Text order equals key order."""
     return F.concat(F.lit("P"), F.lpad(key.cast("string"), 9, "0"))
@@ -129,6 +138,15 @@ def line_key() -> F.Column:
     )
 
 
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their name as ``row_key``."""
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_shipdate", "l_returnflag", "l_linestatus",
+    )
+    return wide_scan(items, "l_orderkey", "l_partkey", "l_suppkey").withColumn("row_key", line_key())
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as labelled rows: one to three distinct labels each."""
     extra = F.col("_extra")
@@ -138,8 +156,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     return (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("row_key", line_key())
+        _line_items(spark, sf_dir)
         .withColumn("_extra", draw(SEED, "label", "row_key") % 4)
         .select(
             "row_key",
@@ -172,8 +189,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("The answer is "), boxed(said), F.lit(".")))
     )
     generated = (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("row_key", line_key())
+        _line_items(spark, sf_dir)
         .withColumn("_form", draw(SEED, "form", "row_key") % 10)
         .select(F.col("l_orderkey").alias("example_id"), "row_key", wording.alias("generated_text"))
     )
