@@ -298,8 +298,7 @@ def cap_multilabel(spark, sf):
 
 
 def cap_component_bin(spark, sf):
-    b = tables(spark, sf).builder(**COMPONENT)
-    rows = caps.cap_component_bin(b.observation_rows(), BIN_CAP, "row_key", SEED)
+    rows = tables(spark, sf).builder(**COMPONENT).bin_capped()
     return rows.select("graph_idx", "component_id", "row_key", "answer")
 
 

@@ -48,42 +48,45 @@ def conditional_probability(rows: DataFrame) -> DataFrame:
 
 
 def probability_bins(rows: DataFrame) -> DataFrame:
-    """Add ``probability_bin``: "0".."9", or "unobserved" without train rows."""
-    table = durable(conditional_probability(rows))
-    condition = table.select(*CONDITION, "condition_count").distinct()
-    value = table.select(*CONDITION, "answer", "value_count")
-    decile = F.least(
-        F.floor(F.coalesce("value_count", F.lit(0)) / F.col("condition_count") * 10), F.lit(9)
+    """Add ``probability_bin``: "0".."9", or "unobserved" without train rows.
+
+    All wordings of an observation share its bin, so this may run before they
+    are fanned out. One join; a condition has as many map entries as answers
+    (true and false).
+    """
+    seen = conditional_probability(rows).groupBy(*CONDITION).agg(
+        F.max("condition_count").alias("_all"),
+        F.map_from_entries(F.collect_list(F.struct("answer", "value_count"))).alias("_by_answer"),
     )
+    value = F.coalesce(F.try_element_at("_by_answer", F.col("answer")), F.lit(0))
+    decile = F.least(F.floor(value / F.col("_all") * 10), F.lit(9))
     return (
-        rows.join(condition, CONDITION, "left")
-        .join(value, [*CONDITION, "answer"], "left")
+        rows.join(seen, CONDITION, "left")
         .withColumn(
             "probability_bin",
-            F.when(F.col("condition_count").isNull(), "unobserved").otherwise(decile.cast("string")),
+            F.when(F.col("_all").isNull(), "unobserved").otherwise(decile.cast("string")),
         )
-        .drop("condition_count", "value_count")
+        .drop("_all", "_by_answer")
     )
 
 
 def cap_component_bin(rows: DataFrame, cap: int | None, row_key: str, seed: int) -> DataFrame:
     """At most ``cap`` train rows per (graph, component, decile); other rows pass.
 
-    Deciles come from the rows before the cap. ``rows`` holds component_id, the
-    component of the query entity.
+    Deciles come from the rows before the cap, unless ``rows`` already holds
+    ``probability_bin``. Column component_id is the query entity's component.
     """
     _check(cap)
     if cap is None:
         return rows
-    binned = durable(
-        probability_bins(rows).withColumn("_draw", draw(seed, "cap_bin", row_key))
-    )
+    binned = rows if "probability_bin" in rows.columns else durable(probability_bins(rows))
+    tagged = binned.withColumn("_draw", draw(seed, "cap_bin", row_key))
     kept = lowest(
-        binned.filter(F.col("split") == "train"),
+        tagged.filter(F.col("split") == "train"),
         ["graph_idx", "component_id", "probability_bin"], "_draw", [row_key], cap,
     )
-    passed = binned.filter(F.col("split") != "train")
-    return kept.unionByName(passed).drop("_draw", "probability_bin")
+    passed = tagged.filter(F.col("split") != "train")
+    return kept.unionByName(passed).select(*rows.columns)
 
 
 def saturation_points(

@@ -161,7 +161,12 @@ class DatasetBuilder:
         )
 
     def observation_rows(self) -> DataFrame:
-        return examples.observation_rows(self.observed(), self.config.num_observation_templates)
+        """Narrow observation rows; with their deciles if a cap needs them."""
+        rows = self.observed()
+        if self.config.max_observations_per_component_probability_bin is not None:
+            trained = rows.withColumn("split", F.lit("train"))
+            rows = self._once("binned", lambda: caps.probability_bins(trained))
+        return examples.observation_rows(rows, self.config.num_observation_templates)
 
     def explanation_rows(self) -> DataFrame:
         c = self.config
@@ -173,12 +178,17 @@ class DatasetBuilder:
             ),
         )
 
+    def bin_capped(self) -> DataFrame:
+        cap = self.config.max_observations_per_component_probability_bin
+        rows = self.observation_rows()
+        if cap is None:
+            return rows
+        return self._once("bin_capped", lambda: caps.cap_component_bin(rows, cap, "row_key", self.config.seed))
+
     def capped(self) -> tuple[DataFrame, DataFrame]:
         """Narrow observation and explanation rows after the caps, in this order."""
         c = self.config
-        observations = caps.cap_component_bin(
-            self.observation_rows(), c.max_observations_per_component_probability_bin, "row_key", c.seed
-        )
+        observations = self.bin_capped()
         observations = caps.cap_multilabel(observations, c.max_observations, "row_key", c.seed)
         explanations = caps.cap_by_key(
             self.explanation_rows(), c.max_explanations, ["split", "explanation_type"], "row_key", c.seed
