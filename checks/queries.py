@@ -166,12 +166,12 @@ def entity_split_counts(spark, sf):
 
 
 def observation_specs(spark, sf):
-    found = specs.number_specs(specs.observation_specs(star.nodes(spark, sf), 2))
+    found = specs.observation_specs(star.nodes(spark, sf), 2)
     return found.select("graph_idx", "query_entity", "obs_size", joined("observed_entities"), "spec_ord")
 
 
 def component_specs(spark, sf):
-    found = specs.number_specs(specs.observation_specs(tables(spark, sf).nodes(), 2, True))
+    found = specs.observation_specs(tables(spark, sf).nodes(), 2, True)
     return found.select(
         "graph_idx", "component_id", "query_entity", "obs_size", joined("observed_entities"), "spec_ord"
     )

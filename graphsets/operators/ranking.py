@@ -46,6 +46,23 @@ def bucket_ranked(
     return _number(tagged.join(_offsets(tagged, keys, total), [*keys, "_bucket"]), keys, order, out)
 
 
+def running_before(
+    df: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows before this one in its group."""
+    tagged = df.withColumn("_bucket", bucket)
+    sums = tagged.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    offsets = sums.select(*keys, "_bucket", (F.sum("_sum").over(across) - F.col("_sum")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    before = F.col("_before") + F.sum(value).over(inside) - F.col(value)
+    return (
+        tagged.join(offsets, [*keys, "_bucket"])
+        .withColumn(out, before.cast("bigint"))
+        .drop("_bucket", "_before")
+    )
+
+
 def draw_ranked(
     df: DataFrame, keys: list[str], drawn: str, tie: list[str], out: str = "rank", total: str = "group_rows"
 ) -> DataFrame:

@@ -8,57 +8,87 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
 from graphsets.operators.pairing import copied, salted
-from graphsets.operators.ranking import bucket_ranked
+from graphsets.operators.ranking import bucket_ranked, running_before
 from graphsets.schema import INFERENCE_PRIORITY
-from graphsets.session import durable, spread
+from graphsets.session import durable, small_side, spread
 
 CHUNK = 1 << 16
+ORD_BUCKET = 1 << 12
+
+
+def _choose(count: Column, size: int) -> Column:
+    """Number of sets of ``size`` out of ``count``."""
+    sets = F.lit(1).cast("bigint")
+    for i in range(size):
+        sets = F.floor(sets * F.greatest(count - i, F.lit(0)) / (i + 1))
+    return sets
+
+
+def _queries(nodes: DataFrame, on: list[str], max_obs_size: int) -> DataFrame:
+    """Every node as a query: ``_others`` to observe and ``_first``, its first spec_ord.
+
+    How many specs a query has follows from the size of its group, so specs are
+    numbered without counting them.
+    """
+    sizes = nodes.groupBy(*on).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    home = [] if "component_id" not in nodes.columns else ["component_id"]
+    queries = nodes.join(sizes, on).select(
+        "graph_idx",
+        *home,
+        F.col("entity").alias("query_entity"),
+        F.col("ord").cast("bigint").alias("query_ord"),
+        "_others",
+        sum((_choose(F.col("_others"), k) for k in range(1, max_obs_size + 1)), F.lit(0)).alias("_specs"),
+    )
+    bucket = F.floor(F.col("query_ord") / ORD_BUCKET)
+    return running_before(queries, ["graph_idx"], bucket, ["query_ord"], "_specs", "_first").drop("_specs")
 
 
 def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool = False) -> DataFrame:
     """Every query with every set of 1..max_obs_size other entities, in ``ord`` order.
 
     Columns graph_idx, [component_id,] query_entity, query_ord, obs_size,
-    observed_entities, observed_ords. The sets are the result asked for; one
-    self join per slot with rising ``ord`` yields each once. All slots reuse the
-    partitioning by group and salt of the query.
+    observed_entities, observed_ords and spec_ord, 0-based and dense per graph
+    (by query, size, observed). The sets are the result asked for: one self join
+    per slot with rising ``ord`` yields each once. Only the nodes are shuffled;
+    slots and numbering keep their partitioning by group and salt of the query.
     """
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
-    queries = nodes.select(
-        *on,
-        F.col("entity").alias("query_entity"),
-        F.col("ord").alias("query_ord"),
-        F.array().cast("array<string>").alias("observed_entities"),
-        F.array().cast("array<bigint>").alias("observed_ords"),
+    grown = (
+        salted(durable(_queries(nodes, on, max_obs_size)), on, "query_entity")
+        .withColumn("observed_entities", F.array().cast("array<string>"))
+        .withColumn("observed_ords", F.array().cast("array<bigint>"))
+    )
+    slot = copied(
+        nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o"))
     )
-    grown = salted(queries, on, "query_entity")
+    one_query = Window.partitionBy(*on, "_salt", "query_ord").orderBy("observed_ords")
     sizes = []
+    smaller = F.lit(0).cast("bigint")
     for size in range(1, max_obs_size + 1):
-        slot = nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o"))
         rising = F.lit(True) if size == 1 else F.col("_o") > F.col("observed_ords")[size - 2]
         grown = (
-            grown.join(copied(slot), [*on, "_salt"])
+            grown.join(slot, [*on, "_salt"])
             .filter(rising & (F.col("_o") != F.col("query_ord")))
             .withColumn("observed_entities", F.array_append("observed_entities", F.col("_e")))
             .withColumn("observed_ords", F.array_append("observed_ords", F.col("_o")))
             .drop("_e", "_o")
         )
-        sizes.append(grown.drop("_salt").withColumn("obs_size", F.lit(size).cast("bigint")))
+        position = F.row_number().over(one_query) - 1
+        sizes.append(
+            grown.withColumn("spec_ord", (F.col("_first") + smaller + position).cast("bigint"))
+            .withColumn("obs_size", F.lit(size).cast("bigint"))
+            .drop("_salt", "_others", "_first")
+        )
+        smaller = smaller + _choose(F.col("_others"), size)
     return reduce(DataFrame.unionByName, sizes)
 
 
-def number_specs(specs: DataFrame) -> DataFrame:
-    """Add ``spec_ord``, 0-based and dense per graph: by query, size, observed."""
-    order = ["query_ord", "obs_size", "observed_ords"]
-    numbered = bucket_ranked(specs, ["graph_idx"], F.col("query_ord"), order, "spec_ord")
-    return numbered.withColumn("spec_ord", F.col("spec_ord") - 1).drop("group_rows")
-
-
 def prioritised(labels: Column) -> Column:
     """Distinct labels in priority order; independent if there is none."""
     priority = F.array(*[F.lit(name) for name in INFERENCE_PRIORITY])
@@ -69,9 +99,10 @@ def prioritised(labels: Column) -> Column:
 def label_specs(specs: DataFrame, related: DataFrame, max_obs_size: int) -> DataFrame:
     """Add ``inference_types`` and ``primary_inference_type``.
 
-    One left join per observed slot with the related pairs; a slot without a
-    relation is independent.
+    One left join per observed slot with the related pairs, which are broadcast
+    if their counted number allows; a slot without a relation is independent.
     """
+    related = small_side(related.select("graph_idx", "first", "second", "relation"))
     out = specs
     slots = []
     for slot in range(max_obs_size):
@@ -115,20 +146,37 @@ def _attempts(groups: DataFrame, seed: int) -> DataFrame:
     Ordinals come in chunks that are spread first, so neither an array nor a
     task grows with a hot graph.
     """
-    chunks = groups.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("tries") - 1) / CHUNK)))
-    )
     start = F.col("_chunk") * CHUNK
     stop = F.least(start + CHUNK, F.col("tries")) - 1
-    tried = spread(chunks, "graph_idx", "world_id", "_chunk").withColumn("_try", F.explode(F.sequence(start, stop)))
     ordinal = draw(seed, "spec", "graph_idx", "world_id", "_try") % F.col("n")
     return (
-        tried.withColumn("spec_ord", ordinal)
+        groups.withColumn("_try", F.explode(F.sequence(start, stop)))
+        .withColumn("spec_ord", ordinal)
         .groupBy("graph_idx", "world_id", "spec_ord")
         .agg(F.min("_try").alias("_try"), F.min("want").alias("want"))
     )
 
 
+def _ranked_attempts(groups: DataFrame, seed: int) -> DataFrame:
+    """Distinct ordinals with their rank by first try, and how many there are."""
+    world = ["graph_idx", "world_id"]
+    most = groups.agg(F.max("tries")).first()[0]
+    if most <= CHUNK:
+        # Few tries per world: all of a world's steps run where its one row lies.
+        local = spread(groups.withColumn("_chunk", F.lit(0).cast("bigint")), *world)
+        one_world = Window.partitionBy(*world)
+        return (
+            _attempts(local, seed)
+            .withColumn("_rank", F.row_number().over(one_world.orderBy("_try")))
+            .withColumn("_distinct", F.count(F.lit(1)).over(one_world))
+        )
+    chunks = groups.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("tries") - 1) / CHUNK)))
+    )
+    tried = durable(_attempts(spread(chunks, *world, "_chunk"), seed))
+    return bucket_ranked(tried, world, F.floor(F.col("_try") / CHUNK), ["_try"], "_rank", "_distinct")
+
+
 def _first_distinct(groups: DataFrame, seed: int) -> DataFrame:
     """The first ``want`` distinct ordinals of each group's endless draw sequence."""
     found, factor = [], 1
@@ -136,20 +184,13 @@ def _first_distinct(groups: DataFrame, seed: int) -> DataFrame:
         # A quarter more than the expected number of draws, and a few; the loop covers bad luck.
         expected = -F.col("n") * F.ln(1 - F.col("want") / F.col("n"))
         tries = ((expected * 1.25 + 8) * factor).cast("bigint")
-        tried = _attempts(groups.withColumn("tries", tries), seed)
         ranked = durable(
-            bucket_ranked(
-                tried, ["graph_idx", "world_id"], F.floor(F.col("_try") / CHUNK), ["_try"],
-                "_rank", "_distinct",
-            )
-        )
-        full = F.col("_distinct") >= F.col("want")
-        found.append(
-            ranked.filter(full & (F.col("_rank") <= F.col("want"))).select(
-                "graph_idx", "world_id", "spec_ord"
-            )
+            _ranked_attempts(groups.withColumn("tries", tries), seed)
+            .filter(F.col("_rank") <= F.col("want"))
+            .select("graph_idx", "world_id", "spec_ord", (F.col("_distinct") >= F.col("want")).alias("_full"))
         )
-        short = ranked.filter(~full).select("graph_idx", "world_id").distinct()
+        found.append(ranked.filter("_full").drop("_full"))
+        short = ranked.filter("NOT _full").select("graph_idx", "world_id").distinct()
         if short.isEmpty():
             return reduce(DataFrame.unionByName, found)
         groups = durable(groups.join(short, ["graph_idx", "world_id"], "left_semi"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -78,6 +78,19 @@ class GraphTables:
     root_words: DataFrame
     instructions: DataFrame
     instruction_order: tuple[str, ...]
+    made: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def closure(self) -> DataFrame:
+        """Reachability; it depends on no setting, so all builders share it."""
+        if "closure" not in self.made:
+            self.made["closure"] = durable(graph.reachability(self.edges))
+        return self.made["closure"]
+
+    def words(self) -> DataFrame:
+        """Packed facts of all nodes, shared as well."""
+        if "words" not in self.made:
+            self.made["words"] = durable(graph.propagate(self.nodes, self.edges, self.root_words))
+        return self.made["words"]
 
 
 def prepare_nodes(nodes: DataFrame, edges: DataFrame, node_or_prob: float, seed: int) -> DataFrame:
@@ -108,14 +121,13 @@ class DatasetBuilder:
         return self._made[name]
 
     def closure(self) -> DataFrame:
-        return self._once("closure", lambda: graph.reachability(self.tables.edges))
+        return self.tables.closure()
 
     def related(self) -> DataFrame:
         return graph.related_pairs(self.closure())
 
     def words(self) -> DataFrame:
-        t = self.tables
-        return self._once("words", lambda: graph.propagate(t.nodes, t.edges, t.root_words))
+        return self.tables.words()
 
     def splits(self) -> DataFrame:
         c = self.config
@@ -132,13 +144,7 @@ class DatasetBuilder:
 
         def make():
             found = specs.observation_specs(self.tables.nodes, c.max_obs_size, c.per_component_data)
-            labelled = specs.label_specs(specs.number_specs(found), self.related(), c.max_obs_size)
-            if c.per_component_data:
-                return labelled
-            home = self.tables.nodes.select(
-                "graph_idx", F.col("entity").alias("query_entity"), "component_id"
-            )
-            return labelled.join(home, ["graph_idx", "query_entity"])
+            return specs.label_specs(found, self.related(), c.max_obs_size)
 
         return self._once("specs", make)
 

@@ -63,7 +63,7 @@ def nodes(spark):
 
 @pytest.mark.parametrize("size,per_component", [(1, False), (2, False), (3, False), (2, True)])
 def test_specs(nodes, size, per_component):
-    rows = specs.number_specs(specs.observation_specs(nodes, size, per_component)).collect()
+    rows = specs.observation_specs(nodes, size, per_component).collect()
     for g in (0, 1, 2):
         names = [e for gg, e, _, _ in NODES if gg == g]
         home = {e: c for _, e, _, c in NODES} if per_component else None
@@ -74,7 +74,7 @@ def test_specs(nodes, size, per_component):
 
 @pytest.mark.parametrize("ratio", [0.0, 0.001, 0.1, 0.4, 0.55, 0.9, 1.0])
 def test_sample_sizes(nodes, ratio):
-    numbered = specs.number_specs(specs.observation_specs(nodes, 2)).cache()
+    numbered = specs.observation_specs(nodes, 2).cache()
     counts = Counter(r.graph_idx for r in numbered.collect())
     rows = specs.sample_per_world(numbered, 9, ratio, 3).collect()
     assert len(set(rows)) == len(rows)
@@ -88,7 +88,7 @@ def test_sample_sizes(nodes, ratio):
 
 
 def test_sample_is_even_and_fresh_per_world(nodes):
-    numbered = specs.number_specs(specs.observation_specs(nodes.filter("graph_idx = 1"), 2)).cache()
+    numbered = specs.observation_specs(nodes.filter("graph_idx = 1"), 2).cache()
     n = numbered.count()
     rows = specs.sample_per_world(numbered, 600, 0.25, 11).collect()
     per_spec = Counter(r.spec_ord for r in rows)
