@@ -38,11 +38,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _tables[name]
 
 
-def forget() -> None:
-    """Make the next query derive its tables anew."""
-    _tables.clear()
-
-
 def joined(column: str):
     return F.array_join(column, "|").alias(column)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
@@ -34,17 +34,17 @@ def cap_by_key(df: DataFrame, cap: int | None, keys: list, row_key: str, seed: i
 def conditional_probability(rows: DataFrame) -> DataFrame:
     """Counts and P(answer | observed values) per condition and answer, over train rows.
 
-    Partial counts before the shuffle; the denominators come from the counts.
+    Rows are counted before the shuffle. The window that adds the denominators
+    holds one row per answer of a condition (true and false).
     """
     counts = (
         rows.filter(F.col("split") == "train")
         .groupBy(*CONDITION, "answer")
         .agg(F.count(F.lit(1)).alias("value_count"))
     )
-    totals = counts.groupBy(*CONDITION).agg(F.sum("value_count").alias("condition_count"))
-    return counts.join(totals, CONDITION).withColumn(
-        "probability", F.col("value_count") / F.col("condition_count")
-    )
+    return counts.withColumn(
+        "condition_count", F.sum("value_count").over(Window.partitionBy(*CONDITION))
+    ).withColumn("probability", F.col("value_count") / F.col("condition_count"))
 
 
 def probability_bins(rows: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from graphsets.functions import text
 from graphsets.functions.templates import fan_out, with_template
 from graphsets.operators.graph import WORD, adjacency, ordered_pairs, pair_relations
 from graphsets.operators.ranking import indexed
-from graphsets.operators.splits import pair_split
+from graphsets.operators.splits import strictest_split
 from graphsets.schema import EXAMPLE_COLUMNS, EXPLANATION_LABEL, INSTRUCTION_LABEL
+from graphsets.session import small_side
 
-SMALL_TAKE = 100_000
 
 
 def _empty() -> Column:
@@ -31,8 +31,10 @@ def observe(sampled: DataFrame, specs: DataFrame, words: DataFrame, max_obs_size
 
     ``sampled(graph_idx, world_id, spec_ord)``, labelled specs and packed facts.
     Adds observed_values and answer ("1"/"0"). One equi join per slot, on
-    (graph, entity, word); facts hold 64 worlds per row.
+    (graph, entity, word); facts hold 64 worlds per row and are broadcast if their
+    counted number allows.
     """
+    words = small_side(words.select("graph_idx", "entity", "word", "bits"))
     rows = sampled.join(specs, ["graph_idx", "spec_ord"]).withColumn(
         "word", F.expr(f"cast(world_id div {WORD} as int)")
     )
@@ -133,9 +135,14 @@ def single_explanations(
 def relationship_explanations(
     nodes: DataFrame, related: DataFrame, splits: DataFrame, num_templates: int, per_component: bool = False
 ) -> DataFrame:
-    """Narrow rows about every ordered pair, in both directions."""
-    pairs = pair_relations(ordered_pairs(nodes, per_component), related)
-    rows = pair_split(pairs, splits).select(
+    """Narrow rows about every ordered pair, in both directions.
+
+    Splits are attached to the nodes, before there are pairs.
+    """
+    owned = nodes.join(splits.select("graph_idx", "entity", "split"), ["graph_idx", "entity"], "left")
+    pairs = pair_relations(ordered_pairs(owned, per_component), related)
+    mentioned = strictest_split(F.col("first_split"), F.col("second_split"))
+    rows = pairs.withColumn("split", mentioned).select(
         "graph_idx",
         F.concat("first", F.lit("->"), "second").alias("query_entity"),
         "first",
@@ -179,10 +186,13 @@ def render_explanations(rows: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: list[str], count: int) -> DataFrame:
-    """The first ``min(count, rows)`` rows of a total order."""
-    if count <= SMALL_TAKE:
-        return df.orderBy(*order).limit(count)
-    return indexed(df, order, "_idx").filter(F.col("_idx") < count).drop("_idx")
+    """The first ``min(count, rows)`` rows of a total order.
+
+    Only the order columns are sorted, by range, so no task takes the heads of
+    all partitions.
+    """
+    head = indexed(df.select(*order), order, "_idx").filter(F.col("_idx") < count)
+    return df.join(small_side(head.drop("_idx")), order, "left_semi")
 
 
 def instruction_rows(source: DataFrame, order: list[str], count: int) -> DataFrame:

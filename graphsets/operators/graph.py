@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphsets.functions.draws import chance, draw
 from graphsets.operators.pairing import pair_members
 from graphsets.operators.ranking import group_indexed
-from graphsets.session import durable
+from graphsets.session import durable, small_side
 
 WORD = 64  # worlds per packed bigint
 
@@ -134,17 +134,22 @@ def related_pairs(closure: DataFrame) -> DataFrame:
 def ordered_pairs(nodes: DataFrame, per_component: bool = False) -> DataFrame:
     """Every ordered pair of different nodes of a graph (or component).
 
-    The pairs are the result asked for, so their number cannot be avoided.
+    The pairs are the result asked for, so their number cannot be avoided. If
+    nodes hold ``split``, pairs hold first_split and second_split.
     """
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
-    first = nodes.select(*on, F.col("entity").alias("first"))
-    second = nodes.select(*on, F.col("entity").alias("second"))
+
+    def side(name):
+        owner = [F.col("split").alias(f"{name}_split")] if "split" in nodes.columns else []
+        return nodes.select(*on, F.col("entity").alias(name), *owner)
+
+    first, second = side("first"), side("second")
     return pair_members(first, second, on, "first").filter(F.col("first") != F.col("second"))
 
 
 def pair_relations(pairs: DataFrame, related: DataFrame) -> DataFrame:
     """Add ``relation`` to pairs (graph_idx, first, second)."""
-    return pairs.join(related, ["graph_idx", "first", "second"], "left").withColumn(
+    return pairs.join(small_side(related), ["graph_idx", "first", "second"], "left").withColumn(
         "relation", F.coalesce("relation", F.lit("independent"))
     )
 

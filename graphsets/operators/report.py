@@ -173,15 +173,10 @@ def seeded_shuffle(rows: DataFrame, row_key: str, seed: int) -> DataFrame:
 def stride_sample(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Every ``max(1, n // size)``-th row and of those the first ``size``; all if n <= size."""
     placed = indexed(rows, order, "_idx")
-    total = rows.agg(_count().alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / size))
-    even = (F.col("_idx") % step == 0) & (F.floor(F.col("_idx") / step) < size)
-    # The joined side is a single count.
-    return (
-        placed.join(F.broadcast(total))
-        .filter((F.col("_n") <= size) | even)
-        .drop("_idx", "_n")
-    )
+    total = placed.count()
+    step = max(1, total // size)
+    even = (F.col("_idx") % step == 0) & (F.col("_idx") < step * size)
+    return (placed if total <= size else placed.filter(even)).drop("_idx")
 
 
 def eval_subset(rows: DataFrame, cap: int, example_id: str, seed: int) -> DataFrame:

@@ -12,18 +12,17 @@ from pyspark.sql import functions as F
 from graphsets.schema import METADATA_SCHEMA
 
 
-def _count_map(counts: DataFrame, key: str) -> DataFrame:
-    """A one-row map over a handful of labels."""
-    return counts.groupBy(key).agg(F.sum("n").alias("n")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(f"{key}_counts")
+def metadata_record(rows: DataFrame, parameters: dict) -> DataFrame:
+    """One row: parameters, rows per split and rows per kind (maps over a few labels)."""
+    counts = rows.groupingSets([["split"], ["kind"]], "split", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("kind").alias("_per_split")
     )
 
+    def counted(key, wanted):
+        entry = F.when(F.col("_per_split") == wanted, F.struct(key, "n"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"{key}_counts")
 
-def metadata_record(rows: DataFrame, parameters: dict) -> DataFrame:
-    """One row: parameters, rows per split and rows per kind."""
-    counts = rows.groupBy("split", "kind").agg(F.count(F.lit(1)).alias("n"))
-    # Both sides are single rows.
-    totals = _count_map(counts, "split").join(F.broadcast(_count_map(counts, "kind")))
+    totals = counts.agg(counted("split", 1), counted("kind", 0))
     fields = []
     for field in METADATA_SCHEMA.fields:
         if field.name in totals.columns:

@@ -8,16 +8,11 @@ from itertools import combinations
 
 
 def split_sizes(n, val_ratio, test_ratio):
-    sizes = {"val": round(n * val_ratio), "test": round(n * test_ratio)}
-    for name, ratio in (("val", val_ratio), ("test", test_ratio)):
-        if n >= 3 and ratio > 0:
-            sizes[name] = max(1, sizes[name])
-    while sizes["val"] + sizes["test"] > max(0, n - 1):
-        bigger = "test" if sizes["test"] >= sizes["val"] else "val"
-        if sizes[bigger] == 0:
-            break
-        sizes[bigger] -= 1
-    return sizes["val"], sizes["test"]
+    want = [max(round(n * r), 1 if n >= 3 and r > 0 else 0) for r in (val_ratio, test_ratio)]
+    surplus = sum(want) - max(n - 1, 0)
+    for _ in range(surplus):
+        want[1 if want[1] >= want[0] else 0] -= 1
+    return tuple(want)
 
 
 def closure(edges):
