@@ -1,12 +1,11 @@
 """Shared folder and lineage cuts.
 
-Iterative operators cut their lineage with reliable checkpoints, so a lost
-executor costs one re-read and not a replay of all earlier rounds.
+Iterative operators write each round as a table, so a lost executor costs one
+re-read and not a replay of all earlier rounds.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +16,9 @@ BROADCAST_ROWS = 200_000
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="graphsets-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+    """The folder all executors share: ``spark.checkpoint.dir``, or a part of the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,9 +27,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared folder."""
-    workspace(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, as Parquet in the shared folder; later reads prune columns."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
