@@ -59,12 +59,12 @@ def _isin(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def templates(texts: list[str]) -> Templates:
+def templates(texts: list[str], names: bool = True) -> Templates:
     """A word is a run of letters, or of digits with inner points and commas.
 
     Numbers are digits and number words; a unit follows a number; a name begins with a
     capital letter, goes on in small ones and does not begin a text, line or sentence.
-    Names in a row are one placeholder.
+    Names in a row are one placeholder. Without ``names`` they are plain words.
     """
     kinds, lower, upper = tables()
     points, offsets = flatten(texts)
@@ -94,7 +94,7 @@ def templates(texts: list[str]) -> Templates:
     opens[1:] = (word_text[1:] != word_text[:-1]) | (ended[begin[1:]] > ended[finish[:-1]])
     capital = upper[points[at]]
     capitals = np.add.reduceat(capital.astype(np.int64), starts)
-    is_name = capital[starts] & (capitals == 1) & (lengths > 1) & ~opens
+    is_name = names & capital[starts] & (capitals == 1) & (lengths > 1) & ~opens
     is_number = (group[at][starts] == 2) | _isin(value, _lexicon(NUMBERS))
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = is_number[:-1] & (word_text[1:] == word_text[:-1])
@@ -130,9 +130,9 @@ def literal_windows(words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Index:
     """The windows of a block of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
-        self.words = templates(texts)
+    def __init__(self, ids: list, texts: list[str], names: bool = True):
+        self.ids, self.names = ids, names
+        self.words = templates(texts, names)
         item, first, found = literal_windows(self.words)
         self.begin = np.searchsorted(self.words.text, np.arange(len(ids)))
         self.sizes = np.bincount(item, minlength=len(ids))
@@ -141,7 +141,7 @@ class Index:
 
     def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
         """(text number, item number, matched windows, slots, consistent slots, equal slots, first word, last word)."""
-        words = templates(texts)
+        words = templates(texts, self.names)
         text, first, found = literal_windows(words)
         if not len(text) or not len(self.hash):
             return []
@@ -168,11 +168,14 @@ class Index:
             matched = np.unique(there[a:b])
             if len(matched) < coverage * self.sizes[item[a]]:
                 continue
+            # Each word of the item stands for the word at its most usual shift.
+            shifts, which, usual = np.unique(shift[a:b], return_inverse=True, return_counts=True)
             steps = np.arange(WIDTH)
             p, q = (there[a:b, None] + steps).ravel(), (here[a:b, None] + steps).ravel()
-            inside = (p < item_ends[item[a]]) & (q < doc_ends[doc[a]])
-            p, q = np.unique(np.stack([p[inside], q[inside]]), axis=1)
-            slot = self.words.kind[p] != WORD
+            order = np.lexsort((q, -np.repeat(usual[which], WIDTH), p))
+            order = order[(p[order] < item_ends[item[a]]) & (q[order] < doc_ends[doc[a]])]
+            p, q = p[order], q[order]
+            slot = np.append(True, p[1:] != p[:-1]) & (self.words.kind[p] != WORD)
             p, q = p[slot], q[slot]
             slots, good, equal = 0, 0, 0
             if len(p):
@@ -180,10 +183,8 @@ class Index:
                 theirs, n_theirs = np.unique(mapped[0], return_counts=True)
                 ours, n_ours = np.unique(mapped[1], return_counts=True)
                 single = (n_theirs == 1)[np.searchsorted(theirs, mapped[0])] & (n_ours == 1)[np.searchsorted(ours, mapped[1])]
-                slots = len(theirs)
-                good = len(np.unique(mapped[0][single]))
-                equal = len(np.unique(mapped[0][mapped[0] == mapped[1]]))
-                good = max(good, equal)
+                slots, good = len(theirs), int(single.sum())
+                equal = int((single & (mapped[0] == mapped[1])).sum())
             if good < consistency * slots:
                 continue
             row = (len(matched), slots, good, equal, int(here[a:b].min() - words_begin(words, doc[a])), int(here[a:b].max() - words_begin(words, doc[a]) + WIDTH))
@@ -193,6 +194,27 @@ class Index:
         return [(*key, *row) for key, row in out.items()]
 
 
+class Searcher:
+    """An index that knows names by their capitals, and one for texts in other letters if that differs."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        self.indexes = [Index(ids, texts)]
+        if (self.indexes[0].words.kind == NAME).any():
+            self.indexes.append(Index(ids, texts, names=False))
+        self.ids = ids
+
+    def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
+        """As Index.search, with the item's windows after its number; the better of both counts."""
+        best: dict[tuple[int, int], tuple] = {}
+        for index in self.indexes:
+            for text, item, *row in index.search(texts, coverage, consistency):
+                size = int(index.sizes[item])
+                held = best.get((text, item))
+                if held is None or row[0] * held[0] > held[1] * size:
+                    best[text, item] = (size, *row)
+        return [(*key, *row) for key, row in sorted(best.items())]
+
+
 def words_begin(words: Templates, text: int) -> int:
     return int(np.searchsorted(words.text, text))
 
@@ -240,14 +262,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def _searcher(index, coverage: float, consistency: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Index(*index.value)
+        here = Searcher(*index.value)
         for rows in batches:
             out = []
             for start, texts in blocks(rows["text"].to_pylist()):
-                for text, item, matched, slots, good, equal, first, last in here.search(texts, coverage, consistency):
+                for text, item, size, matched, slots, good, equal, first, last in here.search(texts, coverage, consistency):
                     at = start + text
                     out.append(
-                        (rows["doc_id"][at].as_py(), rows["text_hash"][at].as_py(), here.ids[item], int(here.sizes[item]), matched,
+                        (rows["doc_id"][at].as_py(), rows["text_hash"][at].as_py(), here.ids[item], size, matched,
                          slots, good, "verbatim" if equal == slots else "reparameterised", first, last)
                     )
             if out:

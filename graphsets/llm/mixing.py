@@ -77,7 +77,7 @@ def mix(rows: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
         "_source", name
     ).drop("source")
     ordered = running_sums(keyed, ["_key", "doc_id", "_tie"], {"start": "size"}, ["_source"])
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("start") + F.col("size") / 2 <= rest) & (F.col("epochs") < most)
     return (
