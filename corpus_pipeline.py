@@ -21,13 +21,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs).filter("not rejected").select(*COLUMNS)
 
 
+def _named(rows: DataFrame, name: str, source: bool = False) -> tuple[DataFrame, list[str]]:
+    """Adds columns without nulls that tell documents apart: doc_id, ``name`` of the text, and source if asked."""
+    keys = {
+        "_unknown": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.col(name),
+        "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")) if source else None,
+    }
+    keys = {k: v for k, v in keys.items() if v is not None}
+    return rows.withColumns(keys), list(keys)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, the first by doc_id."""
-    found = jaccard.near_duplicates(docs)
-    first = found.filter("is_first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    named = docs.withColumn("_name", F.xxhash64("text"))
-    kept = named.join(first, named["doc_id"].eqNullSafe(first["_id"]) & (named["_name"] == first["_hash"]), "left_semi")
-    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One document of each group of similar ones, the first by doc_id; of rows that are alike one stays."""
+    found = jaccard.near_duplicates(docs).filter("is_first")
+    first, keys = _named(found, "text_hash")
+    named, _ = _named(docs.select(*COLUMNS, F.xxhash64("text").alias("_hash")), "_hash")
+    return named.join(first.select(*keys), keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +45,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; copies of rows that are alike add up."""
     mixed = mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "_tie", "source", "copies")
-    # Rows that are alike but differ in copies are told apart by adding these up.
-    total = copies.groupBy("_id", "_tie", "source").agg(F.sum("copies").alias("copies"))
-    named = docs.withColumn("_name", F.md5("text"))
-    once = named.groupBy("doc_id", "_name", "source").agg(*[F.first(c).alias(c) for c in COLUMNS if c not in ("doc_id", "source")])
-    joined = once.join(
-        total.withColumnRenamed("source", "_source"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_name").eqNullSafe(F.col("_tie")) & F.col("source").eqNullSafe(F.col("_source")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    taken, keys = _named(mixed.filter("copies > 0"), "_tie", source=True)
+    copies = taken.groupBy(*keys).agg(F.sum("copies").alias("_copies"))
+    hashed = docs.select(*COLUMNS, F.coalesce(F.md5("text"), F.lit("")).alias("_hash"))
+    named, _ = _named(hashed, "_hash", source=True)
+    once = named.groupBy(*keys).agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return once.join(copies, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,6 +100,6 @@ def quality_weights(labels: DataFrame, low: float = 0.25, unknown: float = 0.5)
 
 def mix_documents(docs: DataFrame, labels: DataFrame, unknown: float = 0.5) -> DataFrame:
     """The mix of ``docs`` (doc_id, text, source) with weights from ``labels`` (doc_id, quality)."""
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("_tie"))
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(F.md5("text"), F.lit("")).alias("_tie"))
     rated = narrow.join(quality_weights(labels, unknown=unknown), "doc_id", "left").fillna({"quality": unknown})
     return mix(rated)
