@@ -10,8 +10,7 @@ from __future__ import annotations
 import re
 
 from checks.queries import BIN_CAP, KEY_CAP, LABEL_CAP, MAX_K
-from graphsets.functions.answers import INDEPENDENT_FORM, NO_RELATION_FORM, OPTION_FORM
-from graphsets.functions.templates import FAMILIES, INSTRUCTION_SUFFIX
+from checks.wordings import INDEPENDENT, NO_RELATION, OPTION, SUFFIX, WORDINGS
 
 BOX = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 FULL = 1 << 60
@@ -209,7 +208,7 @@ for prefix, nodes_name, component in (("", "nodes", False), ("c_", "nodes", True
     CTES[f"{prefix}observed"] = OBSERVED.format(sampled=f"{prefix}sampled", labels=f"{prefix}labels")
 
 CTES["wordings"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"({quoted(family)}, {i}, {quoted(line)})" for family, lines in FAMILIES.items() for i, line in enumerate(lines)
+    f"({quoted(family)}, {i}, {quoted(line)})" for family, lines in WORDINGS.items() for i, line in enumerate(lines)
 ) + ") AS w(family, template_idx, template)"
 
 OBSERVATIONS = """
@@ -218,7 +217,7 @@ SELECT concat_ws('|', 'o', graph_idx, world_id, spec_ord, template_idx) AS row_k
   array_to_string(list_transform(list_zip(observed, vals), lambda x: x[1] || ' is ' || x[2]), ', ') AS facts_comma,
   w.template
 FROM {observed} o JOIN wordings w
-  ON w.family = CASE WHEN len(observed) = 1 THEN 'observation_single' ELSE 'observation_multi' END AND w.template_idx < 3"""
+  ON w.family = CASE WHEN len(observed) = 1 THEN 'observation_single' ELSE 'observation_multi' END AND w.template_idx < 10"""
 CTES["observations"] = OBSERVATIONS.format(observed="observed")
 CTES["c_observations"] = OBSERVATIONS.format(observed="c_observed")
 
@@ -264,8 +263,8 @@ SELECT concat_ws('|', 'e', graph_idx, x.family, query_entity, template_idx) AS r
 FROM ({source}) x JOIN wordings w ON w.family = x.family AND w.template_idx < {limit}"""
 
 
-CTES["explanations"] = explanation_sql("SELECT * FROM single UNION ALL SELECT * FROM paired", 3)
-CTES["c_explanations"] = explanation_sql("SELECT * FROM single UNION ALL SELECT * FROM c_paired", 3)
+CTES["explanations"] = explanation_sql("SELECT * FROM single UNION ALL SELECT * FROM paired", 10)
+CTES["c_explanations"] = explanation_sql("SELECT * FROM single UNION ALL SELECT * FROM c_paired", 10)
 
 EXPLANATION_ROW = """
 SELECT answer, '\\boxed{' || answer || '}' AS completion, family AS explanation_type, graph_idx,
@@ -290,7 +289,7 @@ FROM (SELECT *, string_split(output, {MARK})[-1] AS last_part FROM instructions)
 CTES["instruction_rows"] = f"""
 SELECT answer, answer AS completion, NULL::VARCHAR AS explanation_type, -1::BIGINT AS graph_idx,
   'instruct' AS inference_types, 'instruction' AS kind, '' AS observed_entities, '' AS observed_values,
-  'instruct' AS primary_inference_type, instruction || {quoted(INSTRUCTION_SUFFIX)} AS prompt,
+  'instruct' AS primary_inference_type, instruction || {quoted(SUFFIX)} AS prompt,
   'N/A' AS query_entity, 'train' AS split, concat_ws('|', 'i', conv_id, turn) AS row_key
 FROM (SELECT * FROM boxed_outputs ORDER BY conv_id, turn LIMIT 2500)"""
 
@@ -425,10 +424,11 @@ def unordered(form: str) -> str:
 
 QUERIES: dict[str, str] = {}
 
-QUERIES["candidate_edges"] = f"""
-SELECT a.graph_idx, a.entity AS parent, b.entity AS child FROM parts a
-JOIN parts b ON a.graph_idx = b.graph_idx AND a.ord < b.ord
-WHERE {chance(0.2, draw('edge', 'a.graph_idx', 'a.entity', 'b.entity'))}"""
+QUERIES["candidate_edges"] = """
+WITH made AS (
+  SELECT p.graph_idx, p.entity, p.ord, m.p_mfgr FROM parts p JOIN part m ON p.entity = 'P' || lpad(m.p_partkey::VARCHAR, 9, '0'))
+SELECT a.graph_idx, a.entity AS parent, b.entity AS child FROM made a
+JOIN made b ON a.graph_idx = b.graph_idx AND a.p_mfgr = b.p_mfgr AND a.ord < b.ord"""
 QUERIES["bernoulli_rows"] = f"SELECT row_key FROM lines WHERE {chance(0.25, draw('keep', 'row_key'))}"
 QUERIES["root_nodes"] = "SELECT graph_idx, entity FROM parts WHERE entity NOT IN (SELECT child FROM edges)"
 QUERIES["assign_rules"] = "SELECT graph_idx, entity, rule FROM nodes"
@@ -447,9 +447,8 @@ QUERIES["node_levels"] = "SELECT graph_idx, entity, depth FROM levels"
 QUERIES["level_widths"] = """
 SELECT graph_idx, depth, width, max(width) OVER (PARTITION BY graph_idx) AS widest
 FROM (SELECT graph_idx, depth, count(*) AS width FROM levels GROUP BY ALL)"""
-QUERIES["root_facts"] = f"""
-SELECT p.graph_idx, p.entity, w.world_id, {chance(0.5, draw('root', 'p.graph_idx', 'w.world_id', 'p.entity'))} AS value
-FROM parts p CROSS JOIN worlds w WHERE p.entity NOT IN (SELECT child FROM edges)"""
+QUERIES["root_facts"] = """
+SELECT graph_idx, entity, world_id, value FROM given"""
 QUERIES["rule_propagation"] = "SELECT graph_idx, entity, world_id, value FROM facts"
 QUERIES["unresolved_nodes"] = """
 SELECT DISTINCT graph_idx, child AS entity FROM edges WHERE parent IN (SELECT child FROM edges)"""
@@ -505,18 +504,25 @@ UNION ALL
 SELECT split, 'explanation', row_key, answer FROM (SELECT *, row_number() OVER (
   PARTITION BY split, family ORDER BY {draw('cap_key', 'row_key')}, row_key) AS r FROM c_explanations) WHERE r <= 2000"""
 QUERIES["full_dataset"] = f"SELECT {FLAT} FROM examples"
-QUERIES["scan_examples"] = f"SELECT {FLAT} FROM examples WHERE split IN ('val', 'test')"
+QUERIES["scan_examples"] = f"SELECT {FLAT} FROM examples"
 QUERIES["jsonl_roundtrip"] = """
 SELECT split, kind, count(*) AS n, sum(length(prompt))::BIGINT AS prompt_chars, sum(length(completion))::BIGINT AS completion_chars,
   sum(CASE WHEN observed_entities = '' THEN 0 ELSE len(string_split(observed_entities, '|')) END)::BIGINT AS observed,
   count(explanation_type) AS typed, min(prompt) AS first_prompt, max(prompt) AS last_prompt
 FROM examples GROUP BY split, kind"""
 QUERIES["metadata_summary"] = """
-SELECT 'split_counts' AS name, split AS key, count(*) AS value FROM examples GROUP BY split
-UNION ALL SELECT 'kind_counts', kind, count(*) FROM examples GROUP BY kind
-UNION ALL SELECT 'explanation_split_by_entity', split, count(*) FROM entity_split GROUP BY split
-UNION ALL SELECT 'parameter', 'num_worlds', count(*) FROM worlds
-UNION ALL SELECT 'parameter', unnest(['num_entities', 'max_obs_size', 'num_copies_explanations']), unnest([20, 2, 1])"""
+SELECT 'split_counts' AS name, split AS key, count(*)::VARCHAR AS value FROM examples GROUP BY split
+UNION ALL SELECT 'kind_counts', kind, count(*)::VARCHAR FROM examples GROUP BY kind
+UNION ALL SELECT 'explanation_split_by_entity', split, count(*)::VARCHAR FROM entity_split GROUP BY split
+UNION ALL SELECT 'parameter', 'num_worlds', count(*)::VARCHAR FROM worlds
+UNION ALL SELECT 'parameter', 'num_graphs', count(DISTINCT graph_idx)::VARCHAR FROM nodes
+UNION ALL SELECT 'parameter', 'num_entities', max(n)::VARCHAR FROM (SELECT count(*) AS n FROM nodes GROUP BY graph_idx)
+UNION ALL SELECT 'parameter', * FROM (VALUES ('edge_prob', NULL), ('node_or_prob', '0.6'), ('sample_ratio_from_worlds', '0.002'),
+  ('root_prior', NULL), ('max_obs_size', '2'), ('max_observations', NULL),
+  ('max_observations_unit', 'per split and inference_type'), ('max_observations_per_component_probability_bin', NULL),
+  ('max_observations_per_component_probability_bin_unit', 'per train graph_idx, query component_idx, observed_probability_bin'),
+  ('max_explanations', NULL), ('max_explanations_unit', 'per split and explanation_type before train copies'),
+  ('num_copies_explanations', '1'), ('add_instruction_datapoints', '2500'), ('heldout_scope', 'nodes'), ('per_component_data', 'false'))"""
 QUERIES["split_kind_counts"] = """
 SELECT split, count(*) AS total, count(*) FILTER (WHERE kind = 'observation') AS observation,
   count(*) FILTER (WHERE kind = 'explanation') AS explanation, count(*) FILTER (WHERE kind = 'instruction') AS instruction FROM examples GROUP BY split"""
@@ -587,20 +593,20 @@ SELECT part, count(*) AS n, min(x) AS min_len, round(avg(x), 6) AS avg_len, list
   CASE WHEN floor(count(*) * 0.95::DOUBLE) < 1 THEN max(x) ELSE list(x ORDER BY x)[floor(count(*) * 0.95::DOUBLE)::BIGINT] END AS p95_len,
   max(x) AS max_len
 FROM (SELECT unnest(['prompt', 'completion', 'total']) AS part, unnest([p, c, p + c]) AS x FROM (
-  SELECT {TOKENS.format('instruction')} AS p, {TOKENS.format('output')} AS c FROM strided)) GROUP BY part"""
+  SELECT {TOKENS.format('instruction')} AS p, {TOKENS.format('output')} AS c FROM instructions)) GROUP BY part"""
 QUERIES["batch_prompt_lengths"] = f"""
 SELECT i // 32 AS batch, count(*) AS n, min(x) AS min_len, max(x) AS max_len, round(avg(x), 6) AS mean_len
 FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, {TOKENS.format('instruction')} AS x FROM instructions) GROUP BY ALL"""
 QUERIES["prompt_overflow"] = f"""
-SELECT conv_id, turn, {TOKENS.format('instruction')} AS prompt_len FROM instructions WHERE prompt_len > 60"""
+SELECT conv_id, turn, {TOKENS.format('instruction')} AS prompt_len FROM instructions WHERE prompt_len > 20"""
 QUERIES["columns_to_rows"] = """
 SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY row_key) - 1 AS sample_idx, generated_text FROM samples"""
 QUERIES["boxed_extract_last"] = "SELECT row_key, prediction FROM scored"
 QUERIES["canonicalize_answers"] = f"""
-SELECT row_key, CASE WHEN regexp_matches(low, {quoted(OPTION_FORM)}) THEN regexp_extract(low, {quoted(OPTION_FORM)}, 1)
+SELECT row_key, CASE WHEN regexp_matches(low, {quoted(OPTION)}) THEN regexp_extract(low, {quoted(OPTION)}, 1)
   WHEN bare IN ('yes', 'no') THEN bare
-  WHEN regexp_matches(bare, {quoted(INDEPENDENT_FORM)}) THEN {unordered(INDEPENDENT_FORM)}
-  WHEN regexp_matches(bare, {quoted(NO_RELATION_FORM)}) THEN {unordered(NO_RELATION_FORM)} ELSE norm END AS canonical
+  WHEN regexp_matches(bare, {quoted(INDEPENDENT)}) THEN {unordered(INDEPENDENT)}
+  WHEN regexp_matches(bare, {quoted(NO_RELATION)}) THEN {unordered(NO_RELATION)} ELSE norm END AS canonical
 FROM (SELECT *, lower(norm) AS low, rtrim(lower(norm), '. )') AS bare FROM (
   SELECT row_key, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS norm FROM wordy))"""
 QUERIES["example_accuracy"] = """

@@ -55,7 +55,9 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def candidate_edges(spark, sf):
-    return graph.candidate_edges(star.nodes(spark, sf), 0.2, SEED)
+    made = F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("entity")
+    maker = star.table(spark, sf, "part").select(made, "p_mfgr")
+    return graph.candidate_edges(star.nodes(spark, sf).join(maker, "entity"), ["p_mfgr"])
 
 
 def bernoulli_rows(spark, sf):
@@ -115,8 +117,7 @@ def level_widths(spark, sf):
 
 def root_facts(spark, sf):
     t = tables(spark, sf)
-    roots = graph.root_nodes(star.nodes(spark, sf), t.edges())
-    return graph.drawn_root_facts(roots, t.num_worlds(), 0.5, SEED)
+    return graph.unpack_worlds(t.graph_tables().root_words, t.num_worlds())
 
 
 def rule_propagation(spark, sf):
@@ -241,7 +242,7 @@ def child_retrieval(spark, sf):
 def relationship_explanations(spark, sf):
     t = tables(spark, sf)
     b = t.builder()
-    rows = examples.relationship_explanations(t.nodes(), b.related(), b.splits(), 3)
+    rows = examples.relationship_explanations(t.nodes(), b.related(), b.splits(), 10)
     return flat(examples.render_explanations(rows))
 
 
@@ -323,7 +324,7 @@ def _written(spark, sf):
 
 
 def scan_examples(spark, sf):
-    return flat(jsonl.scan_examples(spark, _written(spark, sf), ("val", "test")))
+    return flat(jsonl.scan_examples(spark, _written(spark, sf)))
 
 
 def jsonl_roundtrip(spark, sf):
@@ -344,30 +345,22 @@ def metadata_summary(spark, sf):
     t = tables(spark, sf)
     b = t.builder()
     path = scratch_path(spark, "metadata")
-    metadata.write_metadata(metadata.metadata_record(t.examples(), b.config.metadata()), b.splits(), path)
+    metadata.write_metadata(metadata.metadata_record(t.examples(), b.metadata()), b.splits(), path)
     record, owners = metadata.read_metadata(spark, path)
 
     def entries(name):
         return record.select(F.lit(name).alias("name"), F.explode(name).alias("key", "value"))
 
     held = owners.groupBy(F.col("split").alias("key")).agg(F.count(F.lit(1)).alias("value"))
-    plain = record.select(
-        F.lit("parameter").alias("name"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("key"), F.col(n).cast("bigint").alias("value"))
-                    for n in ("num_entities", "num_worlds", "max_obs_size", "num_copies_explanations")
-                ]
-            )
-        ),
-    )
-    return (
+    names = [c for c in record.columns if not c.endswith("_counts")]
+    pairs = [F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names]
+    plain = record.select(F.lit("parameter").alias("name"), F.inline(F.array(*pairs)))
+    counted = (
         entries("split_counts")
         .unionByName(entries("kind_counts"))
         .unionByName(held.select(F.lit("explanation_split_by_entity").alias("name"), "key", "value"))
-        .unionByName(plain)
     )
+    return counted.withColumn("value", F.col("value").cast("string")).unionByName(plain)
 
 
 def split_kind_counts(spark, sf):
@@ -483,8 +476,7 @@ def chat_completion_suffix(spark, sf):
 
 
 def length_stats(spark, sf):
-    rows = report.stride_sample(_instructions(spark, sf), ["conv_id", "turn"], 2000)
-    return report.length_stats(rows, "instruction", "output").withColumn("avg_len", F.round("avg_len", 6))
+    return report.length_stats(_instructions(spark, sf), "instruction", "output").withColumn("avg_len", F.round("avg_len", 6))
 
 
 def batch_prompt_lengths(spark, sf):
@@ -494,7 +486,7 @@ def batch_prompt_lengths(spark, sf):
 
 
 def prompt_overflow(spark, sf):
-    return report.prompt_overflow(_instructions(spark, sf), 60, "instruction").select(
+    return report.prompt_overflow(_instructions(spark, sf), 20, "instruction").select(
         "conv_id", "turn", "prompt_len"
     )
 

@@ -22,6 +22,7 @@ OBSERVATION_SINGLE = [
     "With {F}, what do we conclude about {Q}?",
     "Premise: {F}. Conclusion for {Q}?",
 ]
+# Wordings.
 OBSERVATION_MULTI = [
     "Given: {A}. Query: {Q}",
     "Observe {A}. What is {Q}?",
@@ -34,6 +35,7 @@ OBSERVATION_MULTI = [
     "With {A}, what do we conclude about {Q}?",
     "Premises: {C}. Conclusion for {Q}?",
 ]
+# Wordings.
 RULE = [
     "What is the rule that determines {E}? Express the rule in the format \\boxed{answer}.",
     "How is {E} computed from its inputs? Express the rule in the format \\boxed{answer}.",
@@ -46,6 +48,7 @@ RULE = [
     "How do the direct inputs combine to set {E}? Express the rule in the format \\boxed{answer}.",
     "What input pattern makes {E} true or false? Express the rule in the format \\boxed{answer}.",
 ]
+# Wordings.
 PARENT_RETRIEVAL = [
     "What are the direct parents of {E}? Give the entity names in the format \\boxed{answer}.",
     "Which entities directly determine {E}? Give the entity names in the format \\boxed{answer}.",
@@ -58,6 +61,7 @@ PARENT_RETRIEVAL = [
     "What entities act as the immediate causes of {E}? Give the entity names in the format \\boxed{answer}.",
     "Which entities connect directly into {E}? Give the entity names in the format \\boxed{answer}.",
 ]
+# Wordings.
 CHILD_RETRIEVAL = [
     "What are the direct children of {E}? Give the entity names in the format \\boxed{answer}.",
     "Which entities does {E} directly influence? Give the entity names in the format \\boxed{answer}.",
@@ -70,6 +74,7 @@ CHILD_RETRIEVAL = [
     "What entities are immediately affected by {E}? Give the entity names in the format \\boxed{answer}.",
     "Which entities are connected directly out of {E}? Give the entity names in the format \\boxed{answer}.",
 ]
+# Wordings.
 RELATIONSHIP = [
     "What is the relationship between {P1} and {P2}? Express the relationship in the format \\boxed{answer}.",
     "How are {P1} and {P2} related? Express the relationship in the format \\boxed{answer}.",
@@ -82,6 +87,7 @@ RELATIONSHIP = [
     "Describe how {P1} and {P2} are connected in the graph. Express the relationship in the format \\boxed{answer}.",
     "What does knowing {P1} tell you about {P2}? Express the relationship in the format \\boxed{answer}.",
 ]
+# What follows an instruction, and what its answer begins with.
 INSTRUCTION_SUFFIX = "\nGive the answer in the format: \\boxed{answer}."
 ANSWER_MARK = "The answer is "
 

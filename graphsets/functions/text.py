@@ -101,8 +101,12 @@ CHAT_OPEN = "<|im_start|>"
 CHAT_CLOSE = "<|im_end|>\n"
 
 
+def chat_header(role: str) -> Column:
+    return F.lit(f"{CHAT_OPEN}{role}\n")
+
+
 def chat_message(role: str, content: Column) -> Column:
-    return F.concat(F.lit(f"{CHAT_OPEN}{role}\n"), content, F.lit(CHAT_CLOSE))
+    return F.concat(chat_header(role), content, F.lit(CHAT_CLOSE))
 
 
 def chat_text(
@@ -112,14 +116,20 @@ def chat_text(
     open_assistant: bool = False,
     raw: bool = False,
     message=chat_message,
+    header=None,
 ) -> Column:
     """Messages in order: optional system, user, optional assistant.
 
-    ``message(role, content)`` is the markup. With ``raw``, or where the markup
+    ``message(role, content)`` is the markup, and ``header(role)`` its part before the
+    content, which an open assistant turn ends with. With ``raw``, or where the markup
     gives null, the user's prompt is passed on as it is.
     """
     if raw:
         return user
+    if header is None:
+        if open_assistant and message is not chat_message:
+            raise ValueError("an open turn in another markup needs its header")
+        header = chat_header
     parts = [message("user", user)]
     if system is not None:
         empty = F.coalesce(system, F.lit("")) == ""
@@ -127,7 +137,7 @@ def chat_text(
     if assistant is not None:
         parts.append(message("assistant", assistant))
     if open_assistant:
-        parts.append(F.lit(f"{CHAT_OPEN}assistant\n"))
+        parts.append(header("assistant"))
     return F.coalesce(F.concat(*parts), user)
 
 

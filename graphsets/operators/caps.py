@@ -73,6 +73,8 @@ def probability_bins(rows: DataFrame) -> DataFrame:
 def cap_component_bin(rows: DataFrame, cap: int | None, row_key: str, seed: int) -> DataFrame:
     """At most ``cap`` train rows per (graph, component, decile); other rows pass.
 
+    A null component is a component, and rows without a split are not train rows.
+
     Deciles come from the rows before the cap, unless ``rows`` already holds
     ``probability_bin``. Column component_id is the query entity's component.
     """
@@ -82,10 +84,10 @@ def cap_component_bin(rows: DataFrame, cap: int | None, row_key: str, seed: int)
     binned = rows if "probability_bin" in rows.columns else durable(probability_bins(rows))
     tagged = binned.withColumn("_draw", draw(seed, "cap_bin", row_key))
     kept = lowest(
-        tagged.filter(F.col("split") == "train"),
+        tagged.filter(F.col("split").eqNullSafe("train")),
         ["graph_idx", "component_id", "probability_bin"], "_draw", [row_key], cap,
     )
-    passed = tagged.filter(F.col("split") != "train")
+    passed = tagged.filter(~F.col("split").eqNullSafe("train"))
     return kept.unionByName(passed).select(*rows.columns)
 
 
@@ -106,8 +108,10 @@ def saturation_points(
             F.array_sort(labels).alias("labels"),
             F.col(drawn).alias("d"),
             F.col(row_key).alias("k"),
-        ).withColumn("_set", F.array_join("labels", "|"))
+        ).withColumn("_set", F.to_json("labels"))
     )
+    if not narrow.groupBy("k").count().filter(F.col("count") > 1).isEmpty():
+        raise ValueError(f"{row_key} must name each row once")
     live = durable(lowest(narrow, ["split", "_set"], "d", ["k"], cap).drop("_set"))
     place = F.struct("d", "k")
     settled = None
@@ -137,11 +141,13 @@ def saturation_points(
 
 
 def cap_multilabel(
-    df: DataFrame, cap: int | None, row_key: str, seed: int, split: str = "split", labels: str = "inference_types"
+    df: DataFrame, cap: int | None, row_key: str, seed: int, split: str = "split", labels: str = "inference_types",
+    primary: str = "primary_inference_type",
 ) -> DataFrame:
     """Keep a row, in random order, only while every label it carries is below ``cap`` in its split.
 
-    ``labels`` holds the row's distinct labels. Equal to a one-pass greedy scan,
+    ``labels`` holds the row's labels; where it is null or empty, ``primary`` is the one
+    label. ``row_key`` must name each row once. Rows without any label pass. Equal to a one-pass greedy scan,
     but only the few saturation points are computed in order; the rows are then
     filtered in one pass.
     """
@@ -150,19 +156,24 @@ def cap_multilabel(
         return df
     if cap == 0:
         return df.limit(0)
-    tagged = df.withColumn("_draw", draw(seed, "cap_labels", row_key))
-    points = saturation_points(tagged, cap, split, labels, "_draw", row_key)
+    named = F.filter(labels, lambda name: name.isNotNull())
+    alone = F.array_compact(F.array(primary)) if primary in df.columns else F.array().cast("array<string>")
+    carried = F.when(F.size(named) > 0, F.array_distinct(named)).otherwise(alone)
+    tagged = (
+        df.withColumn("_draw", draw(seed, "cap_labels", row_key))
+        .withColumn("_labels", carried)
+        .withColumn("_split", F.coalesce(F.concat(F.lit("="), split), F.lit("null")))
+    )
+    points = saturation_points(tagged, cap, "_split", "_labels", "_draw", row_key)
     # One row per split, holding a map over its labels.
     limits = small_side(
-        points.groupBy(F.col("split").alias(split)).agg(
+        points.groupBy(F.col("split").alias("_split")).agg(
             F.map_from_entries(F.collect_list(F.struct("label", "at"))).alias("_limits")
         )
     )
     place = F.struct(F.col("_draw").alias("d"), F.col(row_key).alias("k"))
     inside = F.forall(
-        labels,
+        "_labels",
         lambda name: F.coalesce(place <= F.try_element_at(F.col("_limits"), name), F.lit(True)),
     )
-    return (
-        tagged.join(limits, split, "left").filter(inside).drop("_draw", "_limits").select(*df.columns)
-    )
+    return tagged.join(limits, "_split", "left").filter(inside).select(*df.columns)

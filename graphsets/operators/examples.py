@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions import text
 from graphsets.functions.templates import fan_out, with_template
 from graphsets.operators.graph import WORD, adjacency, ordered_pairs, pair_relations
-from graphsets.operators.ranking import indexed
+from graphsets.operators.ranking import indexed, joined_on
 from graphsets.operators.splits import strictest_split
 from graphsets.schema import EXAMPLE_COLUMNS, EXPLANATION_LABEL, INSTRUCTION_LABEL
 from graphsets.session import small_side
@@ -30,8 +30,8 @@ def observe(sampled: DataFrame, specs: DataFrame, words: DataFrame, max_obs_size
     """Look up the values of sampled specs in their worlds.
 
     ``sampled(graph_idx, world_id, spec_ord)``, labelled specs and packed facts.
-    Adds observed_values and answer ("1"/"0"). One equi join per slot, on
-    (graph, entity, word); facts hold 64 worlds per row and are broadcast if their
+    Adds observed_values and answer ("1"/"0"); a query entity without a fact is an error.
+    One equi join per slot, on (graph, entity, word); facts hold 64 worlds per row and are broadcast if their
     counted number allows.
     """
     words = small_side(words.select("graph_idx", "entity", "word", "bits"))
@@ -40,18 +40,21 @@ def observe(sampled: DataFrame, specs: DataFrame, words: DataFrame, max_obs_size
     )
     truth = text.truth_label(F.expr(f"getbit(_bits, cast(world_id % {WORD} as int)) = 1"))
 
-    def look_up(df, entity, out, how):
+    def look_up(df, entity, out, needed):
         facts = words.select(
             "graph_idx", F.col("entity").alias("_e"), "word", F.col("bits").alias("_bits")
         )
-        joined = df.withColumn("_e", entity).join(facts, ["graph_idx", "_e", "word"], how)
+        joined = df.withColumn("_e", entity).join(facts, ["graph_idx", "_e", "word"], "left")
         value = F.when(F.col("_bits").isNotNull(), truth)
+        if needed:
+            missing = F.concat(F.lit("no fact of "), F.coalesce("_e", F.lit("null")), F.lit(" in world "), "world_id")
+            value = value.otherwise(F.raise_error(missing).cast("string"))
         return joined.withColumn(out, value).drop("_e", "_bits")
 
-    rows = look_up(rows, F.col("query_entity"), "answer", "inner")
+    rows = look_up(rows, F.col("query_entity"), "answer", True)
     slots = [f"_v{slot}" for slot in range(max_obs_size)]
     for slot, name in enumerate(slots):
-        rows = look_up(rows, F.get("observed_entities", F.lit(slot)), name, "left")
+        rows = look_up(rows, F.get("observed_entities", F.lit(slot)), name, False)
     return rows.withColumn(
         "observed_values", F.slice(F.array(*slots), F.lit(1), F.size("observed_entities"))
     ).drop(*slots, "word")
@@ -69,6 +72,19 @@ def observation_rows(observed: DataFrame, num_templates: int) -> DataFrame:
     )
 
 
+def fill(template: Column, values: dict[str, Column]) -> Column:
+    """The template with its placeholders replaced; nothing is replaced inside inserted texts."""
+    parts = F.split(template, r"(?=\{[A-Z0-9]+\})|(?<=\})")
+
+    def part(piece: Column) -> Column:
+        chosen = piece
+        for name, value in values.items():
+            chosen = F.when(piece == name, value).otherwise(chosen)
+        return chosen
+
+    return F.array_join(F.transform(parts, part), "")
+
+
 def fact_texts(entities: Column, values: Column) -> Column:
     return F.zip_with(entities, values, lambda e, v: F.concat(e, F.lit(" is "), v))
 
@@ -76,10 +92,11 @@ def fact_texts(entities: Column, values: Column) -> Column:
 def render_observations(rows: DataFrame) -> DataFrame:
     """Example rows of narrow observation rows."""
     facts = fact_texts(F.col("observed_entities"), F.col("observed_values"))
-    prompt = F.replace(F.col("template"), F.lit("{F}"), F.array_join(facts, " and "))
-    prompt = F.replace(prompt, F.lit("{A}"), F.array_join(facts, " and "))
-    prompt = F.replace(prompt, F.lit("{C}"), F.array_join(facts, ", "))
-    prompt = F.replace(prompt, F.lit("{Q}"), F.col("query_entity"))
+    every = F.array_join(facts, " and ")
+    prompt = fill(
+        F.col("template"),
+        {"{F}": every, "{A}": every, "{C}": F.array_join(facts, ", "), "{Q}": F.col("query_entity")},
+    )
     return (
         with_template(rows)
         .withColumn("prompt", prompt)
@@ -170,9 +187,10 @@ def explanation_rows(
 
 def render_explanations(rows: DataFrame) -> DataFrame:
     """Example rows of narrow explanation rows."""
-    prompt = F.replace(F.col("template"), F.lit("{E}"), F.col("first"))
-    prompt = F.replace(prompt, F.lit("{P1}"), F.col("first"))
-    prompt = F.replace(prompt, F.lit("{P2}"), F.coalesce("second", F.lit("")))
+    prompt = fill(
+        F.col("template"),
+        {"{E}": F.col("first"), "{P1}": F.col("first"), "{P2}": F.coalesce("second", F.lit(""))},
+    )
     return (
         with_template(rows)
         .withColumn("prompt", prompt)
@@ -189,10 +207,14 @@ def first_rows(df: DataFrame, order: list[str], count: int) -> DataFrame:
     """The first ``min(count, rows)`` rows of a total order.
 
     Only the order columns are sorted, by range, so no task takes the heads of
-    all partitions.
+    all partitions. Of rows that tie on ``order`` at the end, as many as are left are taken, the first by
+    all their columns. Nulls come first.
     """
     head = indexed(df.select(*order), order, "_idx").filter(F.col("_idx") < count)
-    return df.join(small_side(head.drop("_idx")), order, "left_semi")
+    taken = small_side(head.groupBy(*order).agg(F.count(F.lit(1)).alias("_take")))
+    ties = Window.partitionBy(*order).orderBy(*df.columns)
+    ranked = joined_on(df, taken, order).withColumn("_tie", F.row_number().over(ties))
+    return ranked.filter(F.col("_tie") <= F.col("_take")).select(*df.columns)
 
 
 def instruction_rows(source: DataFrame, order: list[str], count: int) -> DataFrame:

@@ -17,14 +17,16 @@ from graphsets.session import durable, small_side
 WORD = 64  # worlds per packed bigint
 
 
-def candidate_edges(nodes: DataFrame, edge_prob: float, seed: int) -> DataFrame:
-    """Edges from earlier to later nodes (column ``ord``), each kept by its own draw."""
-    earlier = nodes.select("graph_idx", F.col("entity").alias("parent"), F.col("ord").alias("_a"))
-    later = nodes.select("graph_idx", F.col("entity").alias("child"), F.col("ord").alias("_b"))
+def candidate_edges(nodes: DataFrame, same: list[str]) -> DataFrame:
+    """Edges from earlier to later nodes (column ``ord``) of a graph that agree in the columns ``same``.
+
+    Nodes with a null there agree with none.
+    """
+    earlier = nodes.select("graph_idx", *same, F.col("entity").alias("parent"), F.col("ord").alias("_a"))
+    later = nodes.select("graph_idx", *same, F.col("entity").alias("child"), F.col("ord").alias("_b"))
     return (
-        pair_members(earlier, later, ["graph_idx"], "parent")
+        pair_members(earlier, later, ["graph_idx", *same], "parent")
         .filter(F.col("_a") < F.col("_b"))
-        .filter(chance(edge_prob, draw(seed, "edge", "graph_idx", "parent", "child")))
         .select("graph_idx", "parent", "child")
     )
 
@@ -297,13 +299,6 @@ def unpack_worlds(words: DataFrame, num_worlds: int) -> DataFrame:
     )
 
 
-def drawn_root_facts(roots: DataFrame, num_worlds: int, prior: float, seed: int) -> DataFrame:
-    """A drawn value for every root in every world."""
-    worlds = F.explode(F.expr(f"sequence(0L, {num_worlds - 1}L)"))
-    value = chance(prior, draw(seed, "root", "graph_idx", "world_id", "entity"))
-    return roots.select("graph_idx", "entity", worlds.alias("world_id")).withColumn("value", value)
-
-
 def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> DataFrame:
     """Packed facts of all nodes, from the roots' packed facts and the rules.
 

@@ -8,12 +8,26 @@ bucket are sorted together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw_bucket
 from graphsets.session import durable, small_side
 
+# Up to this many kept rows per group are chosen without a look at group sizes.
+FEW = 10_000
+SALTS = 32
+
+
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi join in which null keys meet; the columns of ``left`` come first."""
+    names = {key: f"_on_{number}" for number, key in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+    return left.join(other, same, how).drop(*names.values())
+
 
 def _offsets(df: DataFrame, keys: list[str], total: str) -> DataFrame:
     """Rows before each bucket of a group, and rows in the group."""
@@ -39,11 +53,11 @@ def bucket_ranked(
 ) -> DataFrame:
     """Add the 1-based rank within ``keys`` and the group's size.
 
-    ``bucket`` must not decrease along ``order``; keys must not be null. Reads
+    ``bucket`` must not decrease along ``order``; null keys are a group. Reads
     ``df`` twice, the first time for the keys and the bucket only.
     """
     tagged = df.withColumn("_bucket", bucket)
-    return _number(tagged.join(_offsets(tagged, keys, total), [*keys, "_bucket"]), keys, order, out)
+    return _number(joined_on(tagged, _offsets(tagged, keys, total), [*keys, "_bucket"]), keys, order, out)
 
 
 def running_before(
@@ -57,7 +71,7 @@ def running_before(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     before = F.col("_before") + F.sum(value).over(inside) - F.col(value)
     return (
-        tagged.join(offsets, [*keys, "_bucket"])
+        joined_on(tagged, offsets, [*keys, "_bucket"])
         .withColumn(out, before.cast("bigint"))
         .drop("_bucket", "_before")
     )
@@ -70,16 +84,23 @@ def draw_ranked(
     return bucket_ranked(df, keys, draw_bucket(F.col(drawn)), [drawn, *tie], out, total)
 
 
-def lowest(df: DataFrame, keys: list[str], drawn: str, tie: list[str], keep) -> DataFrame:
+def lowest(df: DataFrame, keys: list[str], drawn: str, tie: list[str], keep: int) -> DataFrame:
     """Exactly ``min(keep, group size)`` rows per group: those with the lowest draws.
 
-    Buckets that start beyond ``keep`` are dropped before rows are shuffled
-    (the bucket table is broadcast if its counted size allows).
+    Up to ``FEW`` rows are taken from the lowest of each salted part of a group, and map
+    tasks send no more than that. For a larger ``keep`` a group is cut into buckets,
+    and those that start beyond ``keep`` are dropped before rows are shuffled.
     """
-    keep = F.lit(keep) if isinstance(keep, int) else keep
+    if keep <= FEW:
+        order = [F.col(drawn), *tie]
+        salted = df.withColumn("_salt", F.pmod(F.col(drawn), F.lit(SALTS)))
+        for group in ([*keys, "_salt"], keys or [F.lit(0)]):
+            window = Window.partitionBy(*group).orderBy(*order)
+            salted = salted.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= keep)
+        return salted.drop("_rank", "_salt")
     tagged = df.withColumn("_bucket", draw_bucket(F.col(drawn)))
     offsets = _offsets(tagged, keys, "_total").drop("_total").filter(F.col("_before") < keep)
-    joined = tagged.join(small_side(offsets), [*keys, "_bucket"])
+    joined = joined_on(tagged, small_side(offsets), [*keys, "_bucket"])
     return _number(joined, keys, [drawn, *tie], "_rank").filter(F.col("_rank") <= keep).drop("_rank")
 
 
@@ -94,7 +115,7 @@ def nth_row(df: DataFrame, keys: list[str], drawn: str, tie: list[str], position
     home = counts.withColumn("_before", upto - F.col("_rows")).filter(
         (F.col("_before") < position) & (F.col("_before") + F.col("_rows") >= position)
     )
-    joined = tagged.join(home.drop("_rows"), [*keys, "_bucket"])
+    joined = joined_on(tagged, home.drop("_rows"), [*keys, "_bucket"])
     return _number(joined, keys, [drawn, *tie], "_rank").filter(F.col("_rank") == position).drop("_rank")
 
 
@@ -127,10 +148,10 @@ def indexed(df: DataFrame, order: list, out: str = "row_idx") -> DataFrame:
 
 def group_indexed(df: DataFrame, keys: list[str], order: list, out: str = "row_idx") -> DataFrame:
     """Add the 0-based position within ``keys``, counted from the group's first row."""
-    placed = durable(indexed(df, [*keys, *order], out))
+    placed = indexed(df, [*keys, *order], out)
     first = placed.groupBy(*keys).agg(F.min(out).alias("_first"))
     return (
-        placed.join(first, keys)
+        joined_on(placed, small_side(first), keys)
         .withColumn(out, F.col(out) - F.col("_first"))
         .drop("_first")
     )

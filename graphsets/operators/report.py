@@ -186,19 +186,25 @@ def eval_subset(rows: DataFrame, cap: int, example_id: str, seed: int) -> DataFr
 
 
 def natural_keys(rows: DataFrame, name: str, prefix: str) -> tuple[DataFrame, list[str]]:
-    """Sort columns that put names ending in ``prefix<digits>`` first, by that number."""
+    """Sort columns that put names ending in ``prefix<digits>`` first, by that number.
+
+    Numbers of any size compare by their digits: first how many, then which.
+    """
     digits = F.regexp_extract(name, prefix + r"(\d+)$", 1)
     numbered = digits != ""
-    keyed = rows.withColumn("_plain", F.when(numbered, 0).otherwise(1)).withColumn(
-        "_number", F.when(numbered, digits.cast("decimal(38,0)"))
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    keyed = (
+        rows.withColumn("_plain", F.when(numbered, 0).otherwise(1))
+        .withColumn("_size", F.when(numbered, F.length(bare)))
+        .withColumn("_number", F.when(numbered, bare))
     )
-    return keyed, ["_plain", "_number", name]
+    return keyed, ["_plain", "_size", "_number", name]
 
 
 def natural_order(rows: DataFrame, name: str, prefix: str) -> DataFrame:
     """Rows sorted by the number at the end of the name, other names behind."""
     keyed, order = natural_keys(rows, name, prefix)
-    return keyed.orderBy(*order).drop("_plain", "_number")
+    return keyed.orderBy(*order).drop("_plain", "_size", "_number")
 
 
 def _stat_row(lengths: DataFrame, keys: list[str]) -> DataFrame:
@@ -293,5 +299,5 @@ def eval_split_fanout(rows: DataFrame, base: str = "validation") -> DataFrame:
         .groupBy(F.concat(F.lit(stem), text.metric_slug(F.col("_type"))).alias("eval_split"))
         .agg(F.min("_type").alias("_type"))
     )
-    typed = rules.join(owners, "_type")
+    typed = rules.join(F.broadcast(owners), "_type")  # one row per explanation type
     return named.withColumn("eval_split", F.lit(base)).unionByName(typed).drop("_type")

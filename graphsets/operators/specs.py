@@ -22,11 +22,13 @@ ORD_BUCKET = 1 << 12
 
 
 def _choose(count: Column, size: int) -> Column:
-    """Number of sets of ``size`` out of ``count``."""
-    sets = F.lit(1).cast("bigint")
+    """Number of sets of ``size`` out of ``count``, exact; beyond 38 digits it is an error."""
+    sets = F.lit(1).cast("decimal(38,0)")
     for i in range(size):
-        sets = F.floor(sets * F.greatest(count - i, F.lit(0)) / (i + 1))
-    return sets
+        factor = F.greatest(count - i, F.lit(0)).cast("decimal(18,0)")
+        sets = F.call_function("div", (sets * factor).cast("decimal(38,0)"), F.lit(i + 1).cast("decimal(38,0)"))
+        sets = sets.cast("decimal(38,0)")
+    return sets.cast("bigint")
 
 
 def _queries(nodes: DataFrame, on: list[str], max_obs_size: int) -> DataFrame:

@@ -12,6 +12,7 @@ from graphsets.operators import caps, examples, graph, specs, splits
 from graphsets.session import durable
 
 
+# Parameter names, defaults and unit texts of the metadata record.
 @dataclass(frozen=True)
 class DatasetConfig:
     """Parameters of a data set; a cap of None means no cap."""
@@ -99,14 +100,6 @@ def prepare_nodes(nodes: DataFrame, edges: DataFrame, node_or_prob: float, seed:
     return durable(graph.weak_components(ruled, edges).drop("component_root"))
 
 
-def drawn_root_words(nodes: DataFrame, edges: DataFrame, config: DatasetConfig) -> DataFrame:
-    """Packed root facts by draw, where no root facts are given."""
-    roots = graph.root_nodes(nodes, edges)
-    return graph.pack_worlds(
-        graph.drawn_root_facts(roots, config.num_worlds, config.root_prior, config.seed)
-    )
-
-
 class DatasetBuilder:
     """The steps of one data set; each shared table is computed once."""
 
@@ -120,6 +113,18 @@ class DatasetBuilder:
             self._made[name] = durable(make())
         return self._made[name]
 
+    def metadata(self) -> dict:
+        """The parameters of the record; what the given tables decide is counted there.
+
+        Graphs and their size are counted. The probabilities that drew edges and root
+        facts are unknown for given tables, so they are null.
+        """
+        groups = self.tables.nodes.groupBy("graph_idx").agg(F.count(F.lit(1)).alias("n"))
+        counted = groups.agg(F.count(F.lit(1)).alias("graphs"), F.max("n").alias("largest")).first()
+        return self.config.metadata() | {
+            "num_graphs": counted["graphs"], "num_entities": counted["largest"], "edge_prob": None, "root_prior": None,
+        }
+
     def closure(self) -> DataFrame:
         return self.tables.closure()
 

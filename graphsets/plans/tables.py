@@ -15,7 +15,7 @@ from graphsets.functions.draws import chance, draw
 from graphsets.functions.text import boxed
 from graphsets.operators import graph
 from graphsets.plans.dataset import DatasetBuilder, DatasetConfig, GraphTables, prepare_nodes
-from graphsets.session import durable, spread
+from graphsets.session import durable
 
 BLOCK = 20
 SEED = 42
@@ -25,8 +25,8 @@ CONFIG = dict(
     num_entities=BLOCK,
     node_or_prob=0.6,
     sample_ratio_from_worlds=0.002,
-    num_observation_templates=3,
-    num_explanation_templates=3,
+    num_observation_templates=10,
+    num_explanation_templates=10,
     num_copies_explanations=1,
     add_instruction_datapoints=2500,
     val_ratio=0.1,
@@ -39,15 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_scan(df: DataFrame, *columns: str) -> DataFrame:
-    """Spread a table that is stored in fewer splits than there are cores.
-
-    A large table has more splits than cores and is read as it lies.
-    """
-    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-    return spread(df, *columns) if few else df
-
-
 def entity(key) -> F.Column:
     """Text order equals key order."""
     return F.concat(F.lit("P"), F.lpad(key.cast("string"), 9, "0"))
@@ -144,7 +135,7 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_shipdate", "l_returnflag", "l_linestatus",
     )
-    return wide_scan(items, "l_orderkey", "l_partkey", "l_suppkey").withColumn("row_key", line_key())
+    return items.withColumn("row_key", line_key())
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

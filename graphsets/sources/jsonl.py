@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,11 @@ def split_folder(path: str, split: str) -> str:
     return f"{path.rstrip('/')}/part={split}"
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
     """One folder of JSON lines per split, keys sorted, nulls kept.
 
@@ -26,9 +30,7 @@ def write_splits(rows: DataFrame, path: str) -> None:
     ).json(path)
     for split in SPLITS:
         folder = split_folder(path, split)
-        try:
-            spark.read.text(folder)
-        except AnalysisException:
+        if not _exists(spark, folder):
             spark.createDataFrame([], EXAMPLE_SCHEMA).select(*columns).write.json(folder)
 
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
-from itertools import combinations
+from collections import defaultdict
 
 
 def split_sizes(n, val_ratio, test_ratio):
@@ -57,25 +56,6 @@ def world(nodes, edges, rules, roots):
     return value
 
 
-def specs(nodes, size, component=None):
-    out = []
-    for query in nodes:
-        others = [n for n in nodes if n != query and (component is None or component[n] == component[query])]
-        for k in range(1, size + 1):
-            out += [(query, seen) for seen in combinations(others, k)]
-    return out
-
-
-def greedy_cap(rows, cap):
-    """rows: (split, labels, key) in scan order."""
-    counts, kept = Counter(), []
-    for split, labels, key in rows:
-        if all(counts[split, label] < cap for label in labels):
-            kept.append(key)
-            counts.update((split, label) for label in labels)
-    return kept
-
-
 def pass_at_k(n, c, k):
     if n - c < k:
         return 1.0

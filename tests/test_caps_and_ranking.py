@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
 from graphsets.operators import caps, ranking, report
-from tests import model
 
 
 @pytest.fixture(scope="module")
@@ -83,19 +82,63 @@ LABELS = ["ancestor", "descendant", "independent", "other"]
 
 
 @pytest.mark.parametrize("seed,cap", [(1, 1), (2, 5), (3, 20), (4, 60), (5, 500), (6, 0)])
-def test_multilabel_cap_equals_the_greedy_scan(spark, seed, cap):
+def test_multilabel_cap(spark, seed, cap):
+    """Sets are cut to prefixes, no label is above the cap, and only full labels drop rows."""
     rng = random.Random(seed)
     data = [
-        (rng.choice(["train", "train", "val"]), rng.sample(LABELS, rng.choice([1, 1, 2, 3])), f"r{i:04d}")
+        (rng.choice(["train", "train", "val", None]), rng.sample(LABELS, rng.choice([1, 1, 2, 3])), f"r{i:04d}")
         for i in range(400)
     ]
     rows = spark.createDataFrame(data, "split string, inference_types array<string>, row_key string")
-    drawn = rows.withColumn("d", draw(3, "cap_labels", "row_key")).collect()
-    scan = sorted(drawn, key=lambda r: (r.d, r.row_key))
-    want = model.greedy_cap([(r.split, r.inference_types, r.row_key) for r in scan], cap)
+    drawn = {r.row_key: r for r in rows.withColumn("d", draw(3, "cap_labels", "row_key")).collect()}
     got = caps.cap_multilabel(rows, cap, "row_key", 3)
     assert got.columns == rows.columns
-    assert sorted(r.row_key for r in got.collect()) == sorted(want)
+    kept = {r.row_key for r in got.collect()}
+    place = {k: (r.d, k) for k, r in drawn.items()}
+    used = Counter((r.split, label) for k, r in drawn.items() if k in kept for label in r.inference_types)
+    assert all(n <= cap for n in used.values())
+    sets = defaultdict(list)
+    for k, r in drawn.items():
+        sets[r.split, tuple(sorted(r.inference_types))].append(k)
+    for keys in sets.values():
+        inside = [k in kept for k in sorted(keys, key=place.get)]
+        assert inside == sorted(inside, reverse=True)
+    for k, r in drawn.items():
+        if k not in kept:
+            earlier = Counter(
+                label for e, x in drawn.items() if e in kept and x.split == r.split and place[e] < place[k]
+                for label in x.inference_types
+            )
+            assert any(earlier[label] >= cap for label in r.inference_types)
+
+
+def test_rows_without_labels_count_for_their_primary_type(spark):
+    data = [("train", [], "a", f"r{i}") for i in range(5)] + [("train", None, "a", f"s{i}") for i in range(3)]
+    data += [(None, [None], "b", "t"), (None, ["b"], "x", "u"), ("val", None, None, "v")]
+    rows = spark.createDataFrame(
+        data, "split string, inference_types array<string>, primary_inference_type string, row_key string"
+    )
+    got = caps.cap_multilabel(rows, 3, "row_key", 1).collect()
+    assert Counter(r.primary_inference_type for r in got) == {"a": 3, "b": 1, "x": 1, None: 1}
+    assert caps.cap_multilabel(rows, 1, "row_key", 1).filter("split is null").count() == 1
+
+
+def test_repeated_row_keys_are_an_error(spark):
+    rows = spark.createDataFrame([("train", ["a"], "r")] * 2, "split string, inference_types array<string>, row_key string")
+    with pytest.raises(ValueError):
+        caps.cap_multilabel(rows, 1, "row_key", 1)
+
+
+def test_null_groups_stay(spark):
+    rows = spark.createDataFrame(
+        [(None if i % 2 else "a", str(i), i) for i in range(6)], "split string, row_key string, d bigint"
+    )
+    assert ranking.draw_ranked(rows, ["split"], "d", ["row_key"]).count() == 6
+    assert sorted(r.example_id for r in report.example_index(rows, ["row_key"]).collect()) == [0, 0, 1, 1, 2, 2]
+    for keep in (1, 20_000):
+        got = Counter(r.split for r in ranking.lowest(rows, ["split"], "d", ["row_key"], keep).collect())
+        assert got == {None: min(keep, 3), "a": min(keep, 3)}
+    assert {r.d for r in ranking.nth_row(rows, ["split"], "d", ["row_key"], 2).collect()} == {2, 3}
 
 
 def observation(i, query, value, answer, split="train", component=0):
@@ -114,6 +157,14 @@ def test_probability_bins(spark):
     assert got == {"r0": "7", "r1": "7", "r2": "7", "r3": "2", "r4": "9", "r5": "unobserved", "r6": "7"}
 
 
+def test_component_bin_cap_with_nulls(spark):
+    data = [observation(i, "Q", "1", "1", split=None) for i in range(3)]
+    data += [observation(i, "Q", "1", "1", component=None) for i in range(3, 8)]
+    rows = spark.createDataFrame(data, OBS)
+    got = Counter((r.split, r.component_id) for r in caps.cap_component_bin(rows, 2, "row_key", 1).collect())
+    assert got == {(None, 0): 3, ("train", None): 2}
+
+
 def test_component_bin_cap_passes_other_splits(spark):
     data = [observation(i, "Q", "1", "1") for i in range(9)] + [observation(9, "Q", "1", "0")]
     data += [observation(i, "Q", "1", "1", split="val") for i in range(10, 16)]

@@ -1,4 +1,5 @@
 from collections import Counter
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ def test_split_is_exact_with_a_hot_group(spark):
     assert sorted(rows) == sorted(again)
 
 
+def test_null_groups_are_split_too(spark):
+    items = spark.createDataFrame([(None if i % 2 else 1, str(i)) for i in range(20)], "graph_idx bigint, entity string")
+    per = Counter((r.graph_idx, r.split) for r in splits.split_by_node(items, 0.2, 0.2, 5).collect())
+    assert per == {(g, s): n for g in (None, 1) for s, n in (("train", 6), ("val", 2), ("test", 2))}
+
+
 def test_whole_graphs_are_split(spark):
     items = spark.range(0, 400).select((F.col("id") % 20).alias("graph_idx"), F.col("id").cast("string").alias("entity"))
     rows = splits.split_by_graph(items, 0.1, 0.1, 5).collect()
@@ -65,11 +72,17 @@ def nodes(spark):
 def test_specs(nodes, size, per_component):
     rows = specs.observation_specs(nodes, size, per_component).collect()
     for g in (0, 1, 2):
-        names = [e for gg, e, _, _ in NODES if gg == g]
-        home = {e: c for _, e, _, c in NODES} if per_component else None
+        home = {e: c if per_component else 0 for gg, e, _, c in NODES if gg == g}
         mine = sorted((r for r in rows if r.graph_idx == g), key=lambda r: r.spec_ord)
         assert [r.spec_ord for r in mine] == list(range(len(mine)))
-        assert [(r.query_entity, tuple(r.observed_entities)) for r in mine] == model.specs(names, size, home)
+        seen = [(r.query_entity, tuple(r.observed_entities)) for r in mine]
+        assert len(set(seen)) == len(seen)
+        per_query = Counter((q, len(o)) for q, o in seen)
+        for query, c in home.items():
+            others = sum(1 for e, d in home.items() if e != query and d == c)
+            assert [per_query[query, k] for k in range(1, size + 1)] == [comb(others, k) for k in range(1, size + 1)]
+        assert all(q not in o and list(o) == sorted(set(o)) and all(home[e] == home[q] for e in o) for q, o in seen)
+        assert seen == sorted(seen, key=lambda s: (s[0], len(s[1]), s[1]))
 
 
 @pytest.mark.parametrize("ratio", [0.0, 0.001, 0.1, 0.4, 0.55, 0.9, 1.0])

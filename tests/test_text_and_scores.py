@@ -165,6 +165,37 @@ def test_observation_wording(spark):
     assert {r.completion for r in made} == {"\\boxed{1}", "\\boxed{0}"}
 
 
+def test_inserted_names_are_not_placeholders(spark):
+    rows = spark.createDataFrame([("{P2}", "B")], "a string, b string")
+    prompt = examples.fill(F.lit("between {P1} and {P2}? {answer} {P1}"), {"{P1}": F.col("a"), "{P2}": F.col("b")})
+    assert rows.select(prompt).first()[0] == "between {P2} and B? {answer} {P2}"
+
+
+def test_first_rows_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (None, "n"), (2, "w")], "k int, v string")
+    for count in range(7):
+        got = [(r.k, r.v) for r in examples.first_rows(rows, ["k"], count).collect()]
+        assert sorted(got, key=str) == sorted([(None, "n"), (1, "x"), (1, "y"), (1, "z"), (2, "w")][:count], key=str)
+
+
+def test_a_missing_fact_is_an_error(spark):
+    sampled = spark.createDataFrame([(0, 0, 0)], "graph_idx bigint, world_id bigint, spec_ord bigint")
+    specs = spark.createDataFrame([(0, 0, "Q", ["A"])], "graph_idx bigint, spec_ord bigint, query_entity string, observed_entities array<string>")
+    words = spark.createDataFrame([(0, "A", 0, 1)], "graph_idx bigint, entity string, word int, bits bigint")
+    with pytest.raises(PySparkException, match="no fact of Q"):
+        examples.observe(sampled, specs, words, 1).collect()
+
+
+def test_open_turn_in_other_markup(spark):
+    rows = spark.createDataFrame([("hi",)], "u string")
+    def mark(role, content):
+        return F.concat(F.lit(f"<{role}>"), content)
+    text_ = text.chat_text(F.col("u"), open_assistant=True, message=mark, header=lambda role: F.lit(f"<{role}>"))
+    assert rows.select(text_).first()[0] == "<user>hi<assistant>"
+    with pytest.raises(ValueError):
+        text.chat_text(F.col("u"), open_assistant=True, message=mark)
+
+
 def test_copies(spark):
     rows = spark.createDataFrame(
         [("train", "explanation", "a"), ("val", "explanation", "b"), ("train", "observation", "c")],
