@@ -424,11 +424,11 @@ def unordered(form: str) -> str:
 
 QUERIES: dict[str, str] = {}
 
+CTES["branded"] = f"""
+SELECT n.graph_idx, n.entity, n.ord, p.p_brand FROM parts n JOIN part p ON n.entity = {entity('p.p_partkey')}"""
 QUERIES["candidate_edges"] = """
-WITH made AS (
-  SELECT p.graph_idx, p.entity, p.ord, m.p_mfgr FROM parts p JOIN part m ON p.entity = 'P' || lpad(m.p_partkey::VARCHAR, 9, '0'))
-SELECT a.graph_idx, a.entity AS parent, b.entity AS child FROM made a
-JOIN made b ON a.graph_idx = b.graph_idx AND a.p_mfgr = b.p_mfgr AND a.ord < b.ord"""
+SELECT a.graph_idx, a.entity AS parent, b.entity AS child FROM branded a
+JOIN branded b ON a.graph_idx = b.graph_idx AND a.p_brand = b.p_brand AND a.ord < b.ord"""
 QUERIES["bernoulli_rows"] = f"SELECT row_key FROM lines WHERE {chance(0.25, draw('keep', 'row_key'))}"
 QUERIES["root_nodes"] = "SELECT graph_idx, entity FROM parts WHERE entity NOT IN (SELECT child FROM edges)"
 QUERIES["assign_rules"] = "SELECT graph_idx, entity, rule FROM nodes"
@@ -480,7 +480,7 @@ SELECT o.graph_idx, o.world_id, o.spec_ord, (least(floor(probability * 10), 9)::
 FROM observed o JOIN probabilities p ON p.graph_idx = o.graph_idx AND p.query_entity = o.query_entity
   AND p.observed = o.observed AND p.vals = o.vals AND p.answer = o.answer"""
 for family, source, limit in (
-    ("rule", "single", 10), ("parent_retrieval", "single", 10), ("child_retrieval", "single", 10), ("relationship", "paired", 3),
+    ("rule", "single", 10), ("parent_retrieval", "single", 10), ("child_retrieval", "single", 10), ("relationship", "paired", 10),
 ):
     name = {"rule": "rule_explanations", "relationship": "relationship_explanations"}.get(family, family)
     rows = explanation_sql(f"SELECT * FROM {source} WHERE family = '{family}'", limit)
@@ -619,7 +619,9 @@ SELECT 'accuracy' AS metric, round(avg(accuracy), 9) AS value FROM scores
 UNION ALL SELECT 'pass_at_' || k, round(pass_at_k, 9) FROM passes
 UNION ALL SELECT 'acc_' || primary_inference_type, round(avg(accuracy), 9) FROM scores GROUP BY primary_inference_type"""
 QUERIES["prediction_report"] = f"""
-SELECT example_id, answer, answer AS canonical_answer, primary_inference_type, round(correct / samples, 9) AS accuracy,
+SELECT example_id, 'Status of order ' || example_id || '?' AS prompt, answer, answer AS canonical_answer, primary_inference_type,
+  primary_inference_type || '|' || answer AS inference_types, CASE WHEN answer = 'F' THEN 'rule' END AS explanation_type,
+  'C' || o_custkey AS query_entity, round(correct / samples, 9) AS accuracy,
   round(p[1], 9) AS pass_at_1, round(p[2], 9) AS pass_at_2, round(p[3], 9) AS pass_at_3,
   predictions, canonicalized_predictions, texts
 FROM (SELECT *, list_transform([1, 2, 3], lambda k: {PASS}) AS p FROM (
@@ -627,7 +629,7 @@ FROM (SELECT *, list_transform([1, 2, 3], lambda k: {PASS}) AS p FROM (
     string_agg(coalesce(prediction, 'none'), '|' ORDER BY row_key) AS predictions,
     string_agg(coalesce(trim(prediction), 'none'), '|' ORDER BY row_key) AS canonicalized_predictions,
     string_agg(generated_text, '|' ORDER BY row_key) AS texts
-  FROM scored GROUP BY example_id, answer, primary_inference_type))"""
+  FROM scored GROUP BY example_id, answer, primary_inference_type)) JOIN orders ON o_orderkey = example_id"""
 SIDE = "SELECT example_id, count(*) AS n, sum(right_one)::BIGINT AS c FROM scored WHERE {0} GROUP BY example_id"
 FIRST = chance(0.5, draw("model", "row_key"))
 QUERIES["model_compare"] = f"""

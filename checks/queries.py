@@ -56,8 +56,8 @@ def flat(rows: DataFrame) -> DataFrame:
 
 def candidate_edges(spark, sf):
     made = F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("entity")
-    maker = star.table(spark, sf, "part").select(made, "p_mfgr")
-    return graph.candidate_edges(star.nodes(spark, sf).join(maker, "entity"), ["p_mfgr"])
+    maker = star.table(spark, sf, "part").select(made, "p_brand")
+    return graph.candidate_edges(star.nodes(spark, sf).join(maker, "entity"), ["p_brand"])
 
 
 def bernoulli_rows(spark, sf):
@@ -558,7 +558,8 @@ def prediction_report(spark, sf):
     shown = F.transform("predictions", lambda p: F.coalesce(p, F.lit("none")))
     canon = F.transform("canonicalized_predictions", lambda p: F.coalesce(p, F.lit("none")))
     return made.select(
-        "example_id", "answer", "canonical_answer", "primary_inference_type",
+        "example_id", "prompt", "answer", "canonical_answer", "primary_inference_type", joined("inference_types"),
+        "explanation_type", "query_entity",
         F.round("accuracy", 9).alias("accuracy"),
         *[F.round(F.try_element_at("pass_at_k", F.lit(k)), 9).alias(f"pass_at_{k}") for k in (1, 2, 3)],
         F.array_join(shown, "|").alias("predictions"),

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsets.functions.answers import canonical_ascii, last_boxed, normal_form, pass_at_k
+from graphsets.session import durable
+
+# What a prediction record takes over from its example.
+RECORD = (
+    "prompt", "answer", "canonical_answer", "primary_inference_type", "inference_types", "explanation_type", "query_entity",
+)
 
 
 def columns_to_rows(generations: DataFrame) -> DataFrame:
@@ -38,18 +44,15 @@ def canonical_answers(df: DataFrame, source: str, out: str) -> DataFrame:
 def score_samples(samples: DataFrame) -> DataFrame:
     """Add prediction, canonical_prediction, canonical_answer and ``correct`` (0/1).
 
-    A sample without a box is wrong.
+    A sample without a box is wrong. If ``samples`` already have canonical_answer, made
+    once per example, it is used as it is.
     """
     read = samples.withColumn("prediction", last_boxed(F.col("generated_text")))
-    normal = read.withColumns(
-        {"_p": normal_form(F.col("prediction")), "_a": normal_form(F.col("answer"))}
-    )
+    if "canonical_answer" not in samples.columns:
+        read = canonical_answers(read, "answer", "canonical_answer")
     right = F.col("canonical_prediction") == F.col("canonical_answer")
-    return (
-        normal.withColumn("canonical_prediction", canonical_ascii(F.col("_p")))
-        .withColumn("canonical_answer", canonical_ascii(F.col("_a")))
-        .withColumn("correct", F.coalesce(right, F.lit(False)).cast("bigint"))
-        .drop("_p", "_a")
+    return canonical_answers(read, "prediction", "canonical_prediction").withColumn(
+        "correct", F.coalesce(right, F.lit(False)).cast("bigint")
     )
 
 
@@ -82,7 +85,11 @@ def accuracy_by_type(examples: DataFrame) -> DataFrame:
 
 
 def scorecard(examples: DataFrame, max_k: int) -> DataFrame:
-    """All metrics as (metric, value): accuracy, pass@k and accuracy per type."""
+    """All metrics as (metric, value): accuracy, pass@k and accuracy per type.
+
+    The example scores are computed once, and read for each kind of metric.
+    """
+    examples = durable(examples.select("primary_inference_type", "samples", "correct", "accuracy"))
     overall = examples.agg(F.avg("accuracy").alias("value")).select(F.lit("accuracy").alias("metric"), "value")
     passes = pass_at_k_table(examples, max_k).select(
         F.concat(F.lit("pass_at_"), F.col("k").cast("string")).alias("metric"),
@@ -96,13 +103,19 @@ def scorecard(examples: DataFrame, max_k: int) -> DataFrame:
 
 
 def prediction_report(
-    scored: DataFrame, max_k: int, keep: tuple[str, ...] = ("answer", "canonical_answer", "primary_inference_type")
+    scored: DataFrame, max_k: int, keep: tuple[str, ...] = RECORD
 ) -> DataFrame:
-    """One nested record per example: scores, texts and predictions in sample order."""
+    """One nested record per example: scores, texts and predictions in sample order.
+
+    The columns ``keep`` are the example's own, equal in all its samples; those that
+    ``scored`` lacks are left out.
+    """
+    keep = tuple(name for name in keep if name in scored.columns)
     sample = F.struct("sample_idx", "generated_text", "prediction", "canonical_prediction")
     ordered = F.array_sort(F.collect_list(sample))
-    grouped = scored.groupBy("example_id", *keep).agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("correct").alias("correct"), ordered.alias("_s")
+    own = [F.first(name).alias(name) for name in keep]
+    grouped = scored.groupBy("example_id").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("correct").alias("correct"), ordered.alias("_s"), *own
     )
     scores = F.map_from_entries(
         F.transform(

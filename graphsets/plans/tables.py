@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphsets.functions.draws import chance, draw
 from graphsets.functions.text import boxed
 from graphsets.operators import graph
+from graphsets.operators.score import canonical_answers
 from graphsets.plans.dataset import DatasetBuilder, DatasetConfig, GraphTables, prepare_nodes
 from graphsets.session import durable
 
@@ -170,6 +171,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("answer"),
         F.col("o_orderpriority").alias("primary_inference_type"),
     )
+    orders = canonical_answers(orders, "answer", "canonical_answer")
     form = F.col("_form")
     said = F.col("l_linestatus")
     wording = (
@@ -188,12 +190,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same samples as one row per example with its texts in line order."""
+    """The same samples as one row per example with its texts in line order, and the example's other fields."""
     rows = samples(spark, sf_dir)
     ordered = F.array_sort(F.collect_list(F.struct("row_key", "generated_text")))
-    return rows.groupBy("example_id", "answer", "primary_inference_type").agg(
-        F.transform(ordered, lambda s: s["generated_text"]).alias("generated_text")
+    texts = rows.groupBy("example_id").agg(F.transform(ordered, lambda s: s["generated_text"]).alias("generated_text"))
+    status = F.col("o_orderstatus")
+    examples = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("example_id"),
+        F.concat(F.lit("Status of order "), "o_orderkey", F.lit("?")).alias("prompt"),
+        status.alias("answer"),
+        F.concat(F.lit("C"), "o_custkey").alias("query_entity"),
+        F.col("o_orderpriority").alias("primary_inference_type"),
+        F.array("o_orderpriority", status).alias("inference_types"),
+        F.when(status == "F", "rule").alias("explanation_type"),
     )
+    return canonical_answers(examples, "answer", "canonical_answer").join(texts, "example_id")
 
 
 class Tables:
