@@ -6,6 +6,8 @@ All loops run on the whole tables, one round per hop, doubling or level.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,9 @@ def reachability(edges: DataFrame) -> DataFrame:
     """All pairs (graph_idx, ancestor, descendant) joined by a directed path.
 
     Path doubling: a round extends the newest pairs by all known pairs, so the
-    number of rounds is the logarithm of the longest shortest path.
+    number of rounds is the logarithm of the longest shortest path. The join needs no
+    salt: its exchanges are Spark's own, so a node in the middle of very many paths
+    is split by the adaptive skew join.
     """
     key = ["graph_idx", "ancestor", "descendant"]
     fresh = durable(
@@ -246,27 +250,24 @@ def node_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = durable(edges.select("graph_idx", "parent", "child").distinct())
     key = ["graph_idx", "entity"]
     roots = root_nodes(nodes.select(*key), edges)
+    wanted = durable(_indegrees(edges))
     settled = durable(roots.withColumn("depth", F.lit(0)))
-    parts = [settled]
-    waiting = durable(_indegrees(edges))
-    depth = 0
+    parts, waiting, depth = [settled], None, 0
     while not settled.isEmpty():
         depth += 1
-        arrivals = (
+        came = (
             edges.join(settled.select("graph_idx", F.col("entity").alias("parent")), ["graph_idx", "parent"])
             .groupBy("graph_idx", F.col("child").alias("entity"))
-            .agg(F.count(F.lit(1)).alias("_came"))
+            .agg(F.count(F.lit(1)).alias("seen"))
         )
-        waiting = durable(
-            waiting.filter(F.col("missing") > 0)
-            .join(arrivals, key, "left")
-            .select(*key, (F.col("missing") - F.coalesce("_came", F.lit(0))).alias("missing"))
-        )
-        settled = waiting.filter(F.col("missing") == 0).select(*key, F.lit(depth).alias("depth"))
+        if waiting is not None:
+            came = waiting.unionByName(came).groupBy(*key).agg(F.sum("seen").alias("seen"))
+        # Only nodes that some parent has reached; the settled ones are files of their own.
+        state = durable(came.join(wanted, key).withColumn("done", F.col("seen") == F.col("missing")), "done")
+        settled = state.filter("done").select(*key, F.lit(depth).alias("depth"))
+        waiting = state.filter("not done").select(*key, "seen")
         parts.append(settled)
-    depths = parts[0]
-    for part in parts[1:]:
-        depths = depths.unionByName(part)
+    depths = reduce(DataFrame.unionByName, parts)
     return nodes.join(depths, key, "left").withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -337,14 +338,14 @@ def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> Data
                     F.bit_and("all_bits").alias("all_bits"),
                 )
             )
-        state = durable(came.join(inner, key))
+        # The settled rows are files of their own, so no later round reads the others.
+        state = durable(came.join(inner, key).withColumn("done", F.col("seen") == F.col("missing")), "done")
         bits = F.when(F.col("rule") == "OR", F.col("any_bits")).otherwise(F.col("all_bits"))
-        complete = F.col("seen") == F.col("missing")
-        settled = state.filter(complete).select(*key, "word", bits.alias("bits"))
+        settled = state.filter("done").select(*key, "word", bits.alias("bits"))
         if settled.isEmpty():
             return known
         known = known.unionByName(settled)
-        waiting = state.filter(~complete).select(*key, "word", "seen", "any_bits", "all_bits")
+        waiting = state.filter("not done").select(*key, "word", "seen", "any_bits", "all_bits")
 
 
 def unresolved_nodes(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:

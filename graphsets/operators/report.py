@@ -231,23 +231,23 @@ def _stat_row(lengths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def length_stats(
-    rows: DataFrame, prompt: str = "prompt", completion: str = "completion", length=text.token_count
+    rows: DataFrame, prompt: str | None = "prompt", completion: str | None = "completion", length=text.token_count,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Length statistics of prompts, completions and both together.
+    """Length statistics of prompts, completions and both together, per group of ``by``.
 
     ``length`` maps a text column to its length; take ``stride_sample`` of the
-    rows first to look at a sample.
+    rows first to look at a sample. A table without one of the texts gives None
+    for its name, and has statistics of the other only.
     """
-    measured = rows.select(length(F.col(prompt)).alias("p"), length(F.col(completion)).alias("c"))
-    parts = F.array(
-        F.struct(F.lit("prompt").alias("part"), F.col("p").alias("length")),
-        F.struct(F.lit("completion").alias("part"), F.col("c").alias("length")),
-        F.struct(F.lit("total").alias("part"), (F.col("p") + F.col("c")).alias("length")),
-    )
-    histogram = (
-        measured.select(F.inline(parts)).groupBy("part", "length").agg(_count().alias("n"))
-    )
-    return _stat_row(histogram, ["part"])
+    found = {name: F.col(f"_{name}") for name, column in (("prompt", prompt), ("completion", completion)) if column}
+    if len(found) == 2:
+        found["total"] = found["prompt"] + found["completion"]
+    columns = {"prompt": prompt, "completion": completion}
+    measured = rows.select(*by, *[length(F.col(columns[n])).alias(f"_{n}") for n in found if n != "total"])
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("length")) for n, v in found.items()])
+    histogram = measured.select(*by, F.inline(parts)).groupBy(*by, "part", "length").agg(_count().alias("n"))
+    return _stat_row(histogram, [*by, "part"])
 
 
 def batch_prompt_lengths(

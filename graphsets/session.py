@@ -26,11 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark).rstrip('/')}/graphsets/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, as Parquet in the shared folder; later reads prune columns."""
+def durable(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Compute ``df`` once, as Parquet in the shared folder; later reads prune columns.
+
+    With ``by``, a column of few values, a filter on it reads only the files of its value.
+    """
     path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -201,6 +201,12 @@ def test_length_percentiles(spark, n):
     assert abs(got.avg_len - sum(xs) / n) < 1e-9
 
 
+def test_lengths_per_split_and_without_completions(spark):
+    rows = spark.createDataFrame([("a", "x y"), ("a", "x"), ("b", "x y z"), (None, "")], "split string, prompt string")
+    got = {(r.split, r.part): (r.n, r.min_len, r.max_len) for r in report.length_stats(rows, completion=None, by=("split",)).collect()}
+    assert got == {("a", "prompt"): (2, 1, 2), ("b", "prompt"): (1, 3, 3), (None, "prompt"): (1, 0, 0)}
+
+
 def test_eval_subset(spark):
     rows = spark.range(0, 50).withColumnRenamed("id", "example_id")
     got = [r.example_id for r in report.eval_subset(rows, 10, "example_id", 1).collect()]
