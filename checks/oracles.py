@@ -498,7 +498,7 @@ SELECT split, key, row_key FROM (SELECT *, row_number() OVER (
 QUERIES["cap_multilabel"] = """
 SELECT split, array_to_string(labels, '|') AS inference_types, k AS row_key FROM label_kept"""
 QUERIES["cap_component_bin"] = "SELECT graph_idx, component_id, row_key, answer FROM bin_capped"
-QUERIES["capped_examples"] = f"""
+QUERIES["cap_pipeline"] = f"""
 SELECT 'train' AS split, 'observation' AS kind, b.row_key, b.answer FROM bin_capped b JOIN bin_kept k ON k.k = b.row_key
 UNION ALL
 SELECT split, 'explanation', row_key, answer FROM (SELECT *, row_number() OVER (

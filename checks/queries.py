@@ -298,7 +298,7 @@ def cap_component_bin(spark, sf):
     return rows.select("graph_idx", "component_id", "row_key", "answer")
 
 
-def capped_examples(spark, sf):
+def cap_pipeline(spark, sf):
     observations, explanations = tables(spark, sf).builder(**COMPONENT).capped()
     return observations.select("split", "kind", "row_key", "answer").unionByName(
         explanations.select("split", "kind", "row_key", "answer")
@@ -606,7 +606,7 @@ ALL = [
     observation_prompts, observation_examples, conditional_probability, probability_bins,
     rule_explanations, parent_retrieval, child_retrieval, relationship_explanations, explanation_prompts,
     explanation_copies, instruction_first_n, instruction_boxing, instruction_examples, cap_by_key,
-    cap_multilabel, cap_component_bin, capped_examples, full_dataset, scan_examples, jsonl_roundtrip,
+    cap_multilabel, cap_component_bin, cap_pipeline, full_dataset, scan_examples, jsonl_roundtrip,
     metadata_summary, split_kind_counts, observation_type_counts, explanation_type_counts,
     relationship_truth_counts, truth_counts_grouping_sets, type_distribution_rollup, distinct_types,
     count_rendering, first_example_per_type, split_preview, eval_split_fanout, example_index,

@@ -162,16 +162,6 @@ def _attempts(groups: DataFrame, seed: int) -> DataFrame:
 def _ranked_attempts(groups: DataFrame, seed: int) -> DataFrame:
     """Distinct ordinals with their rank by first try, and how many there are."""
     world = ["graph_idx", "world_id"]
-    most = groups.agg(F.max("tries")).first()[0]
-    if most <= CHUNK:
-        # Few tries per world: all of a world's steps run where its one row lies.
-        local = spread(groups.withColumn("_chunk", F.lit(0).cast("bigint")), *world)
-        one_world = Window.partitionBy(*world)
-        return (
-            _attempts(local, seed)
-            .withColumn("_rank", F.row_number().over(one_world.orderBy("_try")))
-            .withColumn("_distinct", F.count(F.lit(1)).over(one_world))
-        )
     chunks = groups.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("tries") - 1) / CHUNK)))
     )
