@@ -3,16 +3,16 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
-from checks import compare
-from graphsets.session import scratch_path
+from checks import compare, oracles, queries
 from graphsets.sources import jsonl
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = queries.queries()
+SQL = oracles.oracle_sql()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.fixture(scope="module")
@@ -38,10 +38,10 @@ def test_no_train_explanation_names_a_held_out_entity(spark, sf_dir):
     assert not any(e in held for r in rows for e in r.query_entity.split("->"))
 
 
-def test_empty_splits_are_written(spark, sf_dir):
+def test_empty_splits_are_written(spark, sf_dir, tmp_path):
     from checks.queries import tables
 
-    path = scratch_path(spark, "train-only")
+    path = str(tmp_path / "train-only")
     rows = tables(spark, sf_dir).examples().filter("split = 'train' AND kind = 'instruction'")
     jsonl.write_splits(rows, path)
     assert all(os.path.isdir(jsonl.split_folder(path, s)) for s in ("train", "val", "test"))
