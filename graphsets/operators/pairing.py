@@ -2,7 +2,8 @@
 
 They are used only where the pairs are the result asked for. A group may be
 large, so its left members are salted into parts that run apart, and the right
-members, few next to the pairs, are copied to every part.
+members, few next to the pairs, are copied to every part. How many parts a group
+has follows from its size: small groups stay whole and are copied once.
 """
 
 from __future__ import annotations
@@ -12,20 +13,27 @@ from pyspark.sql import functions as F
 
 from graphsets.session import spread
 
-SALTS = 16
+PART_ROWS = 256
 
 
-def salted(left: DataFrame, on: list[str], by: str) -> DataFrame:
-    """Spread group members over ``SALTS`` parts by the column ``by``."""
-    parts = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return spread(parts, *on, "_salt")
+def parts_of(left: DataFrame, on: list[str]) -> DataFrame:
+    """(on, _parts): one part for each ``PART_ROWS`` left members of a group."""
+    return left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts"))
 
 
-def copied(right: DataFrame) -> DataFrame:
+def salted(left: DataFrame, on: list[str], by: str, parts: DataFrame) -> DataFrame:
+    """Spread group members over the group's parts by the column ``by``."""
+    placed = left.join(parts, on).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
+    return spread(placed.drop("_parts"), *on, "_salt")
+
+
+def copied(right: DataFrame, on: list[str], parts: DataFrame) -> DataFrame:
     """The other side, once per part."""
-    return right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    numbers = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    return right.join(parts, on).withColumn("_salt", numbers).drop("_parts")
 
 
 def pair_members(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
     """Equi join of two sides of the same groups, split by salt."""
-    return salted(left, on, by).join(copied(right), [*on, "_salt"]).drop("_salt")
+    parts = parts_of(left, on)
+    return salted(left, on, by, parts).join(copied(right, on, parts), [*on, "_salt"]).drop("_salt")

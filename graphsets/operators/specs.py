@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
-from graphsets.operators.pairing import copied, salted
+from graphsets.operators.pairing import copied, parts_of, salted
 from graphsets.operators.ranking import bucket_ranked, running_before
 from graphsets.schema import INFERENCE_PRIORITY
 from graphsets.session import durable, small_side, spread
@@ -61,13 +61,15 @@ def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool =
     slots and numbering keep their partitioning by group and salt of the query.
     """
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
+    queries = durable(_queries(nodes, on, max_obs_size))
+    parts = parts_of(queries, on)
     grown = (
-        salted(durable(_queries(nodes, on, max_obs_size)), on, "query_entity")
+        salted(queries, on, "query_entity", parts)
         .withColumn("observed_entities", F.array().cast("array<string>"))
         .withColumn("observed_ords", F.array().cast("array<bigint>"))
     )
     slot = copied(
-        nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o"))
+        nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o")), on, parts
     )
     one_query = Window.partitionBy(*on, "_salt", "query_ord").orderBy("observed_ords")
     sizes = []
