@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +29,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of all documents, written as records and read back."""
     manifest = records.write_records(table(spark, sf_dir, "documents"), records.session_tokenizer())
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
-    return records.read_records(manifest).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return records.read_records(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
