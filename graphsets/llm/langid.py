@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from graphsets.llm.codes import LETTER, blocks, flatten, tables
 
 SAMPLE_CHARS = 40_000  # letters and blanks of each language's sample; the bound of the fit
+ALL_SAMPLES = 200_000  # and of all languages together; with more languages each has a smaller sample, 2,000 at least
+LETTERS, CLASSES = 190, 64  # letters with a symbol of their own; all others share these classes by code point
 SAMPLE_TEXTS = 64
 SALTS = 64
 SEGMENT = 512  # characters that are parsed in step; each segment begins a new phrase
@@ -82,8 +84,10 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
 class Model:
     """Languages, their alphabet and one parsing table for all of them.
 
-    Symbol 0 fills segments up, 1 is any letter outside the alphabet. An entry holds the
-    next row and, at the bit ``_AGAIN``, that a phrase ended before this symbol.
+    Symbol 0 fills segments up, 1 is any letter outside the alphabet. If the samples have
+    more than ``LETTERS`` letters, the rarer ones share ``CLASSES`` symbols, so the table's
+    size is bounded for any script. An entry holds the next row and, at the bit ``_AGAIN``,
+    that a phrase ended before this symbol.
     """
 
     languages: list[str]
@@ -91,16 +95,27 @@ class Model:
     steps: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
+    shared: bool = False
+
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        other = points % CLASSES + len(self.alphabet) + 2 if self.shared else 1
+        return np.where(self.alphabet[at] == points, at + 2, other).astype(np.int64)
 
     @staticmethod
     def fit(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Model:
         """``samples``: texts of each language; the first ``chars`` signs of them all count."""
+        chars = min(chars, max(2_000, ALL_SAMPLES // max(1, len(samples))))
         simple = {lang: simplify([" ".join(texts)])[0][:chars] for lang, texts in sorted(samples.items())}
         simple = {lang: x for lang, x in simple.items() if len(x)}
-        alphabet = np.unique(np.concatenate([*simple.values(), np.array([32])]))
-        size, parts, roots, base = len(alphabet) + 2, [], [], 0
+        alphabet, often = np.unique(np.concatenate([*simple.values(), np.array([32])]), return_counts=True)
+        shared = len(alphabet) > LETTERS
+        if shared:
+            alphabet = np.sort(alphabet[np.argsort(-often, kind="stable")[:LETTERS]])
+        size, parts, roots, base = len(alphabet) + 2 + shared * CLASSES, [], [], 0
+        coder = Model([], alphabet, np.zeros(0), np.zeros(0), np.zeros(0), shared)
         for points in simple.values():
-            moves = suffix_automaton((np.searchsorted(alphabet, points) + 2).tolist(), size)
+            moves = suffix_automaton(coder.symbols(points).tolist(), size)
             states = np.arange(len(moves), dtype=np.int32) + base
             fresh = np.where(moves[0] >= 0, moves[0] + base, base) | _AGAIN  # begins a phrase
             table = np.where(moves >= 0, moves + base, fresh[None, :]).astype(np.int32)
@@ -112,7 +127,7 @@ class Model:
             base += len(moves)
         bits = np.array([np.log2(max(2, len(x))) for x in simple.values()])
         steps = np.concatenate(parts) if parts else np.zeros((0, size), np.int32)
-        return Model(list(simple), alphabet, steps, np.array(roots, np.int64), bits)
+        return Model(list(simple), alphabet, steps, np.array(roots, np.int64), bits, shared)
 
     def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases [text, language]; long texts are parsed in segments side by side."""
@@ -142,9 +157,7 @@ class Model:
         points, lengths = simplify(texts)
         if not self.languages or not len(points):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        symbols = np.where(self.alphabet[at] == points, at + 2, 1)
-        count = self.phrases(symbols, lengths)
+        count = self.phrases(self.symbols(points), lengths)
         cost = count * self.bits / np.maximum(lengths, 1)[:, None]
         best = cost.argmin(axis=1)
         rows = np.arange(len(texts))
