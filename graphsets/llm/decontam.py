@@ -59,12 +59,13 @@ def _isin(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def templates(texts: list[str], names: bool = True) -> Templates:
+def templates(texts: list[str], names: bool = True, openers: bool = False) -> Templates:
     """A word is a run of letters, or of digits with inner points and commas.
 
     Numbers are digits and number words; a unit follows a number; a name begins with a
     capital letter, goes on in small ones and does not begin a text, line or sentence.
-    Names in a row are one placeholder. Without ``names`` they are plain words.
+    Names in a row are one placeholder. Without ``names`` they are plain words; with
+    ``openers`` words that begin a text, line or sentence are names, too, if they look so.
     """
     kinds, lower, upper = tables()
     points, offsets = flatten(texts)
@@ -94,14 +95,14 @@ def templates(texts: list[str], names: bool = True) -> Templates:
     opens[1:] = (word_text[1:] != word_text[:-1]) | (ended[begin[1:]] > ended[finish[:-1]])
     capital = upper[points[at]]
     capitals = np.add.reduceat(capital.astype(np.int64), starts)
-    is_name = names & capital[starts] & (capitals == 1) & (lengths > 1) & ~opens
+    is_name = names & capital[starts] & (capitals == 1) & (lengths > 1) & (openers | ~opens)
     is_number = (group[at][starts] == 2) | _isin(value, _lexicon(NUMBERS))
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = is_number[:-1] & (word_text[1:] == word_text[:-1])
     is_unit = after_number & _isin(value, _lexicon(UNITS))
     typed = np.where(is_number, NUMBER, np.where(is_unit, UNIT, np.where(is_name, NAME, WORD))).astype(np.int8)
     same_name = np.zeros(len(starts), bool)
-    same_name[1:] = (typed[1:] == NAME) & (typed[:-1] == NAME) & (word_text[1:] == word_text[:-1])
+    same_name[1:] = (typed[1:] == NAME) & (typed[:-1] == NAME) & ~opens[1:]
     if same_name.any():
         heads = np.flatnonzero(~same_name)
         with np.errstate(over="ignore"):
@@ -130,9 +131,9 @@ def literal_windows(words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Index:
     """The windows of a block of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str], names: bool = True):
-        self.ids, self.names = ids, names
-        self.words = templates(texts, names)
+    def __init__(self, ids: list, texts: list[str], names: bool = True, openers: bool = False):
+        self.ids, self.names, self.openers = ids, names, openers
+        self.words = templates(texts, names, openers)
         item, first, found = literal_windows(self.words)
         self.begin = np.searchsorted(self.words.text, np.arange(len(ids)))
         self.sizes = np.bincount(item, minlength=len(ids))
@@ -141,7 +142,7 @@ class Index:
 
     def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
         """(text number, item number, matched windows, slots, consistent slots, equal slots, first word, last word)."""
-        words = templates(texts, self.names)
+        words = templates(texts, self.names, self.openers)
         text, first, found = literal_windows(words)
         if not len(text) or not len(self.hash):
             return []
@@ -195,10 +196,14 @@ class Index:
 
 
 class Searcher:
-    """An index that knows names by their capitals, and one for texts in other letters if that differs."""
+    """An index that knows names by their capitals; where they differ, one that takes sentence
+    openers for names, too, and one for texts in other letters."""
 
     def __init__(self, ids: list, texts: list[str]):
         self.indexes = [Index(ids, texts)]
+        opened = Index(ids, texts, openers=True)
+        if not np.array_equal(opened.words.template, self.indexes[0].words.template):
+            self.indexes.append(opened)
         if (self.indexes[0].words.kind == NAME).any():
             self.indexes.append(Index(ids, texts, names=False))
         self.ids = ids

@@ -179,6 +179,22 @@ def test_templates(item, document, kind):
         assert ("verbatim" if found[0][5] == found[0][3] else "reparameterised") == kind
 
 
+def test_names_that_open_sentences():
+    searcher = decontam.Searcher([7, 8], [
+        "Natalia sold 48 clips in April. Natalia sold half as many clips in May. How many clips did Natalia sell?",
+        "Weng earns 12 dollars an hour for babysitting. Yesterday she did 50 minutes of it. How much did she earn?",
+    ])
+    texts = [
+        "Maria sold 30 clips in June. Maria sold half as many clips in July. How many clips did Maria sell?",
+        "Some words. Boris Lee earns 9 dollars an hour for babysitting. Today she did 20 minutes of it. How much did she earn?",
+        "Maria bought 30 pens in June. Maria lost half of these pens in July. How many pens are left?",
+    ]
+    found = searcher.search(texts, 0.8, 0.8)
+    assert [f[:2] for f in found] == [(0, 0), (1, 1)] and all(f[6] < f[4] for f in found)
+    whole = decontam.Searcher([9], ["Boris Smith sold 12 old clocks. Boris Smith kept 5 clocks for 3 more weeks."])
+    assert whole.search(["Anna sold 90 old clocks. Anna kept 7 clocks for 4 more weeks."], 0.8, 0.8)
+
+
 def test_name_runs_do_not_change_other_words():
     index = decontam.Index([1], ["the old house near the river was sold by its owner last summer"])
     texts = ["we met Anna Maria Berg and Carl there", "x " * 50 + "the old house near the river was sold by its owner last summer"]
