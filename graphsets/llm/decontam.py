@@ -2,7 +2,7 @@
 
 Words become templates: numbers, names and units turn into typed placeholders. Windows
 of five template words are hash joined with those of the benchmark, aligned along the
-document, and the values behind the placeholders must map onto each other consistently.
+document, and the values behind the placeholders must be replaced consistently.
 The benchmark's windows are joined in blocks of bounded size; each block is sent to
 all tasks, so documents are never shuffled.
 """
@@ -181,9 +181,9 @@ class Index:
             slots, good, equal = 0, 0, 0
             if len(p):
                 mapped = np.unique(np.stack([self.words.value[p], words.value[q]]), axis=1)
+                # Different values may become the same one: small numbers coincide often.
                 theirs, n_theirs = np.unique(mapped[0], return_counts=True)
-                ours, n_ours = np.unique(mapped[1], return_counts=True)
-                single = (n_theirs == 1)[np.searchsorted(theirs, mapped[0])] & (n_ours == 1)[np.searchsorted(ours, mapped[1])]
+                single = (n_theirs == 1)[np.searchsorted(theirs, mapped[0])]
                 slots, good = len(theirs), int(single.sum())
                 equal = int((single & (mapped[0] == mapped[1])).sum())
             if good < consistency * slots:
@@ -234,8 +234,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """One row for each document (doc_id, text) and benchmark item (item_id, text) that it holds.
 
     A document holds an item if in one alignment it has ``coverage`` of the item's
-    windows, and ``consistency`` of the item's placeholder values map one to one to values
-    of the document. ``kind`` is ``verbatim`` if all values are equal, else
+    windows, and ``consistency`` of the item's placeholder values each stand for one value
+    of the document throughout. ``kind`` is ``verbatim`` if all values are equal, else
     ``reparameterised``. Items of fewer than five words match only documents that consist
     of just these words. Null and empty texts hold nothing and are in nothing. Rows that
     are alike give one row each; the best alignment of a document and item counts, ties to

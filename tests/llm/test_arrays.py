@@ -195,6 +195,17 @@ def test_names_that_open_sentences():
     assert whole.search(["Anna sold 90 old clocks. Anna kept 7 clocks for 4 more weeks."], 0.8, 0.8)
 
 
+def test_values_that_coincide():
+    index = decontam.Index([7], ["A farmer sold 12 apples to Anna for 3 dollars each and kept 5 apples for her sister"])
+    texts = [
+        "A farmer sold 99 apples to Zoe for 4 euros each and kept 4 apples for her sister",
+        "A farmer sold 4 apples to Zoe for 4 euros each and kept 4 apples for her sister",
+    ]
+    assert [(f[0], f[3], f[4]) for f in index.search(texts, 0.8, 0.8)] == [(0, 5, 5), (1, 5, 5)]
+    again = decontam.Index([8], ["the train needs 12 hours to the coast and then 12 hours back to the old town"])
+    assert not again.search(["the train needs 9 hours to the coast and then 7 hours back to the old town"], 0.8, 0.8)
+
+
 def test_name_runs_do_not_change_other_words():
     index = decontam.Index([1], ["the old house near the river was sold by its owner last summer"])
     texts = ["we met Anna Maria Berg and Carl there", "x " * 50 + "the old house near the river was sold by its owner last summer"]
