@@ -1,8 +1,9 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
 Words become templates: numbers, names and units turn into typed placeholders. Windows
-of five template words are hash joined with those of the benchmark, aligned along the
-document, and the values behind the placeholders must be replaced consistently.
+of two to five template words, as an item's length needs, are hash joined with those of the
+benchmark and aligned along the document; the aligned words are compared one by one, and
+the values behind the placeholders must be replaced consistently.
 The benchmark's windows are joined in blocks of bounded size; each block is sent to
 all tasks, so documents are never shuffled.
 """
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from graphsets.llm.codes import DIGIT, LETTER, blocks, flatten, mix, run_hashes, tables, windows
 from graphsets.llm.store import saved
 
-WIDTH = 5
-COVERAGE = 0.8
+WIDTH = 5  # the widest window
+COVERAGE = 0.8  # of an item's words
 CONSISTENCY = 0.8
 SLACK = 8  # words by which an alignment may shift from one window to the next
+COMPARED = 2_000_000  # pairs of words that are compared at once
 BLOCK_WORDS = 500_000  # words of the benchmark that are sent to tasks at once
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
@@ -46,12 +48,14 @@ def _lexicon(entries: list[str]) -> np.ndarray:
 
 @dataclass
 class Templates:
-    """Template words of a block of texts: text number, template hash, value hash and kind."""
+    """Template words of a block of texts: text number, template hash, value hash, kind, and
+    whether the word begins a text, line or sentence."""
 
     text: np.ndarray
     template: np.ndarray
     value: np.ndarray
     kind: np.ndarray
+    opens: np.ndarray
 
 
 def _isin(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -71,7 +75,7 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
     points, offsets = flatten(texts)
     none = np.zeros(0, np.uint64)
     if not len(points):
-        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8))
+        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8), np.zeros(0, bool))
     kind = kinds[points]
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     digit = kind == DIGIT
@@ -80,7 +84,7 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
     group = np.where(kind == LETTER, 1, np.where(digit | inner, 2, 0))
     at = np.flatnonzero(group)
     if not len(at):
-        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8))
+        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8), np.zeros(0, bool))
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (group[at[1:]] != group[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
     starts = np.flatnonzero(new)
@@ -107,76 +111,191 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
         heads = np.flatnonzero(~same_name)
         with np.errstate(over="ignore"):
             value = np.add.reduceat(value, heads)  # a single word keeps its value
-        typed, word_text = typed[heads], word_text[heads]
+        typed, word_text, opens = typed[heads], word_text[heads], opens[heads]
     template = np.where(typed == WORD, value, mix(typed.astype(np.uint64) + np.uint64(77)))
-    return Templates(word_text, template, value, typed)
+    return Templates(word_text, template, value, typed, opens)
 
 
-def literal_windows(words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, hash) of windows that hold a word besides placeholders.
+def literal_windows(words: Templates, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of windows of ``width`` words that hold a word besides placeholders.
 
     A window of placeholders alone says nothing; its values are taken instead.
     """
-    text, first, found = windows(words.text, words.template, WIDTH)
+    text, first, found = windows(words.text, words.template, width)
     if not len(text):
         return text, first, found
     plain = np.concatenate([[0], np.cumsum(words.kind == WORD)])
-    last = np.minimum(first + WIDTH, np.searchsorted(words.text, text, side="right"))
+    last = np.minimum(first + width, np.searchsorted(words.text, text, side="right"))
     bare = plain[last] == plain[first]
     if bare.any():
-        found = np.where(bare, mix(windows(words.text, words.value, WIDTH)[2] + np.uint64(5)), found)
-    return text, first, found
+        found = np.where(bare, mix(windows(words.text, words.value, width)[2] + np.uint64(5)), found)
+    whole = last - first == width
+    return text[whole], first[whole], found[whole]
+
+
+def sentence_runs(words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``literal_windows``, of whole sentences and lines, one or several, of fewer than ``WIDTH`` words."""
+    ends = np.append(words.opens[1:], True)
+    parts = []
+    for size in range(1, WIDTH):
+        first = np.flatnonzero(words.opens[: max(0, len(words.text) - size + 1)])
+        first = first[ends[first + size - 1] & (words.text[first] == words.text[first + size - 1])]
+        runs, at = np.repeat(np.arange(len(first)), size), (first[:, None] + np.arange(size)).ravel()
+        found = windows(runs, words.template[at], WIDTH)[2]
+        bare = (words.kind[at].reshape(-1, size) != WORD).all(axis=1)
+        if bare.any():
+            found = np.where(bare, mix(windows(runs, words.value[at], WIDTH)[2] + np.uint64(5)), found)
+        parts.append((words.text[first], first, found))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def window_widths(sizes: np.ndarray, coverage: float) -> np.ndarray:
+    """The window width for items of ``sizes`` words; 0 stands for whole sentences.
+
+    Of n words at most k may differ, so k + 1 runs of equal words hold n - k words, and the
+    longest has this width at least.
+    """
+    differ = np.floor((1 - coverage) * sizes + 1e-9).astype(np.int64)
+    widths = np.clip(-(-(sizes - differ) // (differ + 1)), 2, WIDTH)
+    return np.where(sizes < WIDTH, 0, widths)
 
 
 class Index:
     """The windows of a block of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str], names: bool = True, openers: bool = False):
+    def __init__(self, ids: list, texts: list[str], names: bool = True, openers: bool = False, coverage: float = COVERAGE):
         self.ids, self.names, self.openers = ids, names, openers
         self.words = templates(texts, names, openers)
-        item, first, found = literal_windows(self.words)
         self.begin = np.searchsorted(self.words.text, np.arange(len(ids)))
-        self.sizes = np.bincount(item, minlength=len(ids))
-        order = np.argsort(found, kind="stable")
-        self.hash, self.item, self.first = found[order], item[order], first[order]
+        self.sizes = np.bincount(self.words.text, minlength=len(ids))
+        self.widths = window_widths(self.sizes, coverage)
+        self.windows = np.where(self.widths > 0, self.sizes - self.widths + 1, np.minimum(self.sizes, 1))
+        self.tables = {}
+        for width in np.unique(self.widths[self.sizes > 0]).tolist():
+            item, first, found = literal_windows(self.words, width) if width else sentence_runs(self.words)
+            mine = self.widths[item] == width
+            if not width:
+                mine &= self._whole(item, first)
+            item, first, found = item[mine], first[mine], found[mine]
+            order = np.argsort(found, kind="stable")
+            self.tables[width] = found[order], item[order], first[order]
+
+    def _whole(self, item: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of the runs of short items, the ones of all their words: the last from the first word on."""
+        whole = np.zeros(len(item), bool)
+        some = np.flatnonzero(first == self.begin[item])
+        whole[some[len(some) - 1 - np.unique(item[some][::-1], return_index=True)[1]]] = True
+        return whole
+
+    def _hits(self, words: Templates) -> tuple[np.ndarray, ...]:
+        """(text, item, window's first word in the item, in the text, width) of equal windows."""
+        parts = [(np.zeros(0, np.int64),) * 5]
+        for width, (hashes, items, firsts) in self.tables.items():
+            text, first, found = literal_windows(words, width) if width else sentence_runs(words)
+            left = np.searchsorted(hashes, found, side="left")
+            hit = np.flatnonzero((left < len(hashes)) & (hashes[np.minimum(left, len(hashes) - 1)] == found))
+            counts = np.searchsorted(hashes, found[hit], side="right") - left[hit]
+            at = np.repeat(left[hit], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = np.repeat(hit, counts)
+            wide = np.full(len(at), width) if width else self.sizes[items[at]]
+            parts.append((text[hit], items[at], firsts[at], first[hit], wide))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _agree(self, words: Templates, p: np.ndarray, q: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether item words ``p`` equal document words ``q``, in runs that begin at ``starts``.
+
+        Placeholders without an equal plain word near by need equal values.
+        """
+        inside = (q >= 0) & (q < len(words.text))
+        at = np.where(inside, q, 0)
+        same = inside & (words.text[at] == doc) & (words.template[at] == self.words.template[p])
+        plain = self.words.kind[p] == WORD
+        equal = np.concatenate([[0], np.cumsum(same & plain)])
+        lengths = np.diff(np.append(starts, len(p)))
+        begin, end = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+        rows = np.arange(len(p))
+        near = equal[np.minimum(rows + WIDTH, end)] > equal[np.maximum(rows - WIDTH + 1, begin)]
+        return same & (plain | near | (words.value[at] == self.words.value[p]))
+
+    def _most(self, words: Templates, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+        """For each of ``n`` alignments how many of the item's words agree at any of its shifts."""
+        out = np.zeros(n, np.int64)
+        sizes = self.sizes[item]
+        total = np.cumsum(sizes)
+        at = 0
+        while at < len(item):
+            # Whole alignments, of about COMPARED words together.
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COMPARED, side="right")))
+            to = int(np.searchsorted(segment, segment[to - 1], side="right"))
+            size = sizes[at:to]
+            starts = np.cumsum(size) - size
+            step = np.arange(int(size.sum())) - np.repeat(starts, size)
+            p = np.repeat(self.begin[item[at:to]], size) + step
+            good = self._agree(words, p, p + np.repeat(shift[at:to], size), np.repeat(doc[at:to], size), starts)
+            which, p = np.repeat(segment[at:to], size)[good], p[good]
+            order = np.lexsort((p, which))
+            which, p = which[order], p[order]
+            new = np.ones(len(p), bool)
+            new[1:] = (which[1:] != which[:-1]) | (p[1:] != p[:-1])
+            out += np.bincount(which[new], minlength=n)
+            at = to
+        return out
 
     def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
-        """(text number, item number, matched windows, slots, consistent slots, equal slots, first word, last word)."""
+        """(text, item, matched windows, slots, consistent slots, equal slots, first word, last word, aligned words).
+
+        Texts and items are given by number.
+        """
         words = templates(texts, self.names, self.openers)
-        text, first, found = literal_windows(words)
-        if not len(text) or not len(self.hash):
+        if not len(words.text) or not self.tables:
             return []
-        left = np.searchsorted(self.hash, found, side="left")
-        hit = np.flatnonzero((left < len(self.hash)) & (self.hash[np.minimum(left, len(self.hash) - 1)] == found))
-        if not len(hit):
+        doc, item, there, here, wide = self._hits(words)
+        if not len(doc):
             return []
-        counts = np.searchsorted(self.hash, found[hit], side="right") - left[hit]
-        at = np.repeat(left[hit], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        hit = np.repeat(hit, counts)
-        doc, item, there, here = text[hit], self.item[at], self.first[at], first[hit]
         shift = here - there
         order = np.lexsort((there, shift, item, doc))
-        doc, item, there, here, shift = doc[order], item[order], there[order], here[order], shift[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(shift) > SLACK)
+        doc, item, there, here, wide, shift = doc[order], item[order], there[order], here[order], wide[order], shift[order]
+        other = np.ones(len(doc), bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        new = other.copy()
+        new[1:] |= np.diff(shift) > SLACK
         begins = np.flatnonzero(new)
         ends = np.append(begins[1:], len(doc))
-        enough = (ends - begins) >= coverage * self.sizes[item[begins]]
+        # A word that differs spoils ``width`` windows at most; half of the others may be lost to words put in.
+        size, width = self.sizes[item[begins]], wide[begins]
+        least = (size - width + 1 - np.floor((1 - coverage) * size + 1e-9) * width) / 2
+        enough = ends - begins >= least
+        segment = np.cumsum(new) - 1
+        first_of_shift = new.copy()
+        first_of_shift[1:] |= shift[1:] != shift[:-1]
+        diagonal = np.flatnonzero(first_of_shift & enough[segment])
+        most = self._most(words, doc[diagonal], item[diagonal], shift[diagonal], segment[diagonal], len(begins))
+        enough &= most >= coverage * size - 1e-9
         out: dict[tuple[int, int], tuple] = {}
-        doc_ends = np.searchsorted(words.text, np.arange(len(texts)), side="right")
-        item_ends = np.searchsorted(self.words.text, np.arange(len(self.ids)), side="right")
         for a, b in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
-            matched = np.unique(there[a:b])
-            if len(matched) < coverage * self.sizes[item[a]]:
-                continue
-            # Each word of the item stands for the word at its most usual shift.
+            # Each word of the item stands for the word at its most usual shift, a word in no
+            # window for the one at the shift of the next word that is in one.
             shifts, which, usual = np.unique(shift[a:b], return_inverse=True, return_counts=True)
-            steps = np.arange(WIDTH)
-            p, q = (there[a:b, None] + steps).ravel(), (here[a:b, None] + steps).ravel()
-            order = np.lexsort((q, -np.repeat(usual[which], WIDTH), p))
-            order = order[(p[order] < item_ends[item[a]]) & (q[order] < doc_ends[doc[a]])]
-            p, q = p[order], q[order]
-            slot = np.append(True, p[1:] != p[:-1]) & (self.words.kind[p] != WORD)
+            n, begin = int(self.sizes[item[a]]), int(self.begin[item[a]])
+            steps = np.arange(int(wide[a]))
+            held = (there[a:b, None] + steps).ravel()
+            by = np.repeat(which, len(steps))
+            order = np.lexsort((by, -usual[by], held))
+            held, by = held[order], by[order]
+            head = np.append(True, held[1:] != held[:-1])
+            held, by = held[head], by[head]
+            p = np.arange(begin, begin + n)
+            after = np.minimum(np.searchsorted(held, p), len(held) - 1)
+            before = np.maximum(after - 1, 0)
+            nearest = np.where(np.abs(held[before] - p) < np.abs(held[after] - p), before, after)
+            q = p + shifts[by[nearest]]
+            good_words = self._agree(words, p, q, np.full(n, doc[a]), np.zeros(1, np.int64))
+            aligned = int(good_words.sum())
+            if aligned < coverage * n - 1e-9:
+                continue
+            p, q = p[good_words], q[good_words]
+            first_word, last_word = int(q.min() - words_begin(words, doc[a])), int(q.max() - words_begin(words, doc[a]) + 1)
+            slot = self.words.kind[p] != WORD
             p, q = p[slot], q[slot]
             slots, good, equal = 0, 0, 0
             if len(p):
@@ -188,9 +307,9 @@ class Index:
                 equal = int((single & (mapped[0] == mapped[1])).sum())
             if good < consistency * slots:
                 continue
-            row = (len(matched), slots, good, equal, int(here[a:b].min() - words_begin(words, doc[a])), int(here[a:b].max() - words_begin(words, doc[a]) + WIDTH))
+            row = (len(np.unique(there[a:b])), slots, good, equal, first_word, last_word, aligned)
             key = (int(doc[a]), int(item[a]))
-            if key not in out or row[0] > out[key][0]:
+            if key not in out or row[-1] > out[key][-1]:
                 out[key] = row
         return [(*key, *row) for key, row in out.items()]
 
@@ -199,24 +318,24 @@ class Searcher:
     """An index that knows names by their capitals; where they differ, one that takes sentence
     openers for names, too, and one for texts in other letters."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.indexes = [Index(ids, texts)]
-        opened = Index(ids, texts, openers=True)
+    def __init__(self, ids: list, texts: list[str], coverage: float = COVERAGE):
+        self.indexes = [Index(ids, texts, coverage=coverage)]
+        opened = Index(ids, texts, openers=True, coverage=coverage)
         if not np.array_equal(opened.words.template, self.indexes[0].words.template):
             self.indexes.append(opened)
         if (self.indexes[0].words.kind == NAME).any():
-            self.indexes.append(Index(ids, texts, names=False))
+            self.indexes.append(Index(ids, texts, names=False, coverage=coverage))
         self.ids = ids
 
     def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
-        """As Index.search, with the item's windows after its number; the better of both counts."""
+        """As Index.search, with the item's windows after its number and its words at the end; the best index counts."""
         best: dict[tuple[int, int], tuple] = {}
         for index in self.indexes:
             for text, item, *row in index.search(texts, coverage, consistency):
                 size = int(index.sizes[item])
                 held = best.get((text, item))
-                if held is None or row[0] * held[0] > held[1] * size:
-                    best[text, item] = (size, *row)
+                if held is None or row[-1] * held[-1] > held[-2] * size:
+                    best[text, item] = (int(index.windows[item]), *row, size)
         return [(*key, *row) for key, row in sorted(best.items())]
 
 
@@ -226,7 +345,7 @@ def words_begin(words: Templates, text: int) -> int:
 
 SCHEMA = (
     "doc_id long, text_hash long, item_id long, windows long, matched long, slots long, consistent long, "
-    "kind string, first_word long, last_word long"
+    "kind string, first_word long, last_word long, aligned long, words long"
 )
 
 
@@ -234,10 +353,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """One row for each document (doc_id, text) and benchmark item (item_id, text) that it holds.
 
     A document holds an item if in one alignment it has ``coverage`` of the item's
-    windows, and ``consistency`` of the item's placeholder values each stand for one value
+    words (placeholders for placeholders), and ``consistency`` of the item's placeholder values each stand for one value
     of the document throughout. ``kind`` is ``verbatim`` if all values are equal, else
-    ``reparameterised``. Items of fewer than five words match only documents that consist
-    of just these words. Null and empty texts hold nothing and are in nothing. Rows that
+    ``reparameterised``. Items of fewer than five words must stand as sentences or lines of
+    their own, with all their words. Null and empty texts hold nothing and are in nothing. Rows that
     are alike give one row each; the best alignment of a document and item counts, ties to
     the first.
     """
@@ -267,15 +386,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def _searcher(index, coverage: float, consistency: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Searcher(*index.value)
+        here = Searcher(*index.value, coverage)
         for rows in batches:
             out = []
             for start, texts in blocks(rows["text"].to_pylist()):
-                for text, item, size, matched, slots, good, equal, first, last in here.search(texts, coverage, consistency):
+                for text, item, size, matched, slots, good, equal, first, last, aligned, length in here.search(texts, coverage, consistency):
                     at = start + text
                     out.append(
                         (rows["doc_id"][at].as_py(), rows["text_hash"][at].as_py(), here.ids[item], size, matched,
-                         slots, good, "verbatim" if equal == slots else "reparameterised", first, last)
+                         slots, good, "verbatim" if equal == slots else "reparameterised", first, last, aligned, length)
                     )
             if out:
                 columns = list(zip(*out, strict=True))

@@ -206,6 +206,32 @@ def test_values_that_coincide():
     assert not again.search(["the train needs 9 hours to the coast and then 7 hours back to the old town"], 0.8, 0.8)
 
 
+def test_near_copies_of_short_items():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    around = " ".join(word() for _ in range(30))
+    for size in (5, 6, 7, 8, 9, 10, 12, 15, 20, 29, 59):
+        item = [word() for _ in range(size)]
+        searcher = decontam.Searcher([1], [" ".join(item)])
+        found = lambda words: bool(searcher.search([f"{around} {' '.join(words)} {around}"], 0.8, 0.8))
+        differ = size // 5
+        for _ in range(10):
+            changed = rng.sample(range(size), differ + 1)
+            assert found([word() if k in changed[:differ] else w for k, w in enumerate(item)]), size
+            assert not found([word() if k in changed else w for k, w in enumerate(item)]), size
+        if size >= 10:
+            assert found([*item[: size // 2], word(), *item[size // 2 :]])
+        assert not found(item[: size // 2])
+    numbers = decontam.Searcher([1], ["12 45 78 11 99 23 54"])
+    assert not numbers.search(["12 45 78 5 6 7 8"], 0.8, 0.8)
+
+
+def test_items_of_few_words_as_sentences():
+    searcher = decontam.Searcher([1, 2, 3], ["one short item", "Is it? No.", "12 45"])
+    texts = ["Before. One short item! After", "Before\nis it? no\nAfter", "A line\n12 45\nand one short item more", "is it no more", "so: 12 46."]
+    assert [f[:2] for f in searcher.search(texts, 0.8, 0.8)] == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_name_runs_do_not_change_other_words():
     index = decontam.Index([1], ["the old house near the river was sold by its owner last summer"])
     texts = ["we met Anna Maria Berg and Carl there", "x " * 50 + "the old house near the river was sold by its owner last summer"]
