@@ -1,8 +1,8 @@
 """Language of a text by cross parsing.
 
 For each language a suffix automaton holds all substrings of a sample of labelled text.
-A text is parsed into longest matches against each automaton; the language that needs
-the fewest phrases, normalised by the size of its sample and the text's length, wins.
+A text is parsed into longest matches against each automaton; the language whose phrases
+and letters outside its sample take the fewest bits for each letter wins.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ SEGMENT = 512  # characters that are parsed in step; each segment begins a new p
 UNKNOWN = "und"
 FEW_PHRASES = 8
 SHORT_PHRASE = 1.25
+LENGTH_BITS = 3.0  # for a phrase's length, besides its place in the sample
 _AGAIN = np.int32(1 << 30)
 
 
@@ -97,6 +98,13 @@ class Model:
     bits: np.ndarray
     shared: bool = False
 
+    def outside(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Letters [text, language] that are not in the language's sample."""
+        width = self.steps.shape[1]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        count = np.bincount(text * width + symbols, minlength=len(lengths) * width).reshape(-1, width)
+        return count @ ((self.steps[self.roots] & ~_AGAIN) == self.roots[:, None]).T.astype(np.int64)
+
     def symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         other = points % CLASSES + len(self.alphabet) + 2 if self.shared else 1
@@ -157,8 +165,11 @@ class Model:
         points, lengths = simplify(texts)
         if not self.languages or not len(points):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        count = self.phrases(self.symbols(points), lengths)
-        cost = count * self.bits / np.maximum(lengths, 1)[:, None]
+        symbols = self.symbols(points)
+        count = self.phrases(symbols, lengths)
+        # A letter that a sample lacks is a phrase, too; it is named among all letters.
+        spent = count * (self.bits + LENGTH_BITS) + self.outside(symbols, lengths) * np.log2(self.steps.shape[1])
+        cost = spent / np.maximum(lengths, 1)[:, None]
         best = cost.argmin(axis=1)
         rows = np.arange(len(texts))
         least = cost[rows, best]

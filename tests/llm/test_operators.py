@@ -286,6 +286,16 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(docs([(1, "text", None)])).collect()} == {"und"}
 
 
+def test_a_language_of_one_word_wins_nothing(spark, docs):
+    rng = random.Random(7)
+    letters = {"aa": "abcdeé", "bb": "cdefgh"}
+    learn = [n for n in range(400) if zlib.crc32(str(n).encode()) % 4 != 2]
+    made = [(n, sentences(rng, letters[lang := rng.choice(sorted(letters))], 60), lang) for n in learn[1:]]
+    got = langid.identify(docs([(learn[0], "ok", "zz"), *made])).collect()
+    wrong = [r["doc_id"] for r in got if r["lang_pred"] != r["lang"] or r["rejected"]]
+    assert len(got) == len(made) + 1 and not wrong
+
+
 def test_held_out_documents_teach_nothing(spark, docs):
     held = [n for n in range(400) if zlib.crc32(str(n).encode()) % 4 == 2][:40]
     rest = [n for n in range(400) if zlib.crc32(str(n).encode()) % 4 != 2][:40]
