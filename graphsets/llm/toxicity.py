@@ -1,7 +1,7 @@
 """Toxicity of texts whose words may be disguised.
 
 A disguised word is a noisy reading of a plain one: letters written as digits or signs,
-set apart by spaces or points, or repeated. Its readings form a character lattice, and the
+set apart by spaces or points, split, or repeated. Its readings form a character lattice, and the
 Viterbi path under a character language model of the corpus is the restored word. Texts are
 scored on plain and restored words, with log odds learned from labels.
 """
@@ -32,7 +32,8 @@ MOST_ODDS = 8.0
 THRESHOLD = 0.3
 SALTS = 64
 SYMBOLS = 27  # blank and a to z
-SPACED = 4  # single letters in a row that may be one word
+SPACED = 3  # single letters in a row that may be one word
+PIECES, JOINED = 3, 16  # pieces that a split word may have, and the signs of all of them
 WORDS_KEPT = 200_000
 
 # What a sign may stand for, and how likely each way of writing is.
@@ -41,6 +42,7 @@ READINGS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "*": "aeiou",
 }
 AS_LETTER, LEFT_OUT, AS_BLANK, ONE_OF_RUN = log(0.5), log(0.1), log(0.05), log(0.5)
+ONE_OF_TWO, BOTH_OF_TWO, SPLIT = log(0.2), log(0.8), log(0.05)
 BETWEEN = log(0.45)
 
 
@@ -111,8 +113,10 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if sign.isalpha():
             if run >= 3:
                 steps += [[(sign, 0.0)], [("", ONE_OF_RUN), (sign, ONE_OF_RUN)]]
+            elif run == 2:
+                steps += [[(sign, 0.0)], [("", ONE_OF_TWO), (sign, BOTH_OF_TWO)]]
             else:
-                steps += [[(sign, 0.0)]] * run
+                steps += [[(sign, 0.0)]]
         elif sign in READINGS:
             ways = [(x, AS_LETTER - log(len(READINGS[sign]))) for x in READINGS[sign]]
             steps += [[*ways, ("", LEFT_OUT), (" ", AS_BLANK)]] * min(run, 2)
@@ -147,6 +151,27 @@ def restore(word: str, model: np.ndarray) -> str:
     return min(ends, key=lambda x: (-x[0], x[1]))[1]
 
 
+@cache
+def readable() -> np.ndarray:
+    out = np.zeros(LIMIT, bool)
+    out[[ord(x) for x in READINGS]] = True
+    return out
+
+
+def likelihood(words: np.ndarray, sizes: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Log probability of each run of symbols, ``sizes`` long, up to the blank after it."""
+    padded = np.zeros(len(words) + 4 * len(sizes), np.int64)
+    starts = np.cumsum(sizes + 4) - sizes - 1
+    padded[np.arange(len(words)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)] = words
+    code = ((padded[:-3] * SYMBOLS + padded[1:-2]) * SYMBOLS + padded[2:-1]) * SYMBOLS + padded[3:]
+    total = np.concatenate([[0.0], np.cumsum(model[code].astype(np.float64))])
+    return total[starts + sizes + 1 - 3] - total[starts - 3]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Reader:
     """Words of texts, disguised ones restored. Restored words are remembered, up to a bound."""
 
@@ -165,6 +190,12 @@ class Reader:
             self.known[word] = found
         return found
 
+    def _add(self, out_text: list, out_hash: list, out_before: list, word: str, text: int, before: np.uint64) -> None:
+        got = self.hashes(word.lower())
+        out_text.append(np.full(len(got), text))
+        out_hash.append(got)
+        out_before.append(np.full(len(got), before, np.uint64))
+
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, word hash, hash of the word before) of every word, restored ones last."""
         kind, lower, _ = tables()
@@ -190,6 +221,7 @@ class Reader:
         first = np.searchsorted(hold, begin)
         last = np.searchsorted(hold, end) - 1
         some = first <= last
+        chunk_begin, chunk_end = begin[some], end[some]
         begin, end = hold[first[some]], hold[last[some]] + 1
         if not len(begin):
             return np.zeros(0, np.int64), empty, empty
@@ -215,6 +247,81 @@ class Reader:
             out_text.append(np.full(len(got), word_text[at]))
             out_hash.append(got)
             out_before.append(np.full(len(got), before[at], np.uint64))
+        # Signs at the ends that may be letters, and letters written twice, give one more reading.
+        mute = np.flatnonzero(~readable()[points])
+        after = np.append(mute, len(points))[np.searchsorted(mute, end)]
+        ahead = np.append(mute, -1)[np.searchsorted(mute, begin) - 1] + 1
+        wide_begin = np.maximum(chunk_begin, np.minimum(begin, ahead))
+        wide_end = np.minimum(chunk_end, np.maximum(end, after))
+        twice = np.zeros(len(points), np.int64)
+        twice[1:] = (lower[points[1:]] == lower[points[:-1]]) & (kinds[1:] == LETTER)
+        doubles = np.concatenate([[0], np.cumsum(twice)])
+        n_doubles = doubles[end] - doubles[np.minimum(begin + 1, end)]
+        again = plain & (size > 2) & (n_doubles > 0)
+        symbols = folded()[points].astype(np.int64)
+        i = np.flatnonzero(again)
+        if len(i):
+            # Only words that are likelier without one of their double letters, or without any.
+            flat, owner = _ranges(begin[i], size[i]), np.repeat(np.arange(len(i)), size[i])
+            extra = (twice[flat] > 0) & (flat > begin[i][owner])
+            less = ONE_OF_TWO - BOTH_OF_TWO + likelihood(symbols[flat[~extra]], size[i] - n_doubles[i], self.model)
+            usual = likelihood(symbols[flat], size[i], self.model)
+            helps = less > usual
+            several = n_doubles[i] > 1
+            if several.any():
+                of = np.repeat(np.arange(len(i)), np.where(several, n_doubles[i], 0))
+                left_out = flat[extra & several[owner]]
+                all_of = _ranges(begin[i[of]], size[i[of]])
+                kept = all_of[all_of != np.repeat(left_out, size[i[of]])]
+                one = ONE_OF_TWO - BOTH_OF_TWO + likelihood(symbols[kept], size[i[of]] - 1, self.model)
+                np.logical_or.at(helps, of, one > usual[of])
+            single = helps & ~several
+            length = size[i][single] - 1
+            out_text.append(word_text[i[single]])
+            out_hash.append(run_hashes(lower[points[flat[~extra & single[owner]]]], np.cumsum(length) - length, length))
+            out_before.append(before[i[single]])
+            again[i] = helps & several
+        wider = (n_letters >= 1) & ((wide_begin < begin) | (wide_end > end)) & (wide_end - wide_begin > 2)
+        for at in np.flatnonzero(again | wider).tolist():
+            raw = raw or "".join(texts)
+            if again[at]:
+                self._add(out_text, out_hash, out_before, raw[begin[at] : end[at]], word_text[at], before[at])
+            if wider[at]:
+                self._add(out_text, out_hash, out_before, raw[wide_begin[at] : wide_end[at]], word_text[at], before[at])
+        # Neighbours that are likelier as one word.
+        for pieces in range(2, PIECES + 1):
+            if len(begin) < pieces:
+                break
+            n = len(begin) - pieces + 1
+            sizes = sum(size[k : k + n] for k in range(pieces))
+            near = (word_text[:n] == word_text[pieces - 1 :]) & (sizes <= JOINED) & (sizes > 2)
+            for k in range(pieces):
+                near &= n_letters[k : k + n] >= 1
+            simple = near.copy()
+            for k in range(pieces):
+                simple &= plain[k : k + n]
+            i = np.flatnonzero(simple)
+            if len(i):
+                flat = np.concatenate([_ranges(begin[i + k], size[i + k]) for k in range(pieces)])
+                owner = np.concatenate([np.repeat(np.arange(len(i)), size[i + k]) for k in range(pieces)])
+                flat = flat[np.argsort(owner, kind="stable")]
+                apart = np.stack([size[i + k] for k in range(pieces)], axis=1) + (np.arange(pieces) < pieces - 1)
+                spaced = np.zeros(int(apart.sum()), np.int64)
+                ends = np.cumsum(apart.ravel())
+                letter = np.ones(len(spaced), bool)
+                letter[ends[np.arange(len(ends)) % pieces < pieces - 1] - 1] = False
+                spaced[letter] = symbols[flat]
+                one = likelihood(symbols[flat], sizes[i], self.model) + (pieces - 1) * SPLIT
+                better = one > likelihood(spaced, apart.sum(axis=1), self.model)
+                keep = np.repeat(better, sizes[i])
+                length = sizes[i][better]
+                out_text.append(word_text[i[better]])
+                out_hash.append(run_hashes(lower[points[flat[keep]]], np.cumsum(length) - length, length))
+                out_before.append(before[i[better]])
+            for at in np.flatnonzero(near & ~simple).tolist():
+                raw = raw or "".join(texts)
+                word = "-".join(raw[begin[k] : end[k]] for k in range(at, at + pieces))
+                self._add(out_text, out_hash, out_before, word, word_text[at], before[at])
         lone = size == 1
         starts = np.flatnonzero(lone & ~np.concatenate([[False], lone[:-1] & (word_text[:-1] == word_text[1:])]))
         stops = np.flatnonzero(lone & ~np.concatenate([lone[1:] & (word_text[:-1] == word_text[1:]), [False]])) + 1

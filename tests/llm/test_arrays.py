@@ -256,3 +256,22 @@ def test_restored_words():
     assert len(reader.read(["", "  ", "%%% !!"])[0]) == 0
     probabilities = np.exp(model.reshape(-1, toxicity.SYMBOLS)).sum(axis=1)
     assert np.allclose(probabilities, 1, atol=1e-4)
+
+
+def test_disguises_at_the_ends_doubled_and_split():
+    corpus = ["the idiot and the clown went home with a stupid moron who was not an ass at all, bad boy"] * 30
+    reader = toxicity.Reader(toxicity.language_model(toxicity.gram_counts(corpus)))
+    cases = {
+        "idiot": ("an !diot went", "an |diot", "the iddiot went", "an id iot went", "an id i0t", "an idiiot."),
+        "clown": ("the (lown", "the cl own went", "the clo wn", "c lo wn"),
+        "moron": ("a mooron went", "a mo ron", "a m0 r on"), "ass": ("an a$$ at", "an as$", "an a s s at"),
+    }
+    for meant, texts in cases.items():
+        plain = codes.words(*codes.flatten([meant]))[1][0]
+        for text in texts:
+            found = reader.read(["the boy", text, "not at all"])
+            assert plain in found[1][found[0] == 1] and plain not in found[1][found[0] != 1], text
+    symbols = [1, 2, 3, 3, 1]
+    one = [float(toxicity.likelihood(np.array(x), np.array([len(x)]), reader.model)[0]) for x in (symbols[:3], symbols[3:])]
+    both = toxicity.likelihood(np.array(symbols), np.array([3, 2]), reader.model)
+    assert np.allclose(both, one) and all(x < 0 for x in one)
