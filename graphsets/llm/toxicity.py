@@ -24,8 +24,7 @@ from graphsets.llm.langid import held_out
 from graphsets.llm.store import saved
 
 SAMPLE_DOCS = 10_000  # labelled documents of each class that words are learned from; the bound of the fit
-MIN_SHARE = 0.01  # of the toxic sample, for a word to count
-MIN_CONTEXTS = 5
+MIN_CONTEXTS = 5  # of a word in toxic texts, whatever their number
 MIN_ODDS = 2.0  # at the lower end of the interval
 MARGIN = 1.64  # standard errors
 MOST_ODDS = 8.0
@@ -370,8 +369,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS)
 def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, log odds) of the words that mark toxic texts.
 
-    A word counts if it is in ``MIN_SHARE`` of the toxic texts, in as many different
-    contexts (so that copies of one text count once), and its odds are surely high.
+    A word counts if it is in ``MIN_CONTEXTS`` toxic texts, in as many different contexts
+    (so that copies of one text count once), and its odds are surely high.
     """
     n_clean, n_toxic = texts
 
@@ -387,15 +386,14 @@ def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndar
                 every = np.bincount(at, minlength=len(words))
                 yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "bad": bad, "good": every - bad})
 
-    least = max(MIN_CONTEXTS, MIN_SHARE * n_toxic)
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("good") + 0.5) / (n_clean + 1))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     words = (
         sample.mapInArrow(count, "word long, bad long, good long").groupBy("word")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .filter(F.col("bad") >= least).withColumn("odds", odds)
+        .filter(F.col("bad") >= MIN_CONTEXTS).withColumn("odds", odds)
         .filter(F.col("odds") - MARGIN * error >= MIN_ODDS)
-        .select("word", "odds").toPandas()  # a text's distinct words / MIN_SHARE rows at most
+        .select("word", "odds").toPandas()  # distinct words of the toxic sample / MIN_CONTEXTS rows at most
     )
     candidates = np.sort(words["word"].to_numpy(np.int64).view(np.uint64))
     if not len(candidates):
@@ -414,7 +412,7 @@ def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndar
 
     wide = (
         sample.filter("toxic = 1").mapInArrow(contexts, "word long, context long").distinct()
-        .groupBy("word").count().filter(F.col("count") >= least).toPandas()
+        .groupBy("word").count().filter(F.col("count") >= MIN_CONTEXTS).toPandas()
     )
     kept = words.merge(wide, on="word")
     keys = kept["word"].to_numpy(np.int64).view(np.uint64)

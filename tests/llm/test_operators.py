@@ -433,6 +433,21 @@ def test_copies_of_one_toxic_text_mark_no_words(spark, docs):
     assert got["predicted"] == 0
 
 
+def test_words_of_stock_phrases_count_at_any_size(spark, docs):
+    rng = random.Random(3)
+    plain = [sentences(rng, "aeioulnrst", 1) for _ in range(300)]
+    before = ["such", "you", "real", "total", "poor", "big", "old"]
+    made, labels = [], []
+    for n in range(4000):
+        words, toxic = [rng.choice(plain) for _ in range(12)], n % 2
+        made.append((n, " ".join([*words, rng.choice(before), "clown" if toxic and n % 3 == 0 else rng.choice(plain), *words[:2]])))
+        labels.append((n, 1, toxic))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = [(9000, f"{' '.join(plain[:9])} awful clown"), (9001, f"{' '.join(plain[:9])} awful")]
+    got = toxicity.score_toxicity(docs(made + texts), table).filter("doc_id >= 9000").collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {9000: 1, 9001: 0}
+
+
 def test_sha_of_kept_lines(spark, docs):
     df = docs([(1, "a\nb"), (2, None)])
     got = lines.apply_bitmaps(df, lines.keep_bitmaps(df, 2, 1, False)).select("doc_id", F.sha2("text", 256)).collect()
