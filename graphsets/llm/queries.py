@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsets.llm import decontam, jaccard, langid, lexical, lines, maxscore, mixing, phrases, records, shards, toxicity, warc
+from graphsets.llm import decontam, jaccard, langid, lexical, linecrf, lines, maxscore, mixing, phrases, records, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,14 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), top=2000, min_count=30)
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linecrf.judge(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     from corpus_pipeline import run
@@ -103,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_revisit_resolution, op2_token_records, op3_weighted_mix, op4_maxscore_top_k, op5_line_dedup, op6_byte_shards,
-        op7_language_id, op8_decontamination, op9_jaccard_join, op10_toxicity, op11_lexical_search, op12_phrase_mining, pipeline,
+        op7_language_id, op8_decontamination, op9_jaccard_join, op10_toxicity, op11_lexical_search, op12_phrase_mining, op13_line_quality, pipeline,
     ]
     return {f.__name__: f for f in found}
 
