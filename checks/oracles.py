@@ -171,11 +171,12 @@ SELECT *, row_number() OVER (PARTITION BY graph_idx ORDER BY query_ord, obs_size
 
 
 LABELS = """
-SELECT s.*, list_filter(['ancestor', 'descendant', 'independent'], lambda x: list_contains(t.types, x)) AS types FROM {specs} s
-JOIN (SELECT u.graph_idx, u.spec_ord, list(coalesce(r.relation, 'independent')) AS types
-      FROM (SELECT graph_idx, spec_ord, query_entity, unnest(observed) AS seen FROM {specs}) u
-      LEFT JOIN related r ON r.graph_idx = u.graph_idx AND r.first = u.seen AND r.second = u.query_entity
-      GROUP BY ALL) t ON t.graph_idx = s.graph_idx AND t.spec_ord = s.spec_ord"""
+SELECT * EXCLUDE (t1, t2), list_filter(['ancestor', 'descendant', 'independent'], lambda x: x = t1 OR x = t2) AS types FROM (
+  SELECT s.*, coalesce(r1.relation, 'independent') AS t1,
+    CASE WHEN s.obs_size = 2 THEN coalesce(r2.relation, 'independent') END AS t2
+  FROM {specs} s
+  LEFT JOIN related r1 ON r1.graph_idx = s.graph_idx AND r1.first = s.observed[1] AND r1.second = s.query_entity
+  LEFT JOIN related r2 ON r2.graph_idx = s.graph_idx AND r2.first = s.observed[2] AND r2.second = s.query_entity)"""
 
 # Many more tries than are needed; the first distinct ordinals decide.
 SAMPLED = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphsets.functions import answers, text
 from graphsets.functions.draws import chance, draw
-from graphsets.operators import caps, examples, graph, ranking, report, score, specs, splits
+from graphsets.operators import caps, closure, examples, graph, ranking, report, score, specs, splits
 from graphsets.plans import tables as star
 from graphsets.plans.tables import SEED, Tables
 from graphsets.session import scratch_path
@@ -86,17 +86,17 @@ def reachability(spark, sf):
 
 
 def ancestor_counts(spark, sf):
-    return graph.ancestor_counts(star.nodes(spark, sf), tables(spark, sf).builder().closure())
+    return closure.relative_counts(star.nodes(spark, sf), tables(spark, sf).builder().related(), "up", "ancestors")
 
 
 def descendant_counts(spark, sf):
-    return graph.descendant_counts(star.nodes(spark, sf), tables(spark, sf).builder().closure())
+    return closure.relative_counts(star.nodes(spark, sf), tables(spark, sf).builder().related(), "down", "descendants")
 
 
 def pair_relations(spark, sf):
     t = tables(spark, sf)
-    pairs = graph.ordered_pairs(star.nodes(spark, sf))
-    return graph.pair_relations(pairs, t.builder().related())
+    pairs = graph.ordered_pairs(star.nodes(spark, sf), numbered=True)
+    return closure.pair_relations(pairs, t.builder().related())
 
 
 def weak_components(spark, sf):
@@ -182,7 +182,7 @@ def inference_types(spark, sf):
 def sample_per_world(spark, sf):
     t = tables(spark, sf)
     b = t.builder()
-    return specs.sample_per_world(b.specs(), t.num_worlds(), b.config.sample_ratio_from_worlds, SEED)
+    return specs.sample_per_world(specs.spec_counts(b.queries()), t.num_worlds(), b.config.sample_ratio_from_worlds, SEED)
 
 
 def observation_prompts(spark, sf):

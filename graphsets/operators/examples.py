@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from graphsets.functions import text
 from graphsets.functions.templates import fan_out, with_template
-from graphsets.operators.graph import WORD, adjacency, ordered_pairs, pair_relations
+from graphsets.operators.closure import pair_relations
+from graphsets.operators.graph import WORD, adjacency, ordered_pairs
 from graphsets.operators.ranking import indexed, joined_on
 from graphsets.operators.splits import strictest_split
 from graphsets.schema import EXAMPLE_COLUMNS, EXPLANATION_LABEL, INSTRUCTION_LABEL
@@ -26,18 +27,16 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def observe(sampled: DataFrame, specs: DataFrame, words: DataFrame, max_obs_size: int) -> DataFrame:
-    """Look up the values of sampled specs in their worlds.
+def observe(rows: DataFrame, words: DataFrame, max_obs_size: int) -> DataFrame:
+    """Look up the values of specs in their worlds.
 
-    ``sampled(graph_idx, world_id, spec_ord)``, labelled specs and packed facts.
+    ``rows(graph_idx, world_id, query_entity, observed_entities, ...)`` and packed facts.
     Adds observed_values and answer ("1"/"0"); a query entity without a fact is an error.
     One equi join per slot, on (graph, entity, word); facts hold 64 worlds per row and are broadcast if their
     counted number allows.
     """
     words = small_side(words.select("graph_idx", "entity", "word", "bits"))
-    rows = sampled.join(specs, ["graph_idx", "spec_ord"]).withColumn(
-        "word", F.expr(f"cast(world_id div {WORD} as int)")
-    )
+    rows = rows.withColumn("word", F.expr(f"cast(world_id div {WORD} as int)"))
     truth = text.truth_label(F.expr(f"getbit(_bits, cast(world_id % {WORD} as int)) = 1"))
 
     def look_up(df, entity, out, needed):
@@ -157,7 +156,7 @@ def relationship_explanations(
     Splits are attached to the nodes, before there are pairs.
     """
     owned = nodes.join(splits.select("graph_idx", "entity", "split"), ["graph_idx", "entity"], "left")
-    pairs = pair_relations(ordered_pairs(owned, per_component), related)
+    pairs = pair_relations(ordered_pairs(owned, per_component, numbered=True), related)
     mentioned = strictest_split(F.col("first_split"), F.col("second_split"))
     rows = pairs.withColumn("split", mentioned).select(
         "graph_idx",

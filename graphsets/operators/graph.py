@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphsets.functions.draws import chance, draw
 from graphsets.operators.pairing import pair_members
 from graphsets.operators.ranking import group_indexed
-from graphsets.session import durable, small_side
+from graphsets.session import durable
 
 WORD = 64  # worlds per packed bigint
 
@@ -102,46 +102,12 @@ def reachability(edges: DataFrame) -> DataFrame:
         known = known.unionByName(fresh)
 
 
-def ancestor_counts(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    counts = closure.groupBy("graph_idx", F.col("descendant").alias("entity")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return nodes.join(counts, ["graph_idx", "entity"], "left").select(
-        "graph_idx", "entity", F.coalesce("_n", F.lit(0)).cast("bigint").alias("ancestors")
-    )
-
-
-def descendant_counts(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    counts = closure.groupBy("graph_idx", F.col("ancestor").alias("entity")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return nodes.join(counts, ["graph_idx", "entity"], "left").select(
-        "graph_idx", "entity", F.coalesce("_n", F.lit(0)).cast("bigint").alias("descendants")
-    )
-
-
-def related_pairs(closure: DataFrame) -> DataFrame:
-    """Both directions of the closure as (graph_idx, first, second, relation)."""
-    down = closure.select(
-        "graph_idx",
-        F.col("ancestor").alias("first"),
-        F.col("descendant").alias("second"),
-        F.lit("ancestor").alias("relation"),
-    )
-    up = closure.select(
-        "graph_idx",
-        F.col("descendant").alias("first"),
-        F.col("ancestor").alias("second"),
-        F.lit("descendant").alias("relation"),
-    )
-    return down.unionByName(up)
-
-
-def ordered_pairs(nodes: DataFrame, per_component: bool = False) -> DataFrame:
+def ordered_pairs(nodes: DataFrame, per_component: bool = False, numbered: bool = False) -> DataFrame:
     """Every ordered pair of different nodes of a graph (or component).
 
     The pairs are the result asked for, so their number cannot be avoided. If
-    nodes hold ``split``, pairs hold first_split and second_split.
+    nodes hold ``split``, pairs hold first_split and second_split; if ``numbered``,
+    second_ord.
     """
     on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
 
@@ -150,16 +116,12 @@ def ordered_pairs(nodes: DataFrame, per_component: bool = False) -> DataFrame:
         return nodes.select(*on, F.col("entity").alias(name), *owner)
 
     first, second = side("first"), side("second")
+    if numbered:
+        number = nodes.select(*on, F.col("entity").alias("second"), F.col("ord").cast("bigint").alias("second_ord"))
+        second = second.join(number, [*on, "second"])
     return pair_members(first, second, on, "first").filter(F.col("first") != F.col("second"))
 
 
-def pair_relations(pairs: DataFrame, related: DataFrame) -> DataFrame:
-    """Add ``relation`` to pairs (graph_idx, first, second)."""
-    return pairs.join(small_side(related), ["graph_idx", "first", "second"], "left").withColumn(
-        "relation", F.coalesce("relation", F.lit("independent"))
-    )
-
-
 def _star_round(pairs: DataFrame) -> DataFrame:
     """Move every (high, low) pair closer to the smallest node of its component.
 

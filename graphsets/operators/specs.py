@@ -1,19 +1,22 @@
 """What can be asked about a world, and which of it is asked.
 
 A spec is a query entity with a set of observed entities. Specs do not depend
-on worlds, so they are built, numbered and labelled once per graph.
+on worlds and are numbered per graph. A number is drawn, and the spec it stands for is
+computed, so samples need no table of specs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphsets.functions.combinations import choose, set_rank, unrank_sets
 from graphsets.functions.draws import draw
+from graphsets.operators.closure import with_relation
 from graphsets.operators.pairing import copied, parts_of, salted
-from graphsets.operators.ranking import bucket_ranked, running_before
+from graphsets.operators.ranking import bucket_ranked, group_indexed, running_before
 from graphsets.schema import INFERENCE_PRIORITY
 from graphsets.session import durable, small_side, spread
 
@@ -21,34 +24,42 @@ CHUNK = 1 << 16
 ORD_BUCKET = 1 << 12
 
 
-def _choose(count: Column, size: int) -> Column:
-    """Number of sets of ``size`` out of ``count``, exact; beyond 38 digits it is an error."""
-    sets = F.lit(1).cast("decimal(38,0)")
-    for i in range(size):
-        factor = F.greatest(count - i, F.lit(0)).cast("decimal(18,0)")
-        sets = F.call_function("div", (sets * factor).cast("decimal(38,0)"), F.lit(i + 1).cast("decimal(38,0)"))
-        sets = sets.cast("decimal(38,0)")
-    return sets.cast("bigint")
+def _group(per_component: bool) -> list[str]:
+    return ["graph_idx", "component_id"] if per_component else ["graph_idx"]
 
 
-def _queries(nodes: DataFrame, on: list[str], max_obs_size: int) -> DataFrame:
-    """Every node as a query: ``_others`` to observe and ``_first``, its first spec_ord.
+def placed_nodes(nodes: DataFrame, per_component: bool = False) -> DataFrame:
+    """Nodes with ``pos``, their 0-based place by ``ord`` in the graph (or component)."""
+    on = _group(per_component)
+    kept = nodes.select(*dict.fromkeys([*on, "graph_idx", *(c for c in nodes.columns if c == "component_id")]), "entity", "ord")
+    return group_indexed(kept, on, ["ord"], "pos")
+
+
+def spec_queries(placed: DataFrame, max_obs_size: int, per_component: bool = False) -> DataFrame:
+    """Every node as a query: ``_others`` to observe, how many ``_specs`` it has and ``_first``, its first spec_ord.
 
     How many specs a query has follows from the size of its group, so specs are
     numbered without counting them.
     """
-    sizes = nodes.groupBy(*on).agg((F.count(F.lit(1)) - 1).alias("_others"))
-    home = [] if "component_id" not in nodes.columns else ["component_id"]
-    queries = nodes.join(sizes, on).select(
+    on = _group(per_component)
+    sizes = placed.groupBy(*on).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    home = [] if "component_id" not in placed.columns else ["component_id"]
+    queries = placed.join(sizes, on).select(
         "graph_idx",
         *home,
         F.col("entity").alias("query_entity"),
         F.col("ord").cast("bigint").alias("query_ord"),
+        F.col("pos").alias("_place"),
         "_others",
-        sum((_choose(F.col("_others"), k) for k in range(1, max_obs_size + 1)), F.lit(0)).alias("_specs"),
+        sum((choose(F.col("_others"), k) for k in range(1, max_obs_size + 1)), F.lit(0).cast("bigint")).alias("_specs"),
     )
     bucket = F.floor(F.col("query_ord") / ORD_BUCKET)
-    return running_before(queries, ["graph_idx"], bucket, ["query_ord"], "_specs", "_first").drop("_specs")
+    return running_before(queries, ["graph_idx"], bucket, ["query_ord"], "_specs", "_first")
+
+
+def spec_counts(queries: DataFrame) -> DataFrame:
+    """(graph_idx, n): how many specs each graph has."""
+    return queries.groupBy("graph_idx").agg(F.sum("_specs").cast("bigint").alias("n")).filter("n > 0")
 
 
 def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool = False) -> DataFrame:
@@ -57,21 +68,24 @@ def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool =
     Columns graph_idx, [component_id,] query_entity, query_ord, obs_size,
     observed_entities, observed_ords and spec_ord, 0-based and dense per graph
     (by query, size, observed). The sets are the result asked for: one self join
-    per slot with rising ``ord`` yields each once. Only the nodes are shuffled;
-    slots and numbering keep their partitioning by group and salt of the query.
+    per slot with rising ``ord`` yields each once. A set's number follows from its
+    positions, so only the nodes are shuffled and nothing is sorted.
     """
-    on = ["graph_idx", "component_id"] if per_component else ["graph_idx"]
-    queries = durable(_queries(nodes, on, max_obs_size))
+    on = _group(per_component)
+    placed = durable(placed_nodes(nodes, per_component))
+    queries = durable(spec_queries(placed, max_obs_size, per_component))
     parts = parts_of(queries, on)
     grown = (
         salted(queries, on, "query_entity", parts)
         .withColumn("observed_entities", F.array().cast("array<string>"))
         .withColumn("observed_ords", F.array().cast("array<bigint>"))
+        .withColumn("_places", F.array().cast("array<bigint>"))
     )
     slot = copied(
-        nodes.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o")), on, parts
+        placed.select(*on, F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o"), F.col("pos").alias("_p")), on, parts
     )
-    one_query = Window.partitionBy(*on, "_salt", "query_ord").orderBy("observed_ords")
+    # Among the others, those behind the query move up by one.
+    place = F.col("_p") - (F.col("_p") > F.col("_place")).cast("bigint")
     sizes = []
     smaller = F.lit(0).cast("bigint")
     for size in range(1, max_obs_size + 1):
@@ -81,18 +95,71 @@ def observation_specs(nodes: DataFrame, max_obs_size: int, per_component: bool =
             .filter(rising & (F.col("_o") != F.col("query_ord")))
             .withColumn("observed_entities", F.array_append("observed_entities", F.col("_e")))
             .withColumn("observed_ords", F.array_append("observed_ords", F.col("_o")))
-            .drop("_e", "_o")
+            .withColumn("_places", F.array_append("_places", place))
+            .drop("_e", "_o", "_p")
         )
-        position = F.row_number().over(one_query) - 1
+        number = set_rank([F.col("_places")[i] for i in range(size)], F.col("_others"))
         sizes.append(
-            grown.withColumn("spec_ord", (F.col("_first") + smaller + position).cast("bigint"))
+            grown.withColumn("spec_ord", F.col("_first") + smaller + number)
             .withColumn("obs_size", F.lit(size).cast("bigint"))
-            .drop("_salt", "_others", "_first")
+            .drop("_salt", "_others", "_first", "_specs", "_place", "_places")
         )
-        smaller = smaller + _choose(F.col("_others"), size)
+        smaller = smaller + choose(F.col("_others"), size)
     return reduce(DataFrame.unionByName, sizes)
 
 
+def unrank_specs(
+    numbers: DataFrame, placed: DataFrame, queries: DataFrame, max_obs_size: int, per_component: bool = False
+) -> DataFrame:
+    """``numbers(graph_idx, spec_ord, ...)`` with the query and the observed entities of each spec.
+
+    The columns of ``observation_specs``, without a table of specs. A query's specs are one
+    range of numbers: ranges are cut at multiples of their mean width in the graph, so
+    there are at most twice as many pieces as queries, and a number meets two of them on
+    average whatever the sizes of the groups. What is left of a number gives the size and
+    the positions in closed form, and a join per slot their entities.
+    """
+    on = _group(per_component)
+    asked = queries.filter("_specs > 0")
+    widths = small_side(
+        asked.groupBy("graph_idx").agg(F.expr("sum(_specs) div count(1) + 1").cast("bigint").alias("_width"))
+    )
+    pieces = asked.join(widths, "graph_idx").withColumn(
+        "_piece", F.explode(F.expr("sequence(_first div _width, (_first + _specs - 1) div _width)"))
+    ).drop("_width")
+    rows = (
+        numbers.join(widths, "graph_idx").withColumn("_piece", F.expr("spec_ord div _width")).drop("_width")
+        .join(small_side(pieces), ["graph_idx", "_piece"])
+        .filter((F.col("spec_ord") >= F.col("_first")) & (F.col("spec_ord") < F.col("_first") + F.col("_specs")))
+    )
+    size, smaller = F.lit(max_obs_size), F.lit(0).cast("bigint")
+    ahead = [smaller]
+    for k in range(1, max_obs_size):
+        ahead.append(ahead[-1] + choose(F.col("_others"), k))
+    left = F.col("spec_ord") - F.col("_first")
+    for k in range(max_obs_size - 1, 0, -1):
+        size = F.when(left < ahead[k], k).otherwise(size)
+    rows = rows.withColumn("obs_size", size.cast("bigint"))
+    before = F.lit(0).cast("bigint")
+    for k in range(2, max_obs_size + 1):
+        before = F.when(F.col("obs_size") >= k, ahead[k - 1]).otherwise(before)
+    rows = unrank_sets(rows, left - before, "_others", "obs_size", max_obs_size, "_places")
+    rows = rows.drop("_piece", "_first", "_specs", "_others")
+    known = small_side(placed.select(*on, F.col("pos").alias("_p"), F.col("entity").alias("_e"), F.col("ord").cast("bigint").alias("_o")))
+    slots = []
+    for slot in range(max_obs_size):
+        place = F.get("_places", F.lit(slot))
+        rows = rows.withColumn("_p", place + (place >= F.col("_place")).cast("bigint")).join(known, [*on, "_p"], "left")
+        rows = rows.drop("_p").withColumnsRenamed({"_e": f"_e{slot}", "_o": f"_o{slot}"})
+        slots.append(slot)
+    names, ords = [f"_e{s}" for s in slots], [f"_o{s}" for s in slots]
+    return (
+        rows.withColumn("observed_entities", F.array_compact(F.array(*names)))
+        .withColumn("observed_ords", F.array_compact(F.array(*ords)))
+        .drop("_places", "_place", *names, *ords)
+    )
+
+
 def prioritised(labels: Column) -> Column:
     """Distinct labels in priority order; independent if there is none."""
     priority = F.array(*[F.lit(name) for name in INFERENCE_PRIORITY])
@@ -103,28 +170,16 @@ def prioritised(labels: Column) -> Column:
 def label_specs(specs: DataFrame, related: DataFrame, max_obs_size: int) -> DataFrame:
     """Add ``inference_types`` and ``primary_inference_type``.
 
-    One left join per observed slot with the related pairs, which are broadcast
-    if their counted number allows; a slot without a relation is independent.
+    ``related`` are the bitmaps of ``closure.related_words``: one join per observed slot
+    with a row for 64 nodes, broadcast if its counted number allows, and one bit test; a
+    slot without a relation is independent.
     """
-    related = small_side(related.select("graph_idx", "first", "second", "relation"))
+    related = small_side(related)
     out = specs
     slots = []
     for slot in range(max_obs_size):
         name = f"_r{slot}"
-        pair = related.select(
-            "graph_idx",
-            F.col("first").alias("_seen"),
-            F.col("second").alias("query_entity"),
-            F.col("relation").alias(name),
-        )
-        out = (
-            out.withColumn("_seen", F.get("observed_entities", F.lit(slot)))
-            .join(pair, ["graph_idx", "_seen", "query_entity"], "left")
-            .withColumn(
-                name, F.when(F.col("_seen").isNotNull(), F.coalesce(name, F.lit("independent")))
-            )
-            .drop("_seen")
-        )
+        out = with_relation(out, related, F.get("observed_entities", F.lit(slot)), "query_ord", name)
         slots.append(name)
     types = prioritised(F.array_compact(F.array(*slots)))
     return (
@@ -191,14 +246,21 @@ def _first_distinct(groups: DataFrame, seed: int) -> DataFrame:
         factor *= 2
 
 
-def sample_per_world(specs: DataFrame, num_worlds: int, ratio: float, seed: int) -> DataFrame:
+def _numbers(counts: DataFrame) -> DataFrame:
+    """(graph_idx, spec_ord): all numbers below ``n``, in chunks that are spread first."""
+    chunks = counts.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    numbers = F.expr(f"sequence(_chunk * {CHUNK}, least((_chunk + 1) * {CHUNK}, n) - 1)")
+    return spread(chunks, "graph_idx", "_chunk").select("graph_idx", F.explode(numbers).alias("spec_ord"))
+
+
+def sample_per_world(counts: DataFrame, num_worlds: int, ratio: float, seed: int) -> DataFrame:
     """Distinct (graph_idx, world_id, spec_ord): a fresh exact-size sample per world.
 
-    Simple random sampling without replacement by drawing ordinals and skipping
-    repeats. The work follows the sample, not worlds x specs. Where more than
-    half is kept, the specs left out are drawn instead.
+    ``counts(graph_idx, n)`` says how many specs a graph has; no spec is read. Simple
+    random sampling without replacement by drawing ordinals and skipping repeats. The
+    work follows the sample, not worlds x specs. Where more than half is kept, the
+    specs left out are drawn instead.
     """
-    counts = specs.groupBy("graph_idx").agg(F.count(F.lit(1)).alias("n"))
     worlds = F.explode(F.expr(f"sequence(0L, {num_worlds - 1}L)"))
     keep = counts.withColumn("keep", keep_count(F.col("n"), ratio)).filter("keep > 0")
     groups = durable(keep.select("*", worlds.alias("world_id")))
@@ -209,11 +271,7 @@ def sample_per_world(specs: DataFrame, num_worlds: int, ratio: float, seed: int)
     if not direct.isEmpty():
         drawn.append(_first_distinct(direct, seed))
     if not inverse.isEmpty():
-        numbers = specs.select("graph_idx", "spec_ord")
-        every = spread(numbers, "graph_idx", "spec_ord").withColumn(
-            "world_id", F.explode(F.expr(f"sequence(0L, {num_worlds - 1}L)"))
-        )
-        every = every.join(inverse.select("graph_idx").distinct(), "graph_idx", "left_semi").select(
+        every = _numbers(inverse.select("graph_idx", "n").distinct()).withColumn("world_id", worlds).select(
             "graph_idx", "world_id", "spec_ord"
         )
         partial = inverse.withColumn("want", F.col("n") - F.col("keep")).filter("want > 0")

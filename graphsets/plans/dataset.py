@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsets.operators import caps, examples, graph, specs, splits
+from graphsets.operators import caps, closure, examples, graph, specs, splits
 from graphsets.session import durable
 
 
@@ -81,11 +81,11 @@ class GraphTables:
     instruction_order: tuple[str, ...]
     made: dict = field(default_factory=dict, compare=False, repr=False)
 
-    def closure(self) -> DataFrame:
-        """Reachability; it depends on no setting, so all builders share it."""
-        if "closure" not in self.made:
-            self.made["closure"] = durable(graph.reachability(self.edges))
-        return self.made["closure"]
+    def related(self) -> DataFrame:
+        """Reachability as bitmaps; it depends on no setting, so all builders share it."""
+        if "related" not in self.made:
+            self.made["related"] = durable(closure.related_words(self.nodes, self.edges))
+        return self.made["related"]
 
     def words(self) -> DataFrame:
         """Packed facts of all nodes, shared as well."""
@@ -125,11 +125,8 @@ class DatasetBuilder:
             "num_graphs": counted["graphs"], "num_entities": counted["largest"], "edge_prob": None, "root_prior": None,
         }
 
-    def closure(self) -> DataFrame:
-        return self.tables.closure()
-
     def related(self) -> DataFrame:
-        return graph.related_pairs(self.closure())
+        return self.tables.related()
 
     def words(self) -> DataFrame:
         return self.tables.words()
@@ -144,7 +141,7 @@ class DatasetBuilder:
         )
 
     def specs(self) -> DataFrame:
-        """Numbered and labelled specs, with the component of the query."""
+        """All numbered and labelled specs, with the component of the query; no other step reads them."""
         c = self.config
 
         def make():
@@ -153,23 +150,33 @@ class DatasetBuilder:
 
         return self._once("specs", make)
 
+    def placed(self) -> DataFrame:
+        return self._once("placed", lambda: specs.placed_nodes(self.tables.nodes, self.config.per_component_data))
+
+    def queries(self) -> DataFrame:
+        """Every node as a query, with the range of its spec numbers."""
+        c = self.config
+        return self._once("queries", lambda: specs.spec_queries(self.placed(), c.max_obs_size, c.per_component_data))
+
     def sampled(self) -> DataFrame:
+        """Spec numbers per world."""
         c = self.config
         return self._once(
             "sampled",
             lambda: specs.sample_per_world(
-                self.specs(), c.num_worlds, c.sample_ratio_from_worlds, c.seed
+                specs.spec_counts(self.queries()), c.num_worlds, c.sample_ratio_from_worlds, c.seed
             ),
         )
 
     def observed(self) -> DataFrame:
         """Sampled specs with the values seen and the answer, one row per world and spec."""
-        return self._once(
-            "observed",
-            lambda: examples.observe(
-                self.sampled(), self.specs(), self.words(), self.config.max_obs_size
-            ),
-        )
+        c = self.config
+
+        def make():
+            found = specs.unrank_specs(self.sampled(), self.placed(), self.queries(), c.max_obs_size, c.per_component_data)
+            return examples.observe(specs.label_specs(found, self.related(), c.max_obs_size), self.words(), c.max_obs_size)
+
+        return self._once("observed", make)
 
     def observation_rows(self) -> DataFrame:
         """Narrow observation rows; with their deciles if a cap needs them."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from graphsets.operators import graph
+from graphsets.operators import closure, graph
 from tests import model
 
 
@@ -57,8 +57,8 @@ def test_closure_of_a_cycle_leaves_self_out(spark):
 
 def test_relations(world):
     nodes, edges, n, e = world
-    related = graph.related_pairs(graph.reachability(e))
-    rows = graph.pair_relations(graph.ordered_pairs(n), related).collect()
+    words = closure.related_words(n, e)
+    rows = closure.pair_relations(graph.ordered_pairs(n, numbered=True), words).collect()
     assert len(rows) == sum(len(v) * (len(v) - 1) for v in nodes.values())
     reach = {g: model.closure(edges[g]) for g in edges}
     for r in rows:
@@ -70,6 +70,32 @@ def test_relations(world):
         assert r.relation == want
 
 
+@pytest.mark.parametrize("step,first", [(1, 0), (37, 5)])
+def test_bitmaps_hold_the_closure(world, step, first):
+    """Also where numbers are not dense, so that a graph of 40 nodes spans many blocks."""
+    nodes, edges, n, e = world
+    words = closure.related_words(n.withColumn("ord", F.col("ord") * step + first), e).collect()
+    name = {(g, i * step + first): x for g in nodes for i, x in enumerate(nodes[g])}
+    got = {"down": set(), "up": set()}
+    for r in words:
+        for side, pairs in got.items():
+            bits = r[side] & ((1 << 64) - 1)
+            pairs |= {(r.graph_idx, r.entity, name[r.graph_idx, r.block * 64 + i]) for i in range(64) if bits >> i & 1}
+    want = {(g, a, b) for g in edges for a, b in model.closure(edges[g])}
+    assert got["down"] == want and got["up"] == {(g, b, a) for g, a, b in want}
+    assert len(words) == len({(r.graph_idx, r.entity, r.block) for r in words})
+    counts = closure.relative_counts(n, closure.related_words(n, e), "down", "descendants").collect()
+    assert {(r.graph_idx, r.entity): r.descendants for r in counts} == {
+        (g, x): sum((h, a) == (g, x) for h, a, _ in want) for g in nodes for x in nodes[g]
+    }
+
+
+def test_bitmaps_of_a_cycle_leave_self_out(spark):
+    n, e = frames(spark, {0: ["a", "b", "c"], 1: ["x"]}, {0: [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a")], 1: []})
+    got = {(r.entity, r.block, r.down, r.up) for r in closure.related_words(n, e).collect()}
+    assert got == {("a", 0, 6, 6), ("b", 0, 5, 5), ("c", 0, 3, 3)}
+
+
 def test_components(world):
     nodes, edges, n, e = world
     got = {r.entity: (r.component_root, r.component_id) for r in graph.weak_components(n, e).collect()}

@@ -1,11 +1,14 @@
 from collections import Counter
+from itertools import combinations
 from math import comb
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphsets.operators import graph, specs, splits
-from graphsets.plans.dataset import DatasetConfig
+from graphsets.functions import combinations as combos
+from graphsets.operators import closure, graph, specs, splits
+from graphsets.plans.dataset import DatasetBuilder, DatasetConfig, GraphTables
+from graphsets.session import durable
 from tests import model
 
 RATIOS = [(0.0, 0.0), (0.1, 0.1), (0.5, 0.5), (0.15, 0.25), (0.5, 0.1), (0.1, 0.9), (0.9, 0.9), (1.0, 1.0), (0.0, 1.0)]
@@ -85,11 +88,60 @@ def test_specs(nodes, size, per_component):
         assert seen == sorted(seen, key=lambda s: (s[0], len(s[1]), s[1]))
 
 
+@pytest.mark.parametrize("size,per_component", [(1, False), (2, False), (3, True), (4, False)])
+def test_numbers_stand_for_their_specs(spark, size, per_component):
+    """Also with one component beside many small ones, whose queries lie between its own, and gaps in ``ord``."""
+    rows = [(0, f"A{i:03d}", i * 3 + 1, 0 if i % 4 == 0 else i // 2) for i in range(40)] + NODES[7:]
+    nodes = spark.createDataFrame(rows, "graph_idx bigint, entity string, ord bigint, component_id bigint").filter("ord < 24 OR component_id = 0")
+    every = durable(specs.observation_specs(nodes, size, per_component))
+    placed = specs.placed_nodes(nodes, per_component)
+    queries = specs.spec_queries(placed, size, per_component)
+    numbers = every.select("graph_idx", "spec_ord", (F.col("spec_ord") * 7).alias("world_id"))
+    found = specs.unrank_specs(numbers, placed, queries, size, per_component)
+    assert found.filter("world_id <> spec_ord * 7").isEmpty()
+    columns = [*every.columns]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, every.select(columns).collect()))
+
+
+@pytest.mark.parametrize("size,count", [(1, 9), (2, 9), (3, 8), (5, 9)])
+def test_sets_and_numbers(spark, size, count):
+    sets = list(combinations(range(count), size))
+    df = spark.createDataFrame([(i, count, size, list(c)) for i, c in enumerate(sets)], "i bigint, n bigint, k int, c array<bigint>")
+    back = combos.unrank_sets(df, F.col("i"), "n", "k", size, "got").withColumn(
+        "number", combos.set_rank([F.col("c")[j] for j in range(size)], F.col("n"))
+    )
+    assert all(r.got == r.c and r.number == r.i for r in back.collect())
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_largest_is_exact_for_large_numbers(spark, size):
+    tops = [size, 10, 1000, 54_321, 2_000_000 if size < 4 else 100_000]
+    totals = [comb(d, size) + off for d in tops for off in (-1, 0, 1) if comb(d, size) + off >= 0]
+    df = spark.createDataFrame([(t,) for t in totals], "t bigint")
+    for row in df.withColumn("d", combos.largest(F.col("t"), size)).collect():
+        assert comb(row.d, size) <= row.t < comb(row.d + 1, size)
+
+
+def test_samples_read_no_specs(spark, nodes, monkeypatch):
+    """Observations are built from drawn numbers; the table of all specs is not made."""
+    edges = spark.createDataFrame([(0, "A0", "A1"), (1, "B1", "B2")], "graph_idx bigint, parent string, child string")
+    facts = nodes.select("graph_idx", "entity", F.lit(0).alias("word"), F.lit(5).cast("bigint").alias("bits"))
+    ruled = nodes.join(edges.select("graph_idx", F.col("child").alias("entity")), ["graph_idx", "entity"], "left_anti")
+    words = facts.join(ruled.select("graph_idx", "entity"), ["graph_idx", "entity"])
+    given = GraphTables(graph.assign_rules(nodes, edges, 1.0, 1), edges, words, nodes, ("ord",))
+    builder = DatasetBuilder(given, DatasetConfig(num_worlds=3, sample_ratio_from_worlds=0.5))
+    monkeypatch.setattr(specs, "observation_specs", None)
+    rows = builder.observed().collect()
+    assert Counter((r.graph_idx, r.world_id) for r in rows) == {(0, w): 74 for w in range(3)} | {(1, w): 12 for w in range(3)}
+    assert all(len(r.observed_values) == r.obs_size == len(r.observed_entities) for r in rows)
+
+
 @pytest.mark.parametrize("ratio", [0.0, 0.001, 0.1, 0.4, 0.55, 0.9, 1.0])
 def test_sample_sizes(nodes, ratio):
-    numbered = specs.observation_specs(nodes, 2).cache()
-    counts = Counter(r.graph_idx for r in numbered.collect())
-    rows = specs.sample_per_world(numbered, 9, ratio, 3).collect()
+    counted = specs.spec_counts(specs.spec_queries(specs.placed_nodes(nodes), 2))
+    counts = Counter(r.graph_idx for r in specs.observation_specs(nodes, 2).collect())
+    assert {r.graph_idx: r.n for r in counted.collect()} == counts
+    rows = specs.sample_per_world(counted, 9, ratio, 3).collect()
     assert len(set(rows)) == len(rows)
     got = Counter((r.graph_idx, r.world_id) for r in rows)
     want = {}
@@ -101,9 +153,9 @@ def test_sample_sizes(nodes, ratio):
 
 
 def test_sample_is_even_and_fresh_per_world(nodes):
-    numbered = specs.observation_specs(nodes.filter("graph_idx = 1"), 2).cache()
-    n = numbered.count()
-    rows = specs.sample_per_world(numbered, 600, 0.25, 11).collect()
+    counted = specs.spec_counts(specs.spec_queries(specs.placed_nodes(nodes.filter("graph_idx = 1")), 2)).cache()
+    n = counted.first()["n"]
+    rows = specs.sample_per_world(counted, 600, 0.25, 11).collect()
     per_spec = Counter(r.spec_ord for r in rows)
     mean = len(rows) / n
     assert len(per_spec) == n and all(0.7 * mean < c < 1.3 * mean for c in per_spec.values())
@@ -117,7 +169,7 @@ def test_labels(spark, nodes):
     edges = spark.createDataFrame(
         [(0, "A0", "A1"), (0, "A1", "A2"), (0, "A4", "A2")], "graph_idx bigint, parent string, child string"
     )
-    related = graph.related_pairs(graph.reachability(edges))
+    related = closure.related_words(nodes, edges)
     rows = specs.label_specs(specs.observation_specs(nodes, 2), related, 2).collect()
     got = {(r.query_entity, tuple(r.observed_entities)): list(r.inference_types) for r in rows}
     assert got["A1", ("A0",)] == ["ancestor"]

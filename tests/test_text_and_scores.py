@@ -179,11 +179,10 @@ def test_first_rows_with_ties_and_nulls(spark):
 
 
 def test_a_missing_fact_is_an_error(spark):
-    sampled = spark.createDataFrame([(0, 0, 0)], "graph_idx bigint, world_id bigint, spec_ord bigint")
-    specs = spark.createDataFrame([(0, 0, "Q", ["A"])], "graph_idx bigint, spec_ord bigint, query_entity string, observed_entities array<string>")
+    rows = spark.createDataFrame([(0, 0, "Q", ["A"])], "graph_idx bigint, world_id bigint, query_entity string, observed_entities array<string>")
     words = spark.createDataFrame([(0, "A", 0, 1)], "graph_idx bigint, entity string, word int, bits bigint")
     with pytest.raises(PySparkException, match="no fact of Q"):
-        examples.observe(sampled, specs, words, 1).collect()
+        examples.observe(rows, words, 1).collect()
 
 
 def test_open_turn_in_other_markup(spark):
