@@ -78,14 +78,25 @@ def powers(size: int) -> np.ndarray:
     return _powers(1 << max(8, int(size - 1).bit_length()))
 
 
-def run_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each run of ``points``; runs follow each other without gaps."""
+def run_sums(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A polynomial of each run of ``points``; runs follow each other without gaps.
+
+    That of two runs in a row is the first one's plus the second one's times
+    ``powers`` [length of the first - 1].
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     inside = np.arange(len(points)) - np.repeat(starts, lengths)
     with np.errstate(over="ignore"):
         terms = (points.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[inside]
-        return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+        return np.add.reduceat(terms, starts)
+
+
+def run_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``points``; runs follow each other without gaps."""
+    sums = run_sums(points, starts, lengths)
+    with np.errstate(over="ignore"):
+        return mix(sums + lengths.astype(np.uint64))
 
 
 def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

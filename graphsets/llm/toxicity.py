@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsets.llm.codes import DIGIT, LETTER, LIMIT, SPACE, blocks, flatten, mix, run_hashes, tables
+from graphsets.llm.codes import DIGIT, LETTER, LIMIT, SPACE, blocks, flatten, mix, powers, run_hashes, run_sums, tables
 from graphsets.llm.langid import held_out
 from graphsets.llm.store import saved
 
@@ -34,6 +34,7 @@ SYMBOLS = 27  # blank and a to z
 SPACED = 3  # single letters in a row that may be one word
 PIECES, JOINED = 3, 16  # pieces that a split word may have, and the signs of all of them
 WORDS_KEPT = 200_000
+MARKS = [ord(c) for c in "!*(+¡"]  # at a word's end
 
 # What a sign may stand for, and how likely each way of writing is.
 READINGS = {
@@ -171,6 +172,13 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+def _among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array."""
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
+
+
 class Reader:
     """Words of texts, disguised ones restored. Restored words are remembered, up to a bound."""
 
@@ -195,18 +203,24 @@ class Reader:
         out_hash.append(got)
         out_before.append(np.full(len(got), before, np.uint64))
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, word hash, hash of the word before) of every word, restored ones last."""
+    def read(self, texts: list[str], known: np.ndarray | None = None, usual: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(text number, word hash, hash of the word before, writing) of every word, restored ones last.
+
+        With ``known``, sorted hashes, words that are doubled or split are looked at only
+        if the restored word is one of them. ``writing`` names how such a word is written, and is 0
+        for others; writings in ``usual`` are words of their own and are not restored.
+        """
         kind, lower, _ = tables()
         points, offsets = flatten(texts)
         empty = np.zeros(0, np.uint64)
+        nothing = (np.zeros(0, np.int64), empty, empty, empty)
         if not len(points):
-            return np.zeros(0, np.int64), empty, empty
+            return nothing
         kinds = kind[points]
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
         solid = np.flatnonzero(kinds != SPACE)
         if not len(solid):
-            return np.zeros(0, np.int64), empty, empty
+            return nothing
         # A chunk is what stands between white space, without signs at its ends that mean nothing.
         chunk_new = np.ones(len(solid), bool)
         chunk_new[1:] = (np.diff(solid) > 1) | (text[solid[1:]] != text[solid[:-1]])
@@ -223,7 +237,7 @@ class Reader:
         chunk_begin, chunk_end = begin[some], end[some]
         begin, end = hold[first[some]], hold[last[some]] + 1
         if not len(begin):
-            return np.zeros(0, np.int64), empty, empty
+            return nothing
         letters = np.concatenate([[0], np.cumsum(kinds == LETTER)])
         thrice = np.zeros(len(points), np.int64)
         thrice[2:] = (lower[points[2:]] == lower[points[1:-1]]) & (lower[points[1:-1]] == lower[points[:-2]]) & (kinds[2:] == LETTER)
@@ -235,10 +249,13 @@ class Reader:
         word_text = text[begin]
         # Hash of every chunk's letters and signs in lower case, chunk after chunk.
         flat = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        found = run_hashes(lower[points[flat]], np.cumsum(size) - size, size)
+        sums = run_sums(lower[points[flat]], np.cumsum(size) - size, size)
+        with np.errstate(over="ignore"):
+            found = mix(sums + size.astype(np.uint64))
         before = np.zeros(len(found), np.uint64)
         before[1:] = np.where(word_text[1:] == word_text[:-1], found[:-1], 0)
         out_text, out_hash, out_before = [word_text[plain]], [found[plain]], [before[plain]]
+        written: list[tuple[int, np.ndarray]] = []  # place in the lists above, names of writings
         raw = None
         for at in np.flatnonzero(odd).tolist():
             raw = raw or "".join(texts)
@@ -252,6 +269,10 @@ class Reader:
         ahead = np.append(mute, -1)[np.searchsorted(mute, begin) - 1] + 1
         wide_begin = np.maximum(chunk_begin, np.minimum(begin, ahead))
         wide_end = np.minimum(chunk_end, np.maximum(end, after))
+        # Marks after a word, and more than two signs in a row, are no letters.
+        marks = np.isin(points[np.minimum(end, len(points) - 1)], MARKS)
+        wide_end = np.where(marks | (wide_end - end > 2), end, wide_end)
+        wide_begin = np.where(begin - wide_begin > 2, begin, wide_begin)
         twice = np.zeros(len(points), np.int64)
         twice[1:] = (lower[points[1:]] == lower[points[:-1]]) & (kinds[1:] == LETTER)
         doubles = np.concatenate([[0], np.cumsum(twice)])
@@ -259,6 +280,16 @@ class Reader:
         again = plain & (size > 2) & (n_doubles > 0)
         symbols = folded()[points].astype(np.int64)
         i = np.flatnonzero(again)
+        if known is not None and len(i):
+            once = n_doubles[i] == 1
+            flat, owner = _ranges(begin[i], size[i]), np.repeat(np.arange(len(i)), size[i])
+            stays = ~((twice[flat] > 0) & (flat > begin[i][owner]))
+            length = np.bincount(owner[stays], minlength=len(i))
+            less = run_hashes(lower[points[flat[stays]]], np.cumsum(length) - length, length)
+            again[i] = _among(less, known) | ~once
+            if usual is not None:
+                again[i] &= ~_among(found[i], usual)
+            i = np.flatnonzero(again)
         if len(i):
             # Only words that are likelier without one of their double letters, or without any.
             flat, owner = _ranges(begin[i], size[i]), np.repeat(np.arange(len(i)), size[i])
@@ -277,6 +308,7 @@ class Reader:
             single = helps & ~several
             length = size[i][single] - 1
             out_text.append(word_text[i[single]])
+            written.append((len(out_hash), found[i[single]]))
             out_hash.append(run_hashes(lower[points[flat[~extra & single[owner]]]], np.cumsum(length) - length, length))
             out_before.append(before[i[single]])
             again[i] = helps & several
@@ -300,6 +332,20 @@ class Reader:
             for k in range(pieces):
                 simple &= plain[k : k + n]
             i = np.flatnonzero(simple)
+            name = found[i]
+            with np.errstate(over="ignore"):
+                for k in range(1, pieces):
+                    name = mix(name + np.uint64(k)) + found[i + k]
+            if known is not None and len(i):
+                whole, so_far = sums[i].copy(), size[i].copy()
+                with np.errstate(over="ignore"):
+                    for k in range(1, pieces):
+                        whole += powers(JOINED)[so_far - 1] * sums[i + k]
+                        so_far += size[i + k]
+                    some = _among(mix(whole + so_far.astype(np.uint64)), known)
+                if usual is not None:
+                    some &= ~_among(name, usual)
+                i, name = i[some], name[some]
             if len(i):
                 flat = np.concatenate([_ranges(begin[i + k], size[i + k]) for k in range(pieces)])
                 owner = np.concatenate([np.repeat(np.arange(len(i)), size[i + k]) for k in range(pieces)])
@@ -315,6 +361,7 @@ class Reader:
                 keep = np.repeat(better, sizes[i])
                 length = sizes[i][better]
                 out_text.append(word_text[i[better]])
+                written.append((len(out_hash), name[better]))
                 out_hash.append(run_hashes(lower[points[flat[keep]]], np.cumsum(length) - length, length))
                 out_before.append(before[i[better]])
             for at in np.flatnonzero(near & ~simple).tolist():
@@ -330,7 +377,10 @@ class Reader:
             out_text.append(np.full(len(got), word_text[a]))
             out_hash.append(got)
             out_before.append(np.full(len(got), before[a], np.uint64))
-        return np.concatenate(out_text).astype(np.int64), np.concatenate(out_hash), np.concatenate(out_before)
+        writing = [np.zeros(len(h), np.uint64) for h in out_hash]
+        for place, names in written:
+            writing[place] = names
+        return np.concatenate(out_text).astype(np.int64), np.concatenate(out_hash), np.concatenate(out_before), np.concatenate(writing)
 
 
 def distinct(text: np.ndarray, hashes: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -379,7 +429,7 @@ def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndar
         for rows in batches:
             toxic = rows["toxic"].to_numpy()
             for start, held in blocks(rows["text"].to_pylist()):
-                text, found, _ = reader.read(held)
+                text, found, *_ = reader.read(held)
                 text, found = distinct(text, found)
                 words, at = np.unique(found, return_inverse=True)
                 bad = np.bincount(at, weights=toxic[start + text], minlength=len(words)).astype(np.int64)
@@ -404,7 +454,7 @@ def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndar
         reader = Reader(model.value)
         for rows in batches:
             for _, held in blocks(rows["text"].to_pylist()):
-                _, found, before = reader.read(held)
+                _, found, before, _ = reader.read(held)
                 at = np.minimum(np.searchsorted(sent.value, found), len(sent.value) - 1)
                 some = sent.value[at] == found
                 word, context = distinct(found[some], before[some])
@@ -420,6 +470,22 @@ def word_odds(sample: DataFrame, model, texts: tuple[int, int]) -> tuple[np.ndar
     return keys[order], np.minimum(kept["odds"].to_numpy()[order], MOST_ODDS)
 
 
+def usual_writings(sample: DataFrame, model, keys: np.ndarray) -> np.ndarray:
+    """Sorted names of the doubled or split writings of marked words that clean texts hold; these are words of their own."""
+    if not len(keys):
+        return keys
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.value)
+        for rows in batches:
+            for _, held in blocks(rows["text"].to_pylist()):
+                _, found, _, writing = reader.read(held, keys)
+                yield pa.RecordBatch.from_pydict({"writing": np.unique(writing[(writing != 0) & _among(found, keys)]).view(np.int64)})
+
+    rows = sample.filter("toxic = 0").mapInArrow(find, "writing long").distinct().toPandas()  # of a bounded sample
+    return np.sort(rows["writing"].to_numpy(np.int64).view(np.uint64))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (score of ``THRESHOLD`` or more).
 
@@ -436,16 +502,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     share = labels.filter(~held_out(F.col("doc_id"))).agg(F.avg((F.col("toxic") >= 1).cast("int"))).first()[0] or 0.0
     share = min(max(share, 0.001), 0.2)
     prior = log(share / (1 - share)) - 1
-    learned = spark.sparkContext.broadcast((keys, odds))
+    learned = spark.sparkContext.broadcast((keys, odds, usual_writings(sample, model, keys)))
 
     @F.pandas_udf("score double, predicted int")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.value)
-        words, weights = learned.value
+        words, weights, usual = learned.value
         for texts in parts:
             scores = np.full(len(texts), prior)
             for start, held in blocks(texts.where(texts.notna(), None)):
-                text, found, _ = reader.read(held)
+                text, found, *_ = reader.read(held, words, usual)
                 if len(found) and len(words):
                     at = np.minimum(np.searchsorted(words, found), len(words) - 1)
                     some = words[at] == found

@@ -452,3 +452,21 @@ def test_sha_of_kept_lines(spark, docs):
     df = docs([(1, "a\nb"), (2, None)])
     got = lines.apply_bitmaps(df, lines.keep_bitmaps(df, 2, 1, False)).select("doc_id", F.sha2("text", 256)).collect()
     assert dict(map(tuple, got)) == {1: hashlib.sha256(b"a\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_what_clean_texts_write_is_no_disguise(spark, docs):
+    """A word that differs from a toxic one by a double letter, or two words in a row, where clean texts hold them."""
+    rng = random.Random(6)
+    plain = [sentences(rng, "aeiulnrt", 1) for _ in range(200)]
+    text = lambda: [rng.choice(plain) for _ in range(20)]
+    made, labels = [], []
+    for n in range(900):
+        toxic, words = n % 3 == 0, text()
+        words[5:5] = ["loser" if toxic else "looser"] if n % 2 else (["scumbag"] if toxic else ["scum", "bag"])
+        made.append((n, " ".join(words)))
+        labels.append((n, 1, int(toxic)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tested = {"a looser knot": 0, "the scum bag here": 0, "a lloser here": 1, "a los er here": 1, "a loser knot": 1, "a l0ser knot": 1}
+    texts = [(9000 + i, " ".join([*text()[:4], t, *text()[:4]])) for i, t in enumerate(tested)]
+    got = toxicity.score_toxicity(docs(made + texts), table).filter("doc_id >= 9000").collect()
+    assert {r["doc_id"] - 9000: r["predicted"] for r in got} == dict(enumerate(tested.values()))
