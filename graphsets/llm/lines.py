@@ -109,11 +109,7 @@ class _Stream:
 
 
 def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool) -> DataFrame:
-    """(d1, d2, pos) of each line to drop; d1 and d2 name a document.
-
-    A document is named by its doc_id and the hash of its text, so rows that are alike
-    are one document.
-    """
+    """(d1, d2, pos) of each line to drop; d1 and d2, doc_id and row number, name a document."""
     lines = docs.select(*_names(), F.posexplode(text_lines(F.col("text"))).alias("pos", "line")).select(
         "d1", "d2", F.col("pos").cast("long").alias("pos"), line_key(F.col("line")).alias("key")
     )
@@ -153,23 +149,28 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: b
     return marked.filter("not is_open").select("d1", "d2", "pos").unionByName(late.select("d1", "d2", "pos"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text), written once, so that each row is a document with one name in all passes."""
+    return saved(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def _names() -> list[Column]:
-    return [F.coalesce("doc_id", F.lit(-1)).cast("long").alias("d1"), F.xxhash64("doc_id", "text").alias("d2")]
+    return [F.coalesce("doc_id", F.lit(-1)).cast("long").alias("d1"), F.col("row").alias("d2")]
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True) -> DataFrame:
-    """(doc_id, d1, d2, n_lines, n_dropped, keep), one row for each document.
+    """(doc_id, d1, d2, n_lines, n_dropped, keep), one row for each row of ``numbered`` documents.
 
     Keys of ``min_chars`` code points or more that occur in ``min_docs`` documents or
     more lose their lines: all of them, or with ``keep_first`` all but the first by
-    doc_id and position. ``keep`` is the zlib-compressed bit string of kept lines, and
+    doc_id, row and position. ``keep`` is the zlib-compressed bit string of kept lines, and
     null where nothing is dropped. Null and empty texts have one empty line. Rows that
-    are alike give one row. An empty table gives none.
+    are alike are documents of their own, and so are rows without a doc_id. An empty table gives none.
     """
     positions = repeated_lines(docs, min_docs, min_chars, keep_first).groupBy("d1", "d2").agg(F.collect_list("pos").alias("pos"))
     counts = docs.select(
         "doc_id", *_names(), F.size(text_lines(F.col("text"))).cast("long").alias("n_lines")
-    ).dropDuplicates(["d1", "d2"])
+    )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

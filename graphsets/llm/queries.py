@@ -46,7 +46,7 @@ def op4_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the lines that ten documents share."""
-    docs = table(spark, sf_dir, "documents")
+    docs = lines.numbered(table(spark, sf_dir, "documents"))
     kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1, keep_first=False))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

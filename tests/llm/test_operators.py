@@ -169,27 +169,50 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     made += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")]), (1003, [float("inf")]), (None, [1.0]), (1050, [2.0]), (1051, []), (7, made[7][1])]
     df = spark.createDataFrame(made, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("vector", F.lit(2))
     vectors = maxscore.integer_vectors(df)
-    whole = {}
+    whole = []
     for n, v in made:
         if n is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            whole[n] = min(whole.get(n, ints), ints)
-    got = defaultdict(list)
-    for r in maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert set(got) == {n for n in whole if n % 50 == 0}
-    for query, found in got.items():
-        scores = sorted((-sum(a * b for a, b in zip(whole[query], v)), n) for n, v in whole.items() if n != query)
-        assert found == [(n, -s) for s, n in scores[:5]]
+            whole.append((n, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    want = Counter()
+    for at, (query, of_query) in enumerate(whole):
+        if query % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(of_query, v)), n) for i, (n, v) in enumerate(whole) if i != at)
+            want.update((query, r + 1, n, -s) for r, (s, n) in enumerate(scores[:5]))
+    assert Counter(map(tuple, maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect())) == want
     few = maxscore.integer_vectors(df.filter("vec_id in (0, 1, 2)"))
     assert maxscore.top_k(few, few.filter("vec_id = 0")).count() == 2
     assert maxscore.top_k(few.limit(0), few).count() == 0 and maxscore.top_k(few, few.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, [0.5]), (1, [0.9]), (1, [0.9]), (50, [1.0]), (50, [0.7])], "vec_id long, embedding array<double>")
+    vectors = maxscore.integer_vectors(df)
+    got = sorted(map(tuple, maxscore.top_k(vectors, vectors.filter("vec_id = 50"), 3).collect()))
+    assert got == sorted([
+        (50, 1, 1, 230 * 256), (50, 2, 1, 230 * 256), (50, 3, 50, 179 * 256),
+        (50, 1, 50, 256 * 179), (50, 2, 1, 230 * 179), (50, 3, 1, 230 * 179),
+    ])
+
+
+def test_level_rises_and_skips_vectors():
+    rng = np.random.default_rng(3)
+    n, width = 2000, 24
+    vectors = rng.integers(-20, 20, (n, width))
+    vectors[:, :3] *= 60
+    shard = maxscore.Shard(np.arange(n), np.arange(n), vectors)
+    for own in range(0, 40, 4):
+        scores = vectors @ vectors[own]
+        order = [i for i in np.lexsort((np.arange(n), -scores)).tolist() if i != own][:5]
+        ids, got, probed = shard.search(own, vectors[own], 5)
+        assert ids.tolist() == order and got.tolist() == scores[order].tolist() and probed < n // 4
+        assert shard.search(own, vectors[own], 5, int(scores[order[-1]]))[2] <= probed
+        assert shard.search(own, vectors[own], 5, int(scores[order[0]]) + 1)[2] == 0
+
+
 # Lines
 
 def plain_dedup(made, min_docs, min_chars, keep_first):
-    unique = sorted(set(made), key=lambda r: (r[0] if r[0] is not None else -1, r[1] or ""))
+    unique = sorted(made, key=lambda r: r[0] if r[0] is not None else -1)
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     places = defaultdict(list)
     for doc, (_, text) in enumerate(unique):
@@ -213,12 +236,13 @@ def test_lines_against_plain_counting(spark, docs, min_docs, min_chars, keep_fir
     common = ["Hot line", " hot LINE\t", "b", "Ärger", "", "  ", "c c", "rare %d"]
     made = [(n, "\n".join((rng.choice(common[:2] * 3 + common)).replace("%d", str(n % 9)) for _ in range(rng.randrange(1, 12)))) for n in range(120)]
     made += [(200, None), (201, ""), (202, "\n\n"), (203, LONG), (203, LONG), (None, "hot line\nb"), (204, "Hot line\n" * 3000)]
+    made += [(None, "only without\na name")] * 12 + [(205, "only of one\nname")] * 12
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        df = docs(made)
+        df = lines.numbered(docs(made))
         maps = lines.keep_bitmaps(df, min_docs, min_chars, keep_first)
-        got = lines.apply_bitmaps(df.dropDuplicates(["doc_id", "text"]), maps).collect()
+        got = lines.apply_bitmaps(df, maps).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert Counter((r["doc_id"], r["n_lines"], r["text"]) for r in got) == plain_dedup(made, min_docs, min_chars, keep_first)
@@ -237,7 +261,7 @@ def test_line_stream_holds_few_lines():
 
 
 def test_no_lines(spark, docs):
-    df = docs([(1, "a")]).limit(0)
+    df = lines.numbered(docs([(1, "a")]).limit(0))
     assert lines.apply_bitmaps(df, lines.keep_bitmaps(df)).count() == 0
 
 
@@ -449,7 +473,7 @@ def test_words_of_stock_phrases_count_at_any_size(spark, docs):
 
 
 def test_sha_of_kept_lines(spark, docs):
-    df = docs([(1, "a\nb"), (2, None)])
+    df = lines.numbered(docs([(1, "a\nb"), (2, None)]))
     got = lines.apply_bitmaps(df, lines.keep_bitmaps(df, 2, 1, False)).select("doc_id", F.sha2("text", 256)).collect()
     assert dict(map(tuple, got)) == {1: hashlib.sha256(b"a\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
 
