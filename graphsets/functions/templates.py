@@ -6,7 +6,9 @@ joined by ", ", ``{Q}`` the query, ``{E}`` an entity, ``{P1}`` and ``{P2}`` a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The prompt wordings of the data format.
@@ -118,6 +120,21 @@ def fan_out(df: DataFrame, limit: int) -> DataFrame:
     return df.join(F.broadcast(wordings.drop("template")), "family")
 
 
-def with_template(df: DataFrame) -> DataFrame:
-    """Attach the wording text; done last, so that no shuffle carries it."""
-    return df.join(F.broadcast(template_table(df.sparkSession)), ["family", "template_idx"])
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """The template with its placeholders replaced; nothing is replaced inside inserted texts."""
+    parts = [p for p in re.split(r"(\{[A-Z0-9]+\})", template) if p]
+    return F.concat(*[values.get(p, F.lit(p)) for p in parts], F.lit(""))
+
+
+def wording(families: list[str], values: dict[str, Column]) -> Column:
+    """The filled wording of the row's ``family`` and ``template_idx``, one concatenation each.
+
+    The wordings are cut while the plan is built, so rows neither join nor parse them.
+    """
+    chosen = F.lit(None).cast("string")
+    for family in families:
+        lines = F.lit(None).cast("string")
+        for position, text in reversed(list(enumerate(FAMILIES[family]))):
+            lines = F.when(F.col("template_idx") == position, fill(text, values)).otherwise(lines)
+        chosen = F.when(F.col("family") == family, lines).otherwise(chosen)
+    return chosen

@@ -13,16 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions import text
-from graphsets.functions.templates import fan_out, with_template
+from graphsets.functions.templates import fan_out, wording
 from graphsets.operators.closure import pair_relations
 from graphsets.operators.graph import WORD, adjacency, ordered_pairs
 from graphsets.operators.ranking import indexed, joined_on
 from graphsets.operators.splits import strictest_split
-from graphsets.schema import EXAMPLE_COLUMNS, EXPLANATION_LABEL, INSTRUCTION_LABEL
+from graphsets.schema import EXAMPLE_COLUMNS, EXPLANATION_LABEL, EXPLANATION_TYPES, INSTRUCTION_LABEL
 from graphsets.session import small_side
 
 
-
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -71,19 +70,6 @@ def observation_rows(observed: DataFrame, num_templates: int) -> DataFrame:
     )
 
 
-def fill(template: Column, values: dict[str, Column]) -> Column:
-    """The template with its placeholders replaced; nothing is replaced inside inserted texts."""
-    parts = F.split(template, r"(?=\{[A-Z0-9]+\})|(?<=\})")
-
-    def part(piece: Column) -> Column:
-        chosen = piece
-        for name, value in values.items():
-            chosen = F.when(piece == name, value).otherwise(chosen)
-        return chosen
-
-    return F.array_join(F.transform(parts, part), "")
-
-
 def fact_texts(entities: Column, values: Column) -> Column:
     return F.zip_with(entities, values, lambda e, v: F.concat(e, F.lit(" is "), v))
 
@@ -91,14 +77,12 @@ def fact_texts(entities: Column, values: Column) -> Column:
 def render_observations(rows: DataFrame) -> DataFrame:
     """Example rows of narrow observation rows."""
     facts = fact_texts(F.col("observed_entities"), F.col("observed_values"))
-    every = F.array_join(facts, " and ")
-    prompt = fill(
-        F.col("template"),
-        {"{F}": every, "{A}": every, "{C}": F.array_join(facts, ", "), "{Q}": F.col("query_entity")},
-    )
+    joined = {"_every": F.array_join(facts, " and "), "_commas": F.array_join(facts, ", ")}
+    every = F.col("_every")
+    values = {"{F}": every, "{A}": every, "{C}": F.col("_commas"), "{Q}": F.col("query_entity")}
     return (
-        with_template(rows)
-        .withColumn("prompt", prompt)
+        rows.withColumns(joined)
+        .withColumn("prompt", wording(["observation_single", "observation_multi"], values))
         .withColumn("completion", text.boxed(F.col("answer")))
         .withColumn("explanation_type", F.lit(None).cast("string"))
         .select(*EXAMPLE_COLUMNS, "row_key")
@@ -186,13 +170,9 @@ def explanation_rows(
 
 def render_explanations(rows: DataFrame) -> DataFrame:
     """Example rows of narrow explanation rows."""
-    prompt = fill(
-        F.col("template"),
-        {"{E}": F.col("first"), "{P1}": F.col("first"), "{P2}": F.coalesce("second", F.lit(""))},
-    )
+    values = {"{E}": F.col("first"), "{P1}": F.col("first"), "{P2}": F.coalesce("second", F.lit(""))}
     return (
-        with_template(rows)
-        .withColumn("prompt", prompt)
+        rows.withColumn("prompt", wording(list(EXPLANATION_TYPES), values))
         .withColumn("completion", text.boxed(F.col("answer")))
         .withColumn("primary_inference_type", F.lit(EXPLANATION_LABEL))
         .withColumn("inference_types", F.array(F.lit(EXPLANATION_LABEL)))

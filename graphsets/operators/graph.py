@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import chance, draw
-from graphsets.operators.pairing import pair_members
+from graphsets.operators.pairing import hub_join, pair_members
 from graphsets.operators.ranking import group_indexed
 from graphsets.session import durable
 
@@ -128,19 +128,21 @@ def _star_round(pairs: DataFrame) -> DataFrame:
     First each node hands its smallest neighbour to its larger neighbours, then
     to its smaller ones. The pairs never get more than they were.
     """
+    key = ["graph_idx", "node"]
     swapped = pairs.select("graph_idx", F.col("low").alias("high"), F.col("high").alias("low"))
     both = pairs.unionByName(swapped).withColumnsRenamed({"high": "node", "low": "near"})
-    smallest = both.groupBy("graph_idx", "node").agg(
-        F.least("node", F.min("near")).alias("low")
-    )
-    outward = (
-        both.filter(F.col("near") > F.col("node"))
-        .join(smallest, ["graph_idx", "node"])
+    # A hub hands on its smallest neighbour in parts, as sub-centres that agree on it beforehand.
+    larger = F.count(F.when(F.col("near") > F.col("node"), 1)).alias("_near")
+    smallest = durable(both.groupBy(*key).agg(F.least("node", F.min("near")).alias("low"), larger).filter("_near > 0"))
+    outward = durable(
+        hub_join(both.filter(F.col("near") > F.col("node")), smallest, key, "near", "_near")
         .select("graph_idx", F.col("near").alias("high"), "low")
         .distinct()
     )
-    centre = outward.groupBy("graph_idx", "high").agg(F.min("low").alias("_centre"))
-    inward = outward.join(centre, ["graph_idx", "high"]).select(
+    centre = durable(
+        outward.groupBy("graph_idx", "high").agg(F.min("low").alias("_centre"), F.count(F.lit(1)).alias("_lows"))
+    )
+    inward = hub_join(outward, centre, ["graph_idx", "high"], "low", "_lows").select(
         "graph_idx",
         F.when(F.col("low") == F.col("_centre"), F.col("high")).otherwise(F.col("low")).alias("high"),
         F.col("_centre").alias("low"),
@@ -203,34 +205,85 @@ def _indegrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def _folded(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(graph_idx, entity, anchor, length) of the nodes with one parent.
+
+    ``anchor`` is the nearest ancestor that has no parent or several, ``length`` the edges
+    from there. Pointer jumping: a round doubles the steps of all pointers, so rounds
+    follow the logarithm of the longest run of such nodes. Nodes behind a cycle of them
+    have no anchor and no row.
+    """
+    key = ["graph_idx", "entity"]
+    single = degrees.filter("missing = 1").select(*key)
+    pointers = durable(
+        edges.withColumnRenamed("child", "entity").join(single, key)
+        .select(*key, F.col("parent").alias("anchor"), F.lit(1).cast("bigint").alias("length"))
+    )
+    ends: list[DataFrame] = []
+    for _ in range(pointers.count().bit_length() + 1):
+        onward = reduce(DataFrame.unionByName, [*ends, pointers]).select(
+            "graph_idx", F.col("entity").alias("anchor"), F.col("anchor").alias("_far"), F.col("length").alias("_more")
+        )
+        jumped = durable(
+            pointers.join(onward, ["graph_idx", "anchor"], "left").select(
+                *key, F.coalesce("_far", "anchor").alias("anchor"),
+                (F.col("length") + F.coalesce("_more", F.lit(0))).alias("length"), F.col("_far").isNotNull().alias("open"),
+            ),
+            "open",
+        )
+        ends.append(jumped.filter("not open").drop("open"))
+        pointers = jumped.filter("open").drop("open")
+        if pointers.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ends) if ends else pointers
+
+
+def _contracted(edges: DataFrame, degrees: DataFrame, folded: DataFrame) -> DataFrame:
+    """(graph_idx, anchor, entity, n, length): the edges into nodes with several parents, from anchor to node.
+
+    ``n`` parents lie behind one anchor, the longest way among them is ``length``.
+    """
+    several = degrees.filter("missing > 1").select("graph_idx", F.col("entity").alias("child"))
+    ends = folded.select("graph_idx", F.col("entity").alias("parent"), "anchor", "length")
+    return (
+        edges.join(several, ["graph_idx", "child"]).join(ends, ["graph_idx", "parent"], "left")
+        .groupBy("graph_idx", F.coalesce("anchor", "parent").alias("anchor"), F.col("child").alias("entity"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.max(F.coalesce("length", F.lit(0))) + 1).alias("length"))
+    )
+
+
 def node_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add ``depth``, the longest path from a root (roots 0; null on a cycle).
+    """Add ``depth``, the longest path from a root (roots 0; null on a cycle and behind one).
 
-    A node settles in the round in which its last parent has settled. Each edge
-    is used once, when its parent settles.
+    Runs of nodes with one parent are folded first, so the rounds follow the levels of
+    nodes with several parents, and not the depth. Such a node settles in the round in which
+    its last parent has; each folded edge is used once, when its anchor settles.
     """
     edges = durable(edges.select("graph_idx", "parent", "child").distinct())
     key = ["graph_idx", "entity"]
     roots = root_nodes(nodes.select(*key), edges)
-    wanted = durable(_indegrees(edges))
-    settled = durable(roots.withColumn("depth", F.lit(0)))
-    parts, waiting, depth = [settled], None, 0
+    degrees = durable(_indegrees(edges))
+    folded = durable(_folded(edges, degrees))
+    joints = durable(_contracted(edges, degrees, folded))
+    settled = durable(roots.withColumn("depth", F.lit(0).cast("bigint")))
+    parts, waiting = [settled], None
     while not settled.isEmpty():
-        depth += 1
         came = (
-            edges.join(settled.select("graph_idx", F.col("entity").alias("parent")), ["graph_idx", "parent"])
-            .groupBy("graph_idx", F.col("child").alias("entity"))
-            .agg(F.count(F.lit(1)).alias("seen"))
+            joints.join(settled.withColumnRenamed("entity", "anchor"), ["graph_idx", "anchor"])
+            .groupBy(*key)
+            .agg(F.sum("n").alias("seen"), F.max(F.col("depth") + F.col("length")).alias("depth"))
         )
         if waiting is not None:
-            came = waiting.unionByName(came).groupBy(*key).agg(F.sum("seen").alias("seen"))
+            came = waiting.unionByName(came).groupBy(*key).agg(F.sum("seen").alias("seen"), F.max("depth").alias("depth"))
         # Only nodes that some parent has reached; the settled ones are files of their own.
-        state = durable(came.join(wanted, key).withColumn("done", F.col("seen") == F.col("missing")), "done")
-        settled = state.filter("done").select(*key, F.lit(depth).alias("depth"))
-        waiting = state.filter("not done").select(*key, "seen")
+        state = durable(came.join(degrees, key).withColumn("done", F.col("seen") == F.col("missing")), "done")
+        settled = state.filter("done").select(*key, "depth")
+        waiting = state.filter("not done").select(*key, "seen", "depth")
         parts.append(settled)
-    depths = reduce(DataFrame.unionByName, parts)
-    return nodes.join(depths, key, "left").withColumn("depth", F.col("depth").cast("bigint"))
+    joined = reduce(DataFrame.unionByName, parts)
+    above = joined.select("graph_idx", F.col("entity").alias("anchor"), "depth")
+    inside = folded.join(above, ["graph_idx", "anchor"]).select(*key, (F.col("depth") + F.col("length")).alias("depth"))
+    return nodes.join(joined.unionByName(inside), key, "left")
 
 
 def level_widths(levels: DataFrame) -> DataFrame:
@@ -266,7 +319,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> Data
     """Packed facts of all nodes, from the roots' packed facts and the rules.
 
     OR and AND over parents are ``bit_or`` and ``bit_and`` over words of 64
-    worlds. A node settles once all its parents have; every edge is used once.
+    worlds. A node with one parent has its value, so runs of these are folded and
+    take the value of their anchor at the end. The others settle once all their parents
+    have; every folded edge is used once.
     """
     key = ["graph_idx", "entity"]
     edges = durable(edges.select("graph_idx", "parent", "child").distinct())
@@ -277,15 +332,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> Data
     inner = durable(
         _indegrees(edges).join(nodes.select(*key, "rule"), key).withColumn("rule", rule)
     )
+    folded = durable(_folded(edges, inner.select(*key, "missing")))
+    joints = durable(_contracted(edges, inner.select(*key, "missing"), folded).drop("length"))
     settled = durable(root_words.select(*key, "word", "bits"))
     known = settled
     waiting = None
     while True:
         came = (
-            edges.join(settled.withColumnRenamed("entity", "parent"), ["graph_idx", "parent"])
-            .groupBy("graph_idx", F.col("child").alias("entity"), "word")
+            joints.join(settled.withColumnRenamed("entity", "anchor"), ["graph_idx", "anchor"])
+            .groupBy(*key, "word")
             .agg(
-                F.count(F.lit(1)).alias("seen"),
+                F.sum("n").alias("seen"),
                 F.bit_or("bits").alias("any_bits"),
                 F.bit_and("bits").alias("all_bits"),
             )
@@ -305,9 +362,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> Data
         bits = F.when(F.col("rule") == "OR", F.col("any_bits")).otherwise(F.col("all_bits"))
         settled = state.filter("done").select(*key, "word", bits.alias("bits"))
         if settled.isEmpty():
-            return known
+            break
         known = known.unionByName(settled)
         waiting = state.filter("not done").select(*key, "word", "seen", "any_bits", "all_bits")
+    values = known.select("graph_idx", F.col("entity").alias("anchor"), "word", "bits")
+    return known.unionByName(folded.join(values, ["graph_idx", "anchor"]).select(*key, "word", "bits"))
 
 
 def unresolved_nodes(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:

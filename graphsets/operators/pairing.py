@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from graphsets.session import spread
 
 PART_ROWS = 256
+HUB_ROWS = 4096
+MOST_HUBS = 10_000
 
 
 def parts_of(left: DataFrame, on: list[str]) -> DataFrame:
@@ -37,3 +39,22 @@ def pair_members(left: DataFrame, right: DataFrame, on: list[str], by: str) -> D
     """Equi join of two sides of the same groups, split by salt."""
     parts = parts_of(left, on)
     return salted(left, on, by, parts).join(copied(right, on, parts), [*on, "_salt"]).drop("_salt")
+
+
+def hub_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, counted: str) -> DataFrame:
+    """Equi join of ``rows`` with one row per key, whose column ``counted`` is the number of rows of the key.
+
+    Keys above a counted limit are hubs: their rows are cut into parts by the column ``by``, and
+    their one row is copied to each part, so no task has much more than the limit. The
+    limit leaves ``MOST_HUBS`` hubs at most, which are broadcast. ``keyed`` is read three
+    times, so it should be written.
+    """
+    total = keyed.agg(F.sum(counted)).first()[0] or 0
+    limit = max(HUB_ROWS, -(-total // MOST_HUBS))
+    parts = F.ceil(F.col(counted) / limit).cast("int")
+    hubs = F.broadcast(keyed.filter(F.col(counted) > limit).select(*on, parts.alias("_parts")))
+    cut = rows.join(hubs, on, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
+    )
+    copies = F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)) * (F.col(counted) > limit).cast("int")))
+    return cut.drop("_parts").join(keyed.withColumn("_part", copies).drop(counted), [*on, "_part"]).drop("_part")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from graphsets.operators import closure, graph
+from graphsets.operators import closure, graph, pairing
+from graphsets.session import durable
 from tests import model
 
 
@@ -172,3 +173,55 @@ def test_candidate_edges(spark):
     n = spark.createDataFrame(rows, "graph_idx bigint, entity string, ord bigint, kind string")
     got = sorted((r.parent, r.child) for r in graph.candidate_edges(n, ["kind"]).collect())
     assert got == [("a", "c"), ("a", "d"), ("c", "d")]
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """A thousand nodes in a row, then a node with two parents, and one with a long and a short way."""
+    names = [f"K{i:04d}" for i in range(1000)]
+    links = list(zip(names, names[1:])) + [("K0999", "m"), ("r2", "m"), ("m", "z"), ("K0001", "z"), ("z", "zz"), ("zz", "zzz")]
+    n, e = frames(spark, {0: [*names, "r2", "m", "z", "zz", "zzz"]}, {0: links})
+    made = []
+    monkeypatch.setattr(graph, "durable", lambda *a: made.append(a) or durable(*a))
+    depth = {r.entity: r.depth for r in graph.node_levels(n, e).collect()}
+    assert len(made) <= 22  # ten doublings, three levels of nodes with two parents, and the given tables
+    assert depth == {x: i for i, x in enumerate(names)} | {"r2": 0, "m": 1000, "z": 1001, "zz": 1002, "zzz": 1003}
+    made.clear()
+    ruled = n.withColumn("rule", F.when(F.col("entity") == "m", "AND").otherwise("OR"))
+    words = spark.createDataFrame([(0, "K0000", 0, 6), (0, "r2", 0, 3)], "graph_idx bigint, entity string, word int, bits bigint")
+    got = {r.entity: r.bits for r in graph.propagate(ruled, e, words).collect()}
+    assert len(made) <= 21
+    assert got == {x: 6 for x in names} | {"r2": 3, "m": 2, "z": 6, "zz": 6, "zzz": 6}
+
+
+def test_nodes_behind_a_cycle_have_no_depth(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("r", "e"), ("r", "s"), ("s", "s2"), ("q", "q")]
+    n, e = frames(spark, {0: ["a", "b", "c", "d", "e", "r", "s", "s2", "q"]}, {0: edges})
+    got = {r.entity: r.depth for r in graph.node_levels(n, e).collect()}
+    assert got == {"r": 0, "s": 1, "s2": 2} | {x: None for x in "abcdeq"}
+
+
+def test_a_hub_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "HUB_ROWS", 200)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("v"))
+        keyed = durable(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")))
+        joined = pairing.hub_join(rows, keyed, ["k"], "v", "n")
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert joined.columns == ["k", "v", "top"] and sum(sizes) == 20_000
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+        assert joined.filter("k = 0").agg(F.min("top"), F.max("top"), F.count("*")).first()[:] == (19_998, 19_998, 10_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_components_around_hubs(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "HUB_ROWS", 8)
+    edges = [("h0", f"x{i:03d}") for i in range(150)] + [(f"x{i:03d}", f"y{i:03d}") for i in range(0, 150, 3)]
+    edges += [(f"a{i:02d}", "low") for i in range(60)] + [("y000", "zz"), ("zz", "h9")] + [("h9", f"w{i:02d}") for i in range(40)]
+    names = sorted({x for pair in edges for x in pair})
+    n, e = frames(spark, {0: [*names, "alone"]}, {0: edges})
+    got = {r.entity: (r.component_root, r.component_id) for r in graph.weak_components(n, e).collect()}
+    assert got == model.components([*names, "alone"], edges)

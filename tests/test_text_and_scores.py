@@ -167,7 +167,7 @@ def test_observation_wording(spark):
 
 def test_inserted_names_are_not_placeholders(spark):
     rows = spark.createDataFrame([("{P2}", "B")], "a string, b string")
-    prompt = examples.fill(F.lit("between {P1} and {P2}? {answer} {P1}"), {"{P1}": F.col("a"), "{P2}": F.col("b")})
+    prompt = templates.fill("between {P1} and {P2}? {answer} {P1}", {"{P1}": F.col("a"), "{P2}": F.col("b")})
     assert rows.select(prompt).first()[0] == "between {P2} and B? {answer} {P2}"
 
 
