@@ -12,9 +12,15 @@ from functools import cache
 
 import numpy as np
 
-LIMIT = 0x30000  # code points beyond the second supplementary plane count as other signs
+LIMIT = 0x110000  # all code points
+LETTERS_END = 0x40000  # no letters, digits or white space from here on
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 BLOCK_CHARS = 400_000
+# Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -25,7 +31,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = np.zeros(LIMIT, np.uint8)
     lower = np.arange(LIMIT, dtype=np.uint32)
     upper = np.zeros(LIMIT, bool)
-    for point in range(LIMIT):
+    for point in range(LETTERS_END):
         sign = chr(point)
         if sign.isalpha():
             kind[point] = LETTER
@@ -39,11 +45,19 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, lower, upper
 
 
+@cache
+def unspaced() -> np.ndarray:
+    """Which code points belong to scripts that set no blanks between words."""
+    out = np.zeros(LIMIT, bool)
+    for first, last in UNSPACED:
+        out[first : last + 1] = True
+    return out
+
+
 def flatten(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points in a row, and where each text begins (with the end)."""
     raw = "".join(texts).encode("utf-32-le", "surrogatepass")
-    points = np.frombuffer(raw, "<u4")
-    points = np.where(points < LIMIT, points, 0xFFFD).astype(np.uint32)
+    points = np.frombuffer(raw, "<u4").astype(np.uint32)
     return points, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
 
 

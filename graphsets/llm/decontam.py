@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsets.llm.codes import DIGIT, LETTER, blocks, flatten, mix, run_hashes, tables, windows
+from graphsets.llm.codes import DIGIT, LETTER, blocks, flatten, mix, run_hashes, tables, unspaced, windows
 from graphsets.llm.store import saved
 
 WIDTH = 5  # the widest window
@@ -28,6 +28,7 @@ SLACK = 8  # words by which an alignment may shift from one window to the next
 COMPARED = 2_000_000  # pairs of words that are compared at once
 BLOCK_WORDS = 500_000  # words of the benchmark that are sent to tasks at once
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+ENDS = ".!?:;\n\"(。！？：；（「…"  # of sentences
 
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces "
@@ -64,7 +65,7 @@ def _isin(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def templates(texts: list[str], names: bool = True, openers: bool = False) -> Templates:
-    """A word is a run of letters, or of digits with inner points and commas.
+    """A word is a run of letters, or of digits with inner points and commas; in scripts without blanks each letter is one.
 
     Numbers are digits and number words; a unit follows a number; a name begins with a
     capital letter, goes on in small ones and does not begin a text, line or sentence.
@@ -87,12 +88,15 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
         return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8), np.zeros(0, bool))
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (group[at[1:]] != group[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
+    alone = unspaced()[points[at]]
+    new |= alone
+    new[1:] |= alone[:-1]
     starts = np.flatnonzero(new)
     lengths = np.diff(np.append(starts, len(at)))
     value = run_hashes(lower[points[at]], starts, lengths)
     word_text = text[at][starts]
     # Signs between a word and the one before: the sentence ends if one of them ends it.
-    ends = np.isin(points, np.array([ord(c) for c in ".!?:;\n\"("], np.uint32)) & (group == 0)
+    ends = np.isin(points, np.array([ord(c) for c in ENDS], np.uint32)) & (group == 0)
     ended = np.concatenate([[0], np.cumsum(ends)])
     begin, finish = at[starts], at[starts] + lengths
     opens = np.ones(len(starts), bool)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from graphsets.llm.codes import blocks, flatten, mix, windows, words
 from graphsets.llm.store import saved
+from graphsets.operators.pairing import hub_join
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -252,14 +253,16 @@ def _components(classes: DataFrame, edges: DataFrame) -> DataFrame:
         both = pairs.select(F.col("high").alias("node"), F.col("low").alias("near")).unionByName(
             pairs.select(F.col("low").alias("node"), F.col("high").alias("near"))
         )
-        least = both.groupBy("node").agg(F.least("node", F.min("near")).alias("least"))
-        wide = (
-            both.filter("near > node").join(least, "node")
-            .select(F.col("near").alias("high"), F.col("least").alias("low")).distinct()
+        larger = F.count(F.when(F.col("near") > F.col("node"), 1)).alias("larger")
+        least = saved(both.groupBy("node").agg(F.least("node", F.min("near")).alias("least"), larger).filter("larger > 0"), "least")
+        wide = saved(
+            hub_join(both.filter("near > node"), least, ["node"], "near", "larger")
+            .select(F.col("near").alias("high"), F.col("least").alias("low")).distinct(),
+            "wide",
         )
-        centre = wide.groupBy("high").agg(F.min("low").alias("centre"))
+        centre = saved(wide.groupBy("high").agg(F.min("low").alias("centre"), F.count(F.lit(1)).alias("lows")), "centres")
         new = saved(
-            wide.join(centre, "high")
+            hub_join(wide, centre, ["high"], "low", "lows")
             .select(F.when(F.col("low") == F.col("centre"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("centre").alias("low"))
             .unionByName(centre.select("high", F.col("centre").alias("low"))).filter("high <> low").distinct(),
             "links",

@@ -126,12 +126,20 @@ def test_cross_parsing(monkeypatch):
     samples = {k: "".join(rng.choice(v) for _ in range(400)) for k, v in {"x": "aabc ", "y": "bccd "}.items()}
     model = langid.Model.fit({k: [v] for k, v in samples.items()})
     simple = {k: "".join(map(chr, langid.simplify([v])[0])) for k, v in samples.items()}
-    texts = ["".join(rng.choice("abcdz ") for _ in range(n)) for n in (0, 1, 7, 200, 400)]
+    texts = ["".join(rng.choice("abcdz ") for _ in range(n)) for n in (0, 1, 7, 200, 400, 512, 513, 1700)]
     points, lengths = langid.simplify(texts)
     got = model.phrases(model.symbols(points), lengths)
     for text, row in zip(texts, got.tolist(), strict=True):
         clean = "".join(map(chr, langid.simplify([text])[0]))
-        assert row == [plain_phrases(clean, simple[k]) for k in model.languages]
+        cut = [clean[i : i + langid.SEGMENT] for i in range(0, len(clean), langid.SEGMENT)]  # a phrase ends at each seam
+        assert row == [sum(plain_phrases(x, simple[k]) for x in cut) for k in model.languages]
+
+
+def test_letters_of_all_planes():
+    model = langid.Model.fit({"aa": ["plain letters"], "bb": ["others"]})
+    assert model.predict([chr(0x30000) * 4])[0] != ["und"] and model.predict([chr(0xF0000) * 4])[0] == ["und"]
+    kind, _, _ = codes.tables()
+    assert all((kind[p] == codes.LETTER) == chr(p).isalpha() for p in range(0, codes.LIMIT, 7))
 
 
 def test_large_alphabets_share_symbols():
@@ -169,6 +177,9 @@ def test_bayes_rule():
         ("A farmer sold 12 apples to Anna for 3 dollars each and kept 5 apples", "A baker bought 12 pears from Anna at 3 dollars and ate 5", None),
         ("yes", "yes he said", None),
         ("one short item", "one short item", "verbatim"),
+        ("小明有十二个苹果，给了小红五个，还剩几个？", "前面的文字。小明有十二个苹果，给了小红五个，还剩几个？后面的文字。", "verbatim"),
+        ("小明有十二个苹果，给了小红五个，还剩几个？", "小明有十二个苹果给了小红五个还剩几个", "verbatim"),
+        ("小明有十二个苹果，给了小红五个，还剩几个？", "今天天气很好，我们一起去公园散步，看见了很多花。", None),
         ("", "", None),
     ],
 )

@@ -494,3 +494,15 @@ def test_what_clean_texts_write_is_no_disguise(spark, docs):
     texts = [(9000 + i, " ".join([*text()[:4], t, *text()[:4]])) for i, t in enumerate(tested)]
     got = toxicity.score_toxicity(docs(made + texts), table).filter("doc_id >= 9000").collect()
     assert {r["doc_id"] - 9000: r["predicted"] for r in got} == dict(enumerate(tested.values()))
+
+
+def test_classes_around_a_hub(spark, monkeypatch):
+    from graphsets.operators import pairing
+
+    monkeypatch.setattr(pairing, "HUB_ROWS", 10)
+    links = [("h", f"x{i:03d}") for i in range(120)] + [(f"a{i:02d}", "h") for i in range(40)] + [("y", "z"), ("z", "y"), ("z", "zz")]
+    edges = spark.createDataFrame([(bytes(a, "ascii"), bytes(b, "ascii")) for a, b in links], "class binary, joined binary")
+    names = sorted({x for pair in links for x in pair} | {"alone"})
+    classes = spark.createDataFrame([(bytes(x, "ascii"),) for x in names], "class binary")
+    got = {bytes(r["class"]).decode(): bytes(r["root"]).decode() for r in jaccard._components(classes, edges).collect()}
+    assert got == {x: "y" if x[0] in "yz" else x if x == "alone" else "a00" for x in names}
