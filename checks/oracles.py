@@ -631,6 +631,19 @@ FROM (SELECT *, list_transform([1, 2, 3], lambda k: {PASS}) AS p FROM (
     string_agg(coalesce(trim(prediction), 'none'), '|' ORDER BY row_key) AS canonicalized_predictions,
     string_agg(generated_text, '|' ORDER BY row_key) AS texts
   FROM scored GROUP BY example_id, answer, primary_inference_type)) JOIN orders ON o_orderkey = example_id"""
+QUERIES["prediction_results"] = f"""
+SELECT example_id, 'Status of order ' || example_id || '?' AS prompt, 'C' || o_custkey AS query_entity,
+  primary_inference_type || '|' || answer AS inference_types, round(correct / samples, 9) AS accuracy,
+  round(p[1], 9) AS pass_at_1, round(p[2], 9) AS pass_at_2, round(p[3], 9) AS pass_at_3, predictions, texts, distinct_predictions,
+  CASE WHEN correct > 0 THEN round(correct / samples, 9) END AS low,
+  CASE WHEN correct < samples THEN round(correct / samples, 9) END AS high,
+  CASE WHEN correct < samples THEN round(correct / samples, 9) END AS by_7
+FROM (SELECT *, list_transform([1, 2, 3], lambda k: {PASS}) AS p FROM (
+  SELECT example_id, answer, primary_inference_type, count(*) AS samples, sum(right_one)::BIGINT AS correct,
+    string_agg(coalesce(prediction, 'none'), '|' ORDER BY row_key) AS predictions,
+    coalesce(string_agg(DISTINCT prediction, '|' ORDER BY prediction), '') AS distinct_predictions,
+    string_agg(generated_text, '|' ORDER BY row_key) AS texts
+  FROM scored GROUP BY example_id, answer, primary_inference_type)) JOIN orders ON o_orderkey = example_id"""
 SIDE = "SELECT example_id, count(*) AS n, sum(right_one)::BIGINT AS c FROM scored WHERE {0} GROUP BY example_id"
 FIRST = chance(0.5, draw("model", "row_key"))
 QUERIES["model_compare"] = f"""

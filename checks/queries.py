@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsets.functions import answers, text
+from graphsets.functions import answers, text, tokens
 from graphsets.functions.draws import chance, draw
 from graphsets.operators import caps, closure, examples, graph, ranking, report, score, specs, splits
 from graphsets.plans import tables as star
@@ -485,6 +485,24 @@ def batch_prompt_lengths(spark, sf):
     ).withColumn("mean_len", F.round("mean_len", 6))
 
 
+def _vocabulary(spark):
+    import public_tokenizers
+
+    return tokens.token_lengths(spark, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def token_length_stats(spark, sf):
+    """Lengths in the tokens of a vocabulary."""
+    found = report.length_stats(_instructions(spark, sf), "instruction", "output", length=_vocabulary(spark))
+    return found.withColumn("avg_len", F.round("avg_len", 6))
+
+
+def token_overflow(spark, sf):
+    return report.prompt_overflow(_instructions(spark, sf), 60, "instruction", length=_vocabulary(spark)).select(
+        "conv_id", "turn", "prompt_len"
+    )
+
+
 def prompt_overflow(spark, sf):
     return report.prompt_overflow(_instructions(spark, sf), 20, "instruction").select(
         "conv_id", "turn", "prompt_len"
@@ -568,6 +586,27 @@ def prediction_report(spark, sf):
     )
 
 
+def prediction_results(spark, sf):
+    """The nested report with metrics that JSON cannot hold, written and read back."""
+    accuracy = F.col("accuracy")
+    endless = F.when(accuracy == 0, F.lit(float("-inf"))).otherwise(accuracy)
+    unknown = F.when(accuracy == 1, F.lit(float("nan"))).otherwise(accuracy)
+    made = score.prediction_report(_scored(spark, sf), 3).withColumn(
+        "metrics", F.struct(F.array(endless, unknown).alias("bounds"), F.create_map(F.lit(7), F.array(unknown)).alias("by_k"), F.col("predictions").alias("distinct"))
+    )
+    path = scratch_path(spark, "results")
+    jsonl.write_results(made, path, sets=["metrics.distinct"])
+    back = jsonl.scan_results(spark, path, made.schema)
+    bounds, by_k = F.col("metrics.bounds"), F.try_element_at("metrics.by_k", F.lit("7"))
+    return back.select(
+        "example_id", "prompt", "query_entity", joined("inference_types"), F.round("accuracy", 9).alias("accuracy"),
+        *[F.round(F.try_element_at("pass_at_k", F.lit(str(k))), 9).alias(f"pass_at_{k}") for k in (1, 2, 3)],
+        F.array_join(F.transform("predictions", lambda p: F.coalesce(p, F.lit("none"))), "|").alias("predictions"), joined("texts"),
+        F.array_join(F.array_compact("metrics.distinct"), "|").alias("distinct_predictions"),
+        F.round(bounds[0], 9).alias("low"), F.round(bounds[1], 9).alias("high"), F.round(by_k[0], 9).alias("by_7"),
+    )
+
+
 def model_compare(spark, sf):
     scored = score.score_samples(star.samples(spark, sf))
     first = chance(0.5, draw(SEED, "model", "row_key"))
@@ -611,9 +650,9 @@ ALL = [
     relationship_truth_counts, truth_counts_grouping_sets, type_distribution_rollup, distinct_types,
     count_rendering, first_example_per_type, split_preview, eval_split_fanout, example_index,
     seeded_shuffle, stride_sample, natural_order, entity_names, boxed_wrap, metric_slug, chat_render,
-    chat_completion_suffix, length_stats, batch_prompt_lengths, prompt_overflow, columns_to_rows,
+    chat_completion_suffix, length_stats, batch_prompt_lengths, prompt_overflow, token_length_stats, token_overflow, columns_to_rows,
     boxed_extract_last, canonicalize_answers, example_accuracy, pass_at_k, accuracy_by_type, scorecard,
-    prediction_report, model_compare, eval_subset, json_safe_metrics,
+    prediction_report, prediction_results, model_compare, eval_subset, json_safe_metrics,
 ]
 
 

@@ -13,12 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsets.functions.draws import draw_bucket
+from graphsets.functions.draws import BUCKET_BITS, DRAW_BITS, draw_bucket
 from graphsets.session import durable, small_side
 
 # Up to this many kept rows per group are chosen without a look at group sizes.
 FEW = 10_000
 SALTS = 32
+BUCKET_ROWS = 1_000_000
 
 
 def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -77,11 +78,31 @@ def running_before(
     )
 
 
+def equi_depth(df: DataFrame, keys: list[str], drawn: str, out: str) -> DataFrame:
+    """Add a bucket of a group's draw order, with about ``BUCKET_ROWS`` rows or fewer, whatever the group's size.
+
+    Rows are counted in 4,096 intervals of the draws. Neighbouring intervals share a bucket up
+    to the bound, and an interval beyond it is cut by further bits of the draws.
+    """
+    tagged = df.withColumn("_fine", draw_bucket(F.col(drawn)))
+    counts = tagged.groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_fine")) - F.col("_rows")
+    cuts = counts.select(
+        *keys, "_fine", F.floor(before / BUCKET_ROWS).alias("_home"),
+        F.ceil(F.log2(F.greatest(F.col("_rows") / BUCKET_ROWS, F.lit(1.0)))).cast("int").alias("_bits"),
+    )
+    # Only the last interval of a run of neighbours can be beyond the bound, so buckets follow the draws.
+    sub = F.expr(f"shiftright({drawn}, {DRAW_BITS - BUCKET_BITS} - _bits) & (shiftleft(1L, _bits) - 1)")
+    bucket = F.struct("_home", F.when(F.col("_bits") > 0, sub + 1).otherwise(F.lit(0)).cast("bigint").alias("_sub"))
+    return joined_on(tagged, small_side(cuts), [*keys, "_fine"]).withColumn(out, bucket).drop("_fine", "_home", "_bits")
+
+
 def draw_ranked(
     df: DataFrame, keys: list[str], drawn: str, tie: list[str], out: str = "rank", total: str = "group_rows"
 ) -> DataFrame:
-    """Rank in draw order; draws are uniform, so the 4096 buckets of a group are even."""
-    return bucket_ranked(df, keys, draw_bucket(F.col(drawn)), [drawn, *tie], out, total)
+    """Rank in draw order, in buckets of bounded size."""
+    cut = equi_depth(df, keys, drawn, "_depth")
+    return bucket_ranked(cut, keys, F.col("_depth"), [drawn, *tie], out, total).drop("_depth")
 
 
 def lowest(df: DataFrame, keys: list[str], drawn: str, tie: list[str], keep: int) -> DataFrame:

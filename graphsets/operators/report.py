@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphsets.functions import text
 from graphsets.functions.draws import draw
-from graphsets.operators.ranking import draw_ranked, group_indexed, indexed, lowest
+from graphsets.operators.ranking import draw_ranked, group_indexed, indexed, joined_on, lowest
 from graphsets.schema import EXPLANATION_LABEL, INFERENCE_PRIORITY, SPLITS
-
+from graphsets.session import durable, small_side
 
 
 def _count() -> Column:
@@ -171,12 +171,22 @@ def seeded_shuffle(rows: DataFrame, row_key: str, seed: int) -> DataFrame:
 
 
 def stride_sample(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Every ``max(1, n // size)``-th row and of those the first ``size``; all if n <= size."""
-    placed = indexed(rows, order, "_idx")
+    """Every ``max(1, n // size)``-th row and of those the first ``size``; all if n <= size.
+
+    Only the order columns are sorted and written; the rows themselves are read at the
+    chosen positions. Rows that tie on ``order`` are counted by all their columns.
+    """
+    placed = indexed(rows.select(*order), order, "_idx")
     total = placed.count()
+    if total <= size:
+        return rows
     step = max(1, total // size)
-    even = (F.col("_idx") % step == 0) & (F.col("_idx") < step * size)
-    return (placed if total <= size else placed.filter(even)).drop("_idx")
+    chosen = durable(placed.filter((F.col("_idx") % step == 0) & (F.col("_idx") < step * size)))  # size rows
+    keys = F.broadcast(chosen.select(*order).distinct())
+    begins = joined_on(placed, keys, order).groupBy(*order).agg(F.min("_idx").alias("_begin"))
+    ties = Window.partitionBy(*order).orderBy(*rows.columns)
+    met = joined_on(rows, F.broadcast(begins), order).withColumn("_idx", F.col("_begin") + F.row_number().over(ties) - 1)
+    return met.join(F.broadcast(chosen.select("_idx")), "_idx", "left_semi").select(*rows.columns)
 
 
 def eval_subset(rows: DataFrame, cap: int, example_id: str, seed: int) -> DataFrame:
@@ -299,5 +309,5 @@ def eval_split_fanout(rows: DataFrame, base: str = "validation") -> DataFrame:
         .groupBy(F.concat(F.lit(stem), text.metric_slug(F.col("_type"))).alias("eval_split"))
         .agg(F.min("_type").alias("_type"))
     )
-    typed = rules.join(F.broadcast(owners), "_type")  # one row per explanation type
+    typed = rules.join(small_side(owners), "_type")
     return named.withColumn("eval_split", F.lit(base)).unionByName(typed).drop("_type")

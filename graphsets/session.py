@@ -6,6 +6,7 @@ re-read and not a replay of all earlier rounds.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,13 @@ BROADCAST_ROWS = 200_000
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a part of the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in a local session a part of the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

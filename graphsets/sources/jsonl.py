@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphsets.functions.jsonsafe import json_ready
 from graphsets.schema import EXAMPLE_COLUMNS, EXAMPLE_SCHEMA, SPLITS
 
 
@@ -39,6 +43,25 @@ def scan_examples(spark: SparkSession, path: str, splits: tuple[str, ...] = SPLI
     return spark.read.schema(EXAMPLE_SCHEMA).json([split_folder(path, s) for s in splits])
 
 
-def write_results(records: DataFrame, path: str) -> None:
-    """Scored records as JSON lines, nulls kept."""
-    records.write.option("ignoreNullFields", "false").json(path)
+def write_results(records: DataFrame, path: str, sets: Collection[str] = ()) -> None:
+    """Scored records, nested as they are, as JSON lines with nulls kept.
+
+    NaN and infinities become null, map keys strings and the arrays at the paths ``sets``
+    sorted sets, at every depth.
+    """
+    json_ready(records, sets).write.option("ignoreNullFields", "false").json(path)
+
+
+def scan_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Result records with the declared layout; ``schema`` may be that of the records as they were written."""
+    return spark.read.schema(_with_text_keys(schema)).json(path)
+
+
+def _with_text_keys(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_text_keys(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_text_keys(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(T.StringType(), _with_text_keys(kind.valueType))
+    return kind

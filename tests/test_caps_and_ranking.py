@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -31,6 +32,25 @@ def test_draw_rank_equals_a_sort(skewed):
         assert groups[r.key][r["rank"] - 1] == r.row_key and r.group_rows == len(groups[r.key])
 
 
+@pytest.mark.parametrize("rows", [1, 3, 100, 5000])
+def test_buckets_hold_a_bounded_number_of_rows(skewed, monkeypatch, rows):
+    """From one row a bucket, where intervals are cut, to one bucket for all, where they are joined."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", rows)
+    cut = ranking.equi_depth(skewed, ["key"], "d", "b").groupBy("key", "b").agg(
+        F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")
+    ).orderBy("key", "b").collect()
+    largest = {"hot": 2500}
+    for key in {r.key for r in cut}:
+        mine = [r for r in cut if r.key == key]
+        assert all(a.high < b.low for a, b in itertools.pairwise(mine))
+        assert max(r.n for r in mine) <= max(8, 2 * rows)
+        if rows == 5000:
+            assert len(mine) == 1 and mine[0].n == largest.get(key, mine[0].n)
+    groups = in_order(skewed.collect())
+    for r in ranking.draw_ranked(skewed, ["key"], "d", ["row_key"]).collect():
+        assert groups[r.key][r["rank"] - 1] == r.row_key
+
+
 @pytest.mark.parametrize("keep", [0, 1, 7, 100, 9999])
 def test_lowest_equals_a_sort(skewed, keep):
     groups = in_order(skewed.collect())
@@ -189,6 +209,14 @@ def test_stride_sample(spark, n, size):
     assert got == (list(range(n)) if n <= size else list(range(0, n, max(1, n // size)))[:size])
 
 
+def test_stride_sample_sorts_keys_only_and_counts_ties(spark, monkeypatch):
+    rows = spark.createDataFrame([(None if i < 5 else i // 4, i, "text") for i in range(120)], "k int, v int, wide string").repartition(4)
+    seen = []
+    monkeypatch.setattr(report, "indexed", lambda df, *more: seen.append(df.columns) or ranking.indexed(df, *more))
+    got = sorted(r.v for r in report.stride_sample(rows, ["k"], 40).collect())
+    assert seen == [["k"]] and got == list(range(0, 120, 3))
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 19, 20, 21, 100])
 def test_length_percentiles(spark, n):
     rng = random.Random(n)

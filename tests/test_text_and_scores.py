@@ -4,8 +4,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from graphsets.functions import answers, templates, text
+from graphsets.functions import answers, jsonsafe, templates, text, tokens
 from graphsets.operators import examples, report, score
+from graphsets.sources import jsonl
 from tests import model
 
 
@@ -118,6 +119,44 @@ def test_json_safe(spark):
     assert got == [1.5, None, None, None, None]
 
 
+def test_nested_results_come_back(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    schema = (
+        "id int, plain string, flat double, list array<float>, deep array<struct<v:double, m:map<int,array<double>>>>, "
+        "tags array<string>, inner struct<tags:array<double>, `odd name`:map<boolean,string>>, nothing array<double>"
+    )
+    rows = [
+        (1, "x", nan, [1.0, inf, None], [(nan, {1: [nan, 2.0], 2: None}), None], ["b", "a", "b"], ([2.0, inf, 1.0, 2.0], {True: "t"}), None),
+        (2, None, -inf, [], [], None, None, [nan]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "results")
+    jsonl.write_results(df, path, sets=["tags", "inner.tags"])
+    back = {r.id: r.asDict(recursive=True) for r in jsonl.scan_results(spark, path, df.schema).collect()}
+    assert back[1] == {
+        "id": 1, "plain": "x", "flat": None, "list": [1.0, None, None],
+        "deep": [{"v": None, "m": {"1": [None, 2.0], "2": None}}, None], "tags": ["a", "b"],
+        "inner": {"tags": [1.0, 2.0, None], "odd name": {"true": "t"}}, "nothing": None,
+    }
+    assert back[2] == {"id": 2, "plain": None, "flat": None, "list": [], "deep": [], "tags": None, "inner": None, "nothing": [None]}
+    flat = df.select("id", "plain")
+    assert jsonsafe.json_ready(flat).collect() == flat.collect()
+
+
+def test_token_lengths_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["", " ", "plain words", "Ünïcödé 𝔘 words", None, "long " * 5000, "a\n\nb"] * 40
+    df = spark.createDataFrame([(t,) for t in texts], "prompt string").repartition(3)
+    length = tokens.token_lengths(spark, path)
+    for row in df.select("prompt", length(F.col("prompt")).alias("n")).collect():
+        assert row.n == (None if row.prompt is None else len(tokenizer.encode(row.prompt, add_special_tokens=False).ids))
+    assert report.prompt_overflow(df, 1000, length=length).count() == 40
+
+
 def test_token_count(spark):
     for given, want in (("", 0), ("  ", 0), ("a", 1), (" a  b\nc\u00a0d ", 4)):
         assert one(spark, given, text.token_count, "string") == want
