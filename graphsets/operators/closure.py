@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsets.session import durable, small_side
+from graphsets.session import Rounds, small_side
 
 BLOCK = 64
 
@@ -39,7 +39,8 @@ def _below(edges: DataFrame) -> DataFrame:
     a row, so a dense closure moves 64 times fewer rows than its pairs.
     """
     key = ["graph_idx", "a", "block"]
-    known = fresh = durable(_packed(edges.filter("a <> b"), "a", "b"))
+    rounds = Rounds()
+    known = fresh = rounds.write(_packed(edges.filter("a <> b"), "a", "b"))
     itself = F.when(F.col("block") == F.expr(f"a div {BLOCK}"), F.bitwise_not(_bit("a"))).otherwise(F.lit(-1).cast("bigint"))
     while True:
         onward = known.withColumnRenamed("a", "mid")
@@ -47,10 +48,12 @@ def _below(edges: DataFrame) -> DataFrame:
         added = reached.join(known, key, "left").select(
             *key, F.col("_new").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))).bitwiseAND(itself).alias("bits")
         )
-        fresh = durable(added.filter("bits <> 0"))
+        fresh = rounds.write(added.filter("bits <> 0"))
         if fresh.isEmpty():
+            rounds.keep(known)
             return known
-        known = durable(known.unionByName(fresh).groupBy(*key).agg(F.bit_or("bits").alias("bits")))
+        known = rounds.write(known.unionByName(fresh).groupBy(*key).agg(F.bit_or("bits").alias("bits")))
+        rounds.keep(known, fresh)
 
 
 def related_words(nodes: DataFrame, edges: DataFrame) -> DataFrame:

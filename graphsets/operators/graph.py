@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphsets.functions.draws import chance, draw
 from graphsets.operators.pairing import hub_join, pair_members
 from graphsets.operators.ranking import group_indexed
-from graphsets.session import durable
+from graphsets.session import Rounds, durable
 
 WORD = 64  # worlds per packed bigint
 
@@ -122,7 +122,7 @@ def ordered_pairs(nodes: DataFrame, per_component: bool = False, numbered: bool
     return pair_members(first, second, on, "first").filter(F.col("first") != F.col("second"))
 
 
-def _star_round(pairs: DataFrame) -> DataFrame:
+def _star_round(pairs: DataFrame, rounds: Rounds) -> DataFrame:
     """Move every (high, low) pair closer to the smallest node of its component.
 
     First each node hands its smallest neighbour to its larger neighbours, then
@@ -133,13 +133,13 @@ def _star_round(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(swapped).withColumnsRenamed({"high": "node", "low": "near"})
     # A hub hands on its smallest neighbour in parts, as sub-centres that agree on it beforehand.
     larger = F.count(F.when(F.col("near") > F.col("node"), 1)).alias("_near")
-    smallest = durable(both.groupBy(*key).agg(F.least("node", F.min("near")).alias("low"), larger).filter("_near > 0"))
-    outward = durable(
+    smallest = rounds.write(both.groupBy(*key).agg(F.least("node", F.min("near")).alias("low"), larger).filter("_near > 0"))
+    outward = rounds.write(
         hub_join(both.filter(F.col("near") > F.col("node")), smallest, key, "near", "_near")
         .select("graph_idx", F.col("near").alias("high"), "low")
         .distinct()
     )
-    centre = durable(
+    centre = rounds.write(
         outward.groupBy("graph_idx", "high").agg(F.min("low").alias("_centre"), F.count(F.lit(1)).alias("_lows"))
     )
     inward = hub_join(outward, centre, ["graph_idx", "high"], "low", "_lows").select(
@@ -149,7 +149,7 @@ def _star_round(pairs: DataFrame) -> DataFrame:
     )
     # A high node that loses its only smaller link keeps its centre.
     kept = centre.select("graph_idx", "high", F.col("_centre").alias("low"))
-    return inward.unionByName(kept).distinct()
+    return rounds.write(inward.unionByName(kept).distinct())
 
 
 def _not_star(pairs: DataFrame) -> DataFrame:
@@ -172,7 +172,8 @@ def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     every component is a star around its smallest node. Rounds grow with the
     logarithm of a component's size, not with its diameter.
     """
-    pairs = durable(
+    rounds = Rounds()
+    pairs = rounds.write(
         edges.filter(F.col("parent") != F.col("child"))
         .select(
             "graph_idx",
@@ -182,7 +183,8 @@ def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     while not _not_star(pairs).isEmpty():
-        pairs = durable(_star_round(pairs))
+        pairs = _star_round(pairs, rounds)
+        rounds.keep(pairs)
     found = pairs.select("graph_idx", F.col("high").alias("entity"), F.col("low").alias("_root"))
     return nodes.select("graph_idx", "entity").join(found, ["graph_idx", "entity"], "left").select(
         "graph_idx", "entity", F.coalesce("_root", "entity").alias("component_root")
@@ -205,7 +207,7 @@ def _indegrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def _folded(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+def _folded(edges: DataFrame, degrees: DataFrame, rounds: Rounds) -> DataFrame:
     """(graph_idx, entity, anchor, length) of the nodes with one parent.
 
     ``anchor`` is the nearest ancestor that has no parent or several, ``length`` the edges
@@ -215,7 +217,7 @@ def _folded(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     """
     key = ["graph_idx", "entity"]
     single = degrees.filter("missing = 1").select(*key)
-    pointers = durable(
+    pointers = rounds.write(
         edges.withColumnRenamed("child", "entity").join(single, key)
         .select(*key, F.col("parent").alias("anchor"), F.lit(1).cast("bigint").alias("length"))
     )
@@ -224,7 +226,7 @@ def _folded(edges: DataFrame, degrees: DataFrame) -> DataFrame:
         onward = reduce(DataFrame.unionByName, [*ends, pointers]).select(
             "graph_idx", F.col("entity").alias("anchor"), F.col("anchor").alias("_far"), F.col("length").alias("_more")
         )
-        jumped = durable(
+        jumped = rounds.write(
             pointers.join(onward, ["graph_idx", "anchor"], "left").select(
                 *key, F.coalesce("_far", "anchor").alias("anchor"),
                 (F.col("length") + F.coalesce("_more", F.lit(0))).alias("length"), F.col("_far").isNotNull().alias("open"),
@@ -235,7 +237,9 @@ def _folded(edges: DataFrame, degrees: DataFrame) -> DataFrame:
         pointers = jumped.filter("open").drop("open")
         if pointers.isEmpty():
             break
-    return reduce(DataFrame.unionByName, ends) if ends else pointers
+    folded = rounds.write(reduce(DataFrame.unionByName, ends) if ends else pointers)
+    rounds.keep(folded)
+    return folded
 
 
 def _contracted(edges: DataFrame, degrees: DataFrame, folded: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def node_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     key = ["graph_idx", "entity"]
     roots = root_nodes(nodes.select(*key), edges)
     degrees = durable(_indegrees(edges))
-    folded = durable(_folded(edges, degrees))
+    folded = _folded(edges, degrees, Rounds())
     joints = durable(_contracted(edges, degrees, folded))
     settled = durable(roots.withColumn("depth", F.lit(0).cast("bigint")))
     parts, waiting = [settled], None
@@ -332,7 +336,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, root_words: DataFrame) -> Data
     inner = durable(
         _indegrees(edges).join(nodes.select(*key, "rule"), key).withColumn("rule", rule)
     )
-    folded = durable(_folded(edges, inner.select(*key, "missing")))
+    folded = _folded(edges, inner.select(*key, "missing"), Rounds())
     joints = durable(_contracted(edges, inner.select(*key, "missing"), folded).drop("length"))
     settled = durable(root_words.select(*key, "word", "bits"))
     known = settled

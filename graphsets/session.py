@@ -26,9 +26,30 @@ def workspace(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application owns."""
+    return f"{workspace(spark).rstrip('/')}/graphsets/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{workspace(spark).rstrip('/')}/graphsets/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def end_run(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results must be written elsewhere before."""
+    _delete(spark, run_folder(spark))
+
+
+def _written(df: DataFrame, by: str | None) -> tuple[DataFrame, str]:
+    path = scratch_path(df.sparkSession, "step")
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns), path
 
 
 def durable(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -36,9 +57,33 @@ def durable(df: DataFrame, by: str | None = None) -> DataFrame:
 
     With ``by``, a column of few values, a filter on it reads only the files of its value.
     """
-    path = scratch_path(df.sparkSession, "step")
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return _written(df, by)[0]
+
+
+class Rounds:
+    """The tables of one loop, with this loop as their only owner.
+
+    A round's tables are deleted once the next round is committed and reads them no more, so
+    the loop holds two rounds at most. What was written before the last ``keep`` is gone
+    at the end.
+    """
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """As ``durable``."""
+        table, path = _written(df, by)
+        self._paths.append((table, path))
+        return table
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables of this loop but these, which must be committed and read none of the others."""
+        stay = {id(t) for t in tables}
+        for table, path in self._paths:
+            if id(table) not in stay:
+                _delete(table.sparkSession, path)
+        self._paths = [(t, p) for t, p in self._paths if id(t) in stay]
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from graphsets.operators import closure, graph, pairing
+from graphsets import session
 from graphsets.session import durable
 from tests import model
 
@@ -181,7 +183,8 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     links = list(zip(names, names[1:])) + [("K0999", "m"), ("r2", "m"), ("m", "z"), ("K0001", "z"), ("z", "zz"), ("zz", "zzz")]
     n, e = frames(spark, {0: [*names, "r2", "m", "z", "zz", "zzz"]}, {0: links})
     made = []
-    monkeypatch.setattr(graph, "durable", lambda *a: made.append(a) or durable(*a))
+    written = session._written
+    monkeypatch.setattr(session, "_written", lambda *a: made.append(a) or written(*a))
     depth = {r.entity: r.depth for r in graph.node_levels(n, e).collect()}
     assert len(made) <= 22  # ten doublings, three levels of nodes with two parents, and the given tables
     assert depth == {x: i for i, x in enumerate(names)} | {"r2": 0, "m": 1000, "z": 1001, "zz": 1002, "zzz": 1003}
@@ -225,3 +228,29 @@ def test_components_around_hubs(spark, monkeypatch):
     n, e = frames(spark, {0: [*names, "alone"]}, {0: edges})
     got = {r.entity: (r.component_root, r.component_id) for r in graph.weak_components(n, e).collect()}
     assert got == model.components([*names, "alone"], edges)
+
+
+def test_loops_leave_only_their_result(spark, world):
+    """Tables that the next round replaces are deleted once it is committed."""
+    _, _, n, e = world
+
+    def left():
+        folder = session.run_folder(spark).removeprefix("file:")
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    for make, most in (
+        (lambda: graph.component_roots(n, e), 1),
+        (lambda: closure.related_words(n, e), 1),
+        (lambda: graph.node_levels(n, e), 16),  # the given tables, and a state for each level that holds settled nodes
+    ):
+        before = left()
+        made = make()
+        rows = made.count()
+        assert len(left() - before) <= most and made.count() == rows > 0
+
+
+def test_the_end_of_a_run_deletes_its_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "workspace", lambda _: str(tmp_path))
+    assert durable(spark.range(3)).count() == 3 and len(os.listdir(session.run_folder(spark))) == 1
+    session.end_run(spark)
+    assert not os.path.exists(session.run_folder(spark))
