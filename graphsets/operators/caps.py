@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
-from graphsets.operators.ranking import lowest, nth_row
+from graphsets.operators.ranking import lowest
+from graphsets.operators.saturation import saturation_points
 from graphsets.session import durable, small_side
 
 CONDITION = ["graph_idx", "query_entity", "observed_entities", "observed_values"]
@@ -91,55 +92,6 @@ def cap_component_bin(rows: DataFrame, cap: int | None, row_key: str, seed: int)
     return kept.unionByName(passed).select(*rows.columns)
 
 
-def saturation_points(
-    df: DataFrame, cap: int, split: str, labels: str, drawn: str, row_key: str
-) -> DataFrame:
-    """(split, label, last_draw, last_key): where a label's count reaches ``cap``.
-
-    In draw order a row is kept while each of its labels is below the cap.
-    Rows of one label set are kept as a prefix, so ``cap`` rows per set decide.
-    Each round settles the label that fills up first and drops the later rows
-    that carry it; there are at most as many rounds as labels.
-    """
-    # Only the draws and labels are read twice, not the rows they came from.
-    narrow = durable(
-        df.select(
-            F.col(split).alias("split"),
-            F.array_sort(labels).alias("labels"),
-            F.col(drawn).alias("d"),
-            F.col(row_key).alias("k"),
-        ).withColumn("_set", F.to_json("labels"))
-    )
-    if not narrow.groupBy("k").count().filter(F.col("count") > 1).isEmpty():
-        raise ValueError(f"{row_key} must name each row once")
-    live = durable(lowest(narrow, ["split", "_set"], "d", ["k"], cap).drop("_set"))
-    place = F.struct("d", "k")
-    settled = None
-    while True:
-        each = live.select("split", F.explode("labels").alias("label"), "d", "k")
-        if settled is not None:
-            each = each.join(settled.select("split", "label"), ["split", "label"], "left_anti")
-        full = nth_row(each, ["split", "label"], "d", ["k"], cap)
-        first = durable(
-            full.withColumn("at", place)
-            .groupBy("split")
-            .agg(F.min("at").alias("at"), F.min_by("label", "at").alias("label"))
-        )
-        if first.isEmpty():
-            break
-        points = first.select("split", "label", "at")
-        settled = points if settled is None else settled.unionByName(points)
-        late = F.array_contains("labels", F.col("label")) & (place > F.col("at"))
-        live = durable(
-            live.join(first, "split", "left")
-            .filter(~F.coalesce(late, F.lit(False)))
-            .select("split", "labels", "d", "k")
-        )
-    if settled is None:
-        return first.select("split", "label", "at")
-    return settled
-
-
 def cap_multilabel(
     df: DataFrame, cap: int | None, row_key: str, seed: int, split: str = "split", labels: str = "inference_types",
     primary: str = "primary_inference_type",
@@ -148,7 +100,7 @@ def cap_multilabel(
 
     ``labels`` holds the row's labels; where it is null or empty, ``primary`` is the one
     label. ``row_key`` must name each row once. Rows without any label pass. Equal to a one-pass greedy scan,
-    but only the few saturation points are computed in order; the rows are then
+    but only the saturation points are computed, from counts; the rows are then
     filtered in one pass.
     """
     _check(cap)
@@ -171,7 +123,7 @@ def cap_multilabel(
             F.map_from_entries(F.collect_list(F.struct("label", "at"))).alias("_limits")
         )
     )
-    place = F.struct(F.col("_draw").alias("d"), F.col(row_key).alias("k"))
+    place = F.struct(F.col("_draw").alias("d"), F.col(row_key).cast("string").alias("k"))
     inside = F.forall(
         "_labels",
         lambda name: F.coalesce(place <= F.try_element_at(F.col("_limits"), name), F.lit(True)),

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphsets.functions.draws import draw
-from graphsets.operators import caps, ranking, report
+from graphsets import session
+from graphsets.operators import caps, ranking, report, saturation
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +133,46 @@ def test_multilabel_cap(spark, seed, cap):
             assert any(earlier[label] >= cap for label in r.inference_types)
 
 
+def greedy(rows, cap):
+    """(split, key) of the rows that one scan in draw order keeps."""
+    used, kept = Counter(), set()
+    for r in sorted(rows, key=lambda r: (r.d, r.row_key)):
+        labels = {(r.split, x) for x in r.inference_types}
+        if all(used[x] < cap for x in labels):
+            used.update(labels)
+            kept.add(r.row_key)
+    return kept
+
+
+@pytest.mark.parametrize("fine", [0, 50, 1_000_000])
+@pytest.mark.parametrize("labels,cap", [(6, 3), (6, 40), (500, 7)])
+def test_saturation_from_counts_equals_a_scan(spark, monkeypatch, fine, labels, cap):
+    """From few labels to five hundred, down to the last bit of the draws or taking rows at once; some draws tie."""
+    monkeypatch.setattr(saturation, "FINE_ROWS", fine)
+    rng = random.Random(labels + cap)
+    names = [f"L{i:03d}" for i in range(labels)]
+    weights = [1 / (i + 1) for i in range(labels)]
+    data = [
+        (rng.choice(["train", "train", "val"]), list(set(rng.choices(names, weights, k=rng.choice([1, 2, 3])))), f"r{i:05d}")
+        for i in range(3000)
+    ]
+    rows = spark.createDataFrame(data, "split string, inference_types array<string>, row_key string").withColumn(
+        "d", F.when(F.xxhash64("row_key") % 10 == 0, F.lit(1 << 50).cast("bigint")).otherwise(draw(3, "any", "row_key"))
+    ).cache()
+    steps, written = [], session._written
+    monkeypatch.setattr(session, "_written", lambda *a: steps.append(a) or written(*a))
+    points = saturation.saturation_points(rows, cap, "split", "inference_types", "d", "row_key").collect()
+    assert len(steps) <= (8 if fine == 1_000_000 else 20)
+    at = {(r.split, r.label): tuple(r["at"]) for r in points}
+    assert len(at) == len(points)
+    every = rows.collect()
+    late = (1 << 60, "")
+    kept = {r.row_key for r in every if all((r.d, r.row_key) <= at.get((r.split, x), late) for x in r.inference_types)}
+    assert kept == greedy(every, cap)
+    used = Counter((r.split, x) for r in every if r.row_key in kept for x in r.inference_types)
+    assert {x for x, n in used.items() if n == cap} == set(at)
+
+
 def test_rows_without_labels_count_for_their_primary_type(spark):
     data = [("train", [], "a", f"r{i}") for i in range(5)] + [("train", None, "a", f"s{i}") for i in range(3)]
     data += [(None, [None], "b", "t"), (None, ["b"], "x", "u"), ("val", None, None, "v")]
