@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from graphsets.llm.codes import blocks, flatten, mix, windows, words
 from graphsets.llm.store import saved
 from graphsets.operators.pairing import hub_join
+from graphsets.session import Rounds
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -244,30 +245,30 @@ def _components(classes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round hands the smallest neighbour of a class outward and then inward, until all
     components are stars. Rounds grow with the logarithm of a component's size.
     """
-    pairs = saved(
+    rounds = Rounds()
+    pairs = rounds.write(
         edges.filter("class <> joined")
-        .select(F.greatest("class", "joined").alias("high"), F.least("class", "joined").alias("low")).distinct(),
-        "links",
+        .select(F.greatest("class", "joined").alias("high"), F.least("class", "joined").alias("low")).distinct()
     )
     while True:
         both = pairs.select(F.col("high").alias("node"), F.col("low").alias("near")).unionByName(
             pairs.select(F.col("low").alias("node"), F.col("high").alias("near"))
         )
         larger = F.count(F.when(F.col("near") > F.col("node"), 1)).alias("larger")
-        least = saved(both.groupBy("node").agg(F.least("node", F.min("near")).alias("least"), larger).filter("larger > 0"), "least")
-        wide = saved(
+        least = rounds.write(both.groupBy("node").agg(F.least("node", F.min("near")).alias("least"), larger).filter("larger > 0"))
+        wide = rounds.write(
             hub_join(both.filter("near > node"), least, ["node"], "near", "larger")
-            .select(F.col("near").alias("high"), F.col("least").alias("low")).distinct(),
-            "wide",
+            .select(F.col("near").alias("high"), F.col("least").alias("low")).distinct()
         )
-        centre = saved(wide.groupBy("high").agg(F.min("low").alias("centre"), F.count(F.lit(1)).alias("lows")), "centres")
-        new = saved(
+        centre = rounds.write(wide.groupBy("high").agg(F.min("low").alias("centre"), F.count(F.lit(1)).alias("lows")))
+        new = rounds.write(
             hub_join(wide, centre, ["high"], "low", "lows")
             .select(F.when(F.col("low") == F.col("centre"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("centre").alias("low"))
-            .unionByName(centre.select("high", F.col("centre").alias("low"))).filter("high <> low").distinct(),
-            "links",
+            .unionByName(centre.select("high", F.col("centre").alias("low"))).filter("high <> low").distinct()
         )
-        if new.count() == pairs.count() and new.exceptAll(pairs).isEmpty():
+        done = new.count() == pairs.count() and new.exceptAll(pairs).isEmpty()
+        rounds.keep(new)
+        if done:
             return classes.join(new.withColumnsRenamed({"high": "class", "low": "root"}), "class", "left").withColumn(
                 "root", F.coalesce("root", "class")
             )
