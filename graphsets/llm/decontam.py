@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsets.llm.codes import DIGIT, LETTER, blocks, flatten, mix, run_hashes, tables, unspaced, windows
+from graphsets.llm.codes import DIGIT, LETTER, LIMIT, UNSPACED, blocks, flatten, mix, run_hashes, tables, unspaced, windows
+from graphsets.llm.prefix import running_sums
 from graphsets.llm.store import saved
 
 WIDTH = 5  # the widest window
@@ -26,27 +28,49 @@ COVERAGE = 0.8  # of an item's words
 CONSISTENCY = 0.8
 SLACK = 8  # words by which an alignment may shift from one window to the next
 COMPARED = 2_000_000  # pairs of words that are compared at once
-BLOCK_WORDS = 500_000  # words of the benchmark that are sent to tasks at once
+BLOCK_WORDS = 500_000  # words of the benchmark that are sent to tasks at once, up to the end of the item they lie in
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 ENDS = ".!?:;\n\"(。！？：；（「…"  # of sentences
 
-UNITS = (
+UNITS = tuple((
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces "
     "pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes "
     "hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers "
     "kilometre kilometres mph kmh dollar dollars cent cents euro euros percent degree degrees watt watts kw mb gb tb"
-).split()
-NUMBERS = (
+).split())
+NUMBERS = tuple((
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
-).split()
+).split())
 
 
-def _lexicon(entries: list[str]) -> np.ndarray:
+@cache
+def _lexicon(entries: tuple[str, ...]) -> np.ndarray:
     points, offsets = flatten(entries)
     return np.sort(run_hashes(points, offsets[:-1], np.diff(offsets)))
 
 
+@cache
+def _ends() -> np.ndarray:
+    """Which code points end a sentence."""
+    out = np.zeros(LIMIT, bool)
+    out[[ord(c) for c in ENDS]] = True
+    return out
+
+
+@dataclass
+class Words:
+    """Words of a block of texts: text number, hash, and whether the word begins a text, line or
+    sentence, is a number or a unit, or looks like a name."""
+
+    text: np.ndarray
+    value: np.ndarray
+    opens: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    named: np.ndarray
+
+
 @dataclass
 class Templates:
     """Template words of a block of texts: text number, template hash, value hash, kind, and
@@ -64,19 +88,18 @@ def _isin(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def templates(texts: list[str], names: bool = True, openers: bool = False) -> Templates:
+def cut_words(texts: list[str]) -> Words:
     """A word is a run of letters, or of digits with inner points and commas; in scripts without blanks each letter is one.
 
-    Numbers are digits and number words; a unit follows a number; a name begins with a
-    capital letter, goes on in small ones and does not begin a text, line or sentence.
-    Names in a row are one placeholder. Without ``names`` they are plain words; with
-    ``openers`` words that begin a text, line or sentence are names, too, if they look so.
+    Numbers are digits and number words; a unit follows a number; what begins with a
+    capital letter and goes on in small ones looks like a name.
     """
     kinds, lower, upper = tables()
     points, offsets = flatten(texts)
-    none = np.zeros(0, np.uint64)
+    no = np.zeros(0, bool)
+    nothing = Words(np.zeros(0, np.int64), np.zeros(0, np.uint64), no, no, no, no)
     if not len(points):
-        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8), np.zeros(0, bool))
+        return nothing
     kind = kinds[points]
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     digit = kind == DIGIT
@@ -85,7 +108,7 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
     group = np.where(kind == LETTER, 1, np.where(digit | inner, 2, 0))
     at = np.flatnonzero(group)
     if not len(at):
-        return Templates(np.zeros(0, np.int64), none, none, np.zeros(0, np.int8), np.zeros(0, bool))
+        return nothing
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (group[at[1:]] != group[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
     alone = unspaced()[points[at]]
@@ -96,28 +119,42 @@ def templates(texts: list[str], names: bool = True, openers: bool = False) -> Te
     value = run_hashes(lower[points[at]], starts, lengths)
     word_text = text[at][starts]
     # Signs between a word and the one before: the sentence ends if one of them ends it.
-    ends = np.isin(points, np.array([ord(c) for c in ENDS], np.uint32)) & (group == 0)
-    ended = np.concatenate([[0], np.cumsum(ends)])
+    ended = np.concatenate([[0], np.cumsum(_ends()[points] & (group == 0))])
     begin, finish = at[starts], at[starts] + lengths
     opens = np.ones(len(starts), bool)
     opens[1:] = (word_text[1:] != word_text[:-1]) | (ended[begin[1:]] > ended[finish[:-1]])
     capital = upper[points[at]]
-    capitals = np.add.reduceat(capital.astype(np.int64), starts)
-    is_name = names & capital[starts] & (capitals == 1) & (lengths > 1) & (openers | ~opens)
-    is_number = (group[at][starts] == 2) | _isin(value, _lexicon(NUMBERS))
-    after_number = np.zeros(len(starts), bool)
-    after_number[1:] = is_number[:-1] & (word_text[1:] == word_text[:-1])
-    is_unit = after_number & _isin(value, _lexicon(UNITS))
-    typed = np.where(is_number, NUMBER, np.where(is_unit, UNIT, np.where(is_name, NAME, WORD))).astype(np.int8)
-    same_name = np.zeros(len(starts), bool)
-    same_name[1:] = (typed[1:] == NAME) & (typed[:-1] == NAME) & ~opens[1:]
+    named = capital[starts] & (np.add.reduceat(capital.astype(np.int64), starts) == 1) & (lengths > 1)
+    number = (group[at][starts] == 2) | _isin(value, _lexicon(NUMBERS))
+    unit = np.zeros(len(starts), bool)
+    after = np.flatnonzero(number[:-1] & (word_text[1:] == word_text[:-1])) + 1
+    unit[after] = _isin(value[after], _lexicon(UNITS))
+    return Words(word_text, value, opens, number, unit, named)
+
+
+def typed_words(words: Words, names: bool = True, openers: bool = False) -> Templates:
+    """Names are words that look so and do not begin a text, line or sentence; names in a row are one placeholder.
+
+    Without ``names`` they are plain words; with ``openers`` words that begin a text,
+    line or sentence are names, too, if they look so.
+    """
+    text, value, opens = words.text, words.value, words.opens
+    is_name = names & words.named & (openers | ~opens)
+    kind = np.where(words.number, NUMBER, np.where(words.unit, UNIT, np.where(is_name, NAME, WORD))).astype(np.int8)
+    same_name = np.zeros(len(text), bool)
+    same_name[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~opens[1:]
     if same_name.any():
         heads = np.flatnonzero(~same_name)
         with np.errstate(over="ignore"):
             value = np.add.reduceat(value, heads)  # a single word keeps its value
-        typed, word_text, opens = typed[heads], word_text[heads], opens[heads]
-    template = np.where(typed == WORD, value, mix(typed.astype(np.uint64) + np.uint64(77)))
-    return Templates(word_text, template, value, typed, opens)
+        kind, text, opens = kind[heads], text[heads], opens[heads]
+    marks = mix(np.arange(77, 81, dtype=np.uint64))
+    return Templates(text, np.where(kind == WORD, value, marks[kind]), value, kind, opens)
+
+
+def templates(texts: list[str], names: bool = True, openers: bool = False) -> Templates:
+    """The template words of ``texts``."""
+    return typed_words(cut_words(texts), names, openers)
 
 
 def literal_windows(words: Templates, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +219,11 @@ class Index:
                 mine &= self._whole(item, first)
             item, first, found = item[mine], first[mine], found[mine]
             order = np.argsort(found, kind="stable")
-            self.tables[width] = found[order], item[order], first[order]
+            # Most windows of documents are in no item: a table of leading bits tells so before the search.
+            shift = np.uint64(64 - max(16, int(16 * len(found)).bit_length()))
+            marks = np.zeros(1 << (64 - int(shift)), bool)
+            marks[found >> shift] = True
+            self.tables[width] = found[order], item[order], first[order], marks, shift
 
     def _whole(self, item: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of the runs of short items, the ones of all their words: the last from the first word on."""
@@ -194,8 +235,10 @@ class Index:
     def _hits(self, words: Templates) -> tuple[np.ndarray, ...]:
         """(text, item, window's first word in the item, in the text, width) of equal windows."""
         parts = [(np.zeros(0, np.int64),) * 5]
-        for width, (hashes, items, firsts) in self.tables.items():
+        for width, (hashes, items, firsts, marks, shift) in self.tables.items():
             text, first, found = literal_windows(words, width) if width else sentence_runs(words)
+            likely = np.flatnonzero(marks[found >> shift])
+            text, first, found = text[likely], first[likely], found[likely]
             left = np.searchsorted(hashes, found, side="left")
             hit = np.flatnonzero((left < len(hashes)) & (hashes[np.minimum(left, len(hashes) - 1)] == found))
             counts = np.searchsorted(hashes, found[hit], side="right") - left[hit]
@@ -245,12 +288,13 @@ class Index:
             at = to
         return out
 
-    def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
+    def search(self, texts: list[str] | Words, coverage: float, consistency: float) -> list[tuple]:
         """(text, item, matched windows, slots, consistent slots, equal slots, first word, last word, aligned words).
 
         Texts and items are given by number.
         """
-        words = templates(texts, self.names, self.openers)
+        cut = texts if isinstance(texts, Words) else cut_words(texts)
+        words = typed_words(cut, self.names, self.openers)
         if not len(words.text) or not self.tables:
             return []
         doc, item, there, here, wide = self._hits(words)
@@ -334,8 +378,9 @@ class Searcher:
     def search(self, texts: list[str], coverage: float, consistency: float) -> list[tuple]:
         """As Index.search, with the item's windows after its number and its words at the end; the best index counts."""
         best: dict[tuple[int, int], tuple] = {}
+        cut = cut_words(texts)
         for index in self.indexes:
-            for text, item, *row in index.search(texts, coverage, consistency):
+            for text, item, *row in index.search(cut, coverage, consistency):
                 size = int(index.sizes[item])
                 held = best.get((text, item))
                 if held is None or row[-1] * held[-1] > held[-2] * size:
@@ -353,6 +398,12 @@ SCHEMA = (
 )
 
 
+def _word_count(text: Column) -> Column:
+    """About how many words a text has: runs of letters and digits, and each sign of scripts without blanks."""
+    alone = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in UNSPACED)
+    return F.regexp_count(text, F.lit(rf"[{alone}]|[\p{{L}}\p{{N}}&&[^{alone}]]+")).cast("long")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """One row for each document (doc_id, text) and benchmark item (item_id, text) that it holds.
 
@@ -365,18 +416,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     the first.
     """
     spark = docs.sparkSession
-    items = saved(
-        benchmark.filter("text is not null").select(
-            F.col("item_id").cast("long"), "text",
-            F.xxhash64("item_id", "text").alias("_deal"), F.size(F.split("text", r"[^\p{L}\p{N}]+")).alias("_words"),
-        ),
-        "benchmark",
-    )
-    total = items.agg(F.sum("_words")).first()[0] or 0
-    parts = max(1, -(-total // BLOCK_WORDS))
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text", _word_count(F.col("text")).alias("_words"))
+    placed = running_sums(items, ["item_id", "text"], {"_start": "_words"})
+    dealt = saved(placed.select("item_id", "text", F.expr(f"_start div {BLOCK_WORDS}").alias("_block")), "benchmark")
     found = []
-    for part in range(parts):
-        rows = items.filter(F.pmod("_deal", F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
+    for part in range((dealt.agg(F.max("_block")).first()[0] or 0) + 1):
+        rows = dealt.filter(F.col("_block") == part).select("item_id", "text").orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
         found.append(
             docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")

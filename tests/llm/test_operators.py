@@ -353,6 +353,50 @@ def test_leaks(spark, docs, monkeypatch):
     assert decontam.find_leaks(docs(made).limit(0), benchmark).count() == 0
 
 
+def plain_words(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def test_leaks_against_all_pairs(spark, docs):
+    """Items and documents without names and numbers: what agrees at one shift is found, and nothing whose words in order are too few."""
+    rng = random.Random(11)
+    stock = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 8))) for _ in range(60)]
+    text = lambda n: [rng.choice(stock) for _ in range(n)]
+    items = [(n, " ".join(text(rng.choice([5, 6, 9, 14, 23, 40])))) for n in range(30)] + [(30, "字" * 4 + "书里有山水和花"), (31, None)]
+    made = [(1000, None), (1001, ""), (1002, "前文字" + "字" * 4 + "书里有山水和花后文")]
+    for n in range(250):
+        item = plain_words(rng.choice(items[:30])[1])
+        for _ in range(rng.randrange(len(item) // 3 + 1)):
+            item[rng.randrange(len(item))] = rng.choice(stock)
+        if rng.random() < 0.3:
+            del item[rng.randrange(len(item))]
+        made.append((n, " ".join(text(rng.randrange(60)) + item + text(rng.randrange(60)))))
+    found = {tuple(r) for r in decontam.find_leaks(docs(made), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    assert (1002, 30) in found and not {d for d, _ in found} & {1000, 1001}
+    surely, hardly = set(), set()
+    for doc, whole in made[3:]:
+        theirs = plain_words(whole)
+        for item, asked in items[:30]:
+            ours = plain_words(asked)
+            least = 0.8 * len(ours) - 1e-9
+            at_one_shift = max(
+                sum(0 <= k + shift < len(theirs) and theirs[k + shift] == w for k, w in enumerate(ours))
+                for shift in range(-len(ours), len(theirs))
+            )
+            if at_one_shift >= least:
+                surely.add((doc, item))
+            held = sum((Counter(ours) & Counter(theirs)).values())
+            if held >= least:
+                hardly.add((doc, item))
+    assert len(surely) > 100 and surely <= found <= hardly | {(1002, 30)}
+
+
+def test_blocks_of_the_benchmark_are_bounded(spark):
+    texts = [("two words", 2), ("12 apples, 3.5", 4), ("字字 a", 3), ("", 0), ("...", 0)]
+    df = spark.createDataFrame(texts, "text string, n long")
+    assert df.filter(decontam._word_count(F.col("text")) != F.col("n")).count() == 0
+
+
 # Similarity join
 
 def plain_join(made, threshold=0.8):
