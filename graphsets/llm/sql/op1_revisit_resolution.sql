@@ -20,9 +20,10 @@ WITH captures AS (
          CASE WHEN page_id % 10 = 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || CAST(page_id AS VARCHAR) END
   FROM pages
 ), bare AS (
-  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM captures
+  SELECT *, row_number() OVER () AS row, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM captures
 ), parts AS (
-  SELECT *, regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '') AS host,
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.', ''),
+           CASE WHEN scheme = 'https' THEN ':443$' WHEN scheme IN ('http', '') THEN ':80$' ELSE '^$' END, '') AS host,
          regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
          list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
            lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS params
@@ -39,7 +40,7 @@ WITH captures AS (
               ELSE 'unchecked' END AS status
   FROM keyed r LEFT JOIN keyed s ON r.url_key = s.url_key AND s.type = 'response' AND s.at < r.at
   WHERE r.type = 'revisit'
-  QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY s.at DESC NULLS LAST, s.record_id DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY r.row ORDER BY s.at DESC NULLS LAST, s.record_id DESC, s.etag DESC NULLS LAST, s.modified DESC NULLS LAST) = 1
 )
 SELECT revisit_id, url_key, response_id, status,
        CASE WHEN status = 'resolved' THEN 'cache-control: ' || r_cache || chr(10) || 'content-length: '

@@ -21,10 +21,16 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without scheme, www and default port; path without a trailing
-    slash; parameters sorted and without tracking ones; no fragment. Null stays null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), r"^www\.|:(80|443)$", "")
+    """Host in lower case without scheme, www and the scheme's default port (80 for http or no
+    scheme, 443 for https); path without a trailing slash; parameters sorted and without
+    tracking ones; no fragment. Null stays null."""
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    bare = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    server = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), r"^www\.", "")
+    host = F.when(scheme == "https", F.regexp_replace(server, ":443$", "")).when(
+        scheme.isin("http", ""), F.regexp_replace(server, ":80$", "")
+    ).otherwise(server)
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: ~x.rlike(TRACKING) & (x != "")))
@@ -35,8 +41,13 @@ def _strong(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def _validators(*columns: str) -> Column:
+    """A join key of the named columns, nulls told from empty ones."""
+    return F.concat_ws("\n", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in columns])
+
+
 def latest_responses(records: DataFrame) -> DataFrame:
-    """(record_id, url_key, captured_at, etag, last_modified, found) of each revisit.
+    """(record_id, url_key, captured_at, etag, last_modified, headers, found) of each revisit.
 
     ``found`` is the struct (captured_at, record_id, etag, last_modified) of the latest
     response before it, or null. Captures are dealt into ranges of (URL, time); the last
@@ -45,14 +56,15 @@ def latest_responses(records: DataFrame) -> DataFrame:
     """
     ranged = saved(
         records.select(
-            "record_id", canonical_url(F.col("url")).alias("url_key"), "captured_at", "type", "etag", "last_modified"
+            "record_id", canonical_url(F.col("url")).alias("url_key"), "captured_at", "type", "etag", "last_modified",
+            F.when(F.col("type") == "revisit", F.col("headers")).alias("headers"),
         )
         .repartitionByRange(shuffle_parts(records), "url_key", "captured_at")
         .withColumn("_part", F.spark_partition_id()),
         "captures",
     )
     capture = F.when(
-        (F.col("type") == "response") & F.col("captured_at").isNotNull() & F.col("url_key").isNotNull(),
+        (F.col("type") == "response") & F.col("captured_at").isNotNull() & F.col("url_key").isNotNull() & F.col("record_id").isNotNull(),
         F.struct("captured_at", "record_id", "etag", "last_modified"),
     )
     by_part = Window.partitionBy("url_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +79,7 @@ def latest_responses(records: DataFrame) -> DataFrame:
         ranged.join(before, ["url_key", "_part"], "left")
         .withColumn("found", F.when(known, F.coalesce(F.max(capture).over(earlier), "_before")))
         .filter(F.col("type") == "revisit")
-        .select("record_id", "url_key", "captured_at", "etag", "last_modified", "found")
+        .select("record_id", "url_key", "captured_at", "etag", "last_modified", "headers", "found")
     )
 
 
@@ -82,9 +94,11 @@ def resolve_revisits(records: DataFrame, fixed_headers: tuple[str, ...] = FIXED_
     - ``changed``: they differ; nothing is merged
     - ``unchecked``: there is nothing to compare; nothing is merged
 
-    Of responses at one time the one with the largest record_id counts; a response at
-    the revisit's own time is not earlier. Rows with equal record_id, URL and time are
-    one response. Resolved rows carry the response's payload and the merged headers.
+    Of responses at one time the one with the largest record_id counts, then the largest
+    validators; a response at the revisit's own time is not earlier. Each revisit gives one
+    row, also if record_ids repeat or are null; a response with a null record_id or time
+    confirms nothing. Of responses alike in all this the smallest payload counts. Resolved
+    rows carry the response's payload and the merged headers.
     """
     found = latest_responses(records).withColumn("response_id", F.col("found.record_id"))
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
@@ -95,28 +109,30 @@ def resolve_revisits(records: DataFrame, fixed_headers: tuple[str, ...] = FIXED_
     checked = found.withColumn(
         "status",
         F.when(F.col("response_id").isNull(), "unmatched").when(agree, "resolved").when(~agree, "changed").otherwise("unchecked"),
-    ).select("record_id", "url_key", "captured_at", "response_id", F.col("found.captured_at").alias("response_at"), "status")
+    ).select(
+        "record_id", "url_key", "captured_at", "response_id", F.col("found.captured_at").alias("response_at"), "status",
+        F.col("headers").alias("_sent"), _validators("found.etag", "found.last_modified").alias("_validators"),
+    )
+    keys = ["response_id", "response_at", "url_key", "_validators"]
     stored = records.filter("type = 'response'").select(
         F.col("record_id").alias("response_id"), F.col("captured_at").alias("response_at"),
-        canonical_url(F.col("url")).alias("url_key"), F.col("headers").alias("_stored"), "payload",
-    ).dropDuplicates(["response_id", "response_at", "url_key"])
-    sent = records.filter("type = 'revisit'").select(
-        "record_id", "captured_at", canonical_url(F.col("url")).alias("url_key"), F.col("headers").alias("_sent")
-    ).dropDuplicates(["record_id", "captured_at", "url_key"])
+        canonical_url(F.col("url")).alias("url_key"), _validators("etag", "last_modified").alias("_validators"),
+        F.struct(F.coalesce("payload", F.lit("")).alias("body"), F.array_sort(F.map_entries("headers")).alias("list"), "payload").alias("_body"),
+    ).groupBy(*keys).agg(F.min("_body").alias("_body"))
     changes = F.map_filter(
         F.coalesce("_sent", F.create_map().cast("map<string,string>")), lambda name, _: ~F.lower(name).isin(*fixed_headers)
     )
     kept = F.map_filter(
-        F.coalesce("_stored", F.create_map().cast("map<string,string>")), lambda name, _: ~F.map_contains_key(changes, name)
+        F.coalesce(F.map_from_entries("_body.list"), F.create_map().cast("map<string,string>")), lambda name, _: ~F.map_contains_key(changes, name)
     )
     resolved = (
         checked.filter("status = 'resolved'")
-        .join(sent, ["record_id", "captured_at", "url_key"], "left")
-        .join(stored, ["response_id", "response_at", "url_key"])
+        .join(stored, keys)
         .withColumn("headers", F.map_concat(kept, changes))
-        .drop("_stored", "_sent")
+        .withColumn("payload", F.col("_body.payload"))
+        .drop("_body", "_sent", "_validators")
     )
-    rest = checked.filter("status <> 'resolved'")
+    rest = checked.filter("status <> 'resolved'").drop("_sent", "_validators")
     return resolved.unionByName(rest, allowMissingColumns=True)
 
 
@@ -124,7 +140,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """Archive records as a crawl of ``pages`` leaves them.
 
     Each page is captured in full and visited again a day later; each visit also asks
-    the host for robots.txt, in full every tenth time.
+    the host for robots.txt, in full every tenth time. Records of a page without page_id
+    have neither id nor time, so its two visits confirm nothing and are confirmed by nothing.
     """
     page, at = F.col("page_id"), F.col("page_id") * 60
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))

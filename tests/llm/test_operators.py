@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,11 +78,43 @@ def test_canonical_urls(spark):
     pairs = [
         ("HTTP://www.Example.org:80/A/?b=2&a=1&utm_source=x#f", "example.org/A?a=1&b=2"),
         ("https://example.org", "example.org"), ("https://example.org/?ref=1", "example.org"), ("", ""), (None, None), ("x", "x"),
+        ("https://h.com:443/a", "h.com/a"), ("http://h.com:443/a", "h.com:443/a"), ("https://h.com:80/a", "h.com:80/a"), ("h.com:80", "h.com"),
+        ("ftp://h.com:80/a", "h.com:80/a"),
     ]
     df = spark.createDataFrame(pairs, "url string, key string")
     assert df.filter(~warc.canonical_url(F.col("url")).eqNullSafe(F.col("key"))).count() == 0
 
 
+def test_revisits_of_repeated_and_unknown_rows(spark):
+    full = lambda rid, at, tag, body: (rid, "h.org/a", "response", at, tag, None, {"x": body}, body)
+    again = lambda rid, at, tag, date: (rid, "h.org/a", "revisit", at, tag, None, {"date": date}, None)
+    made = [
+        full(1, 5, "a", "old"), full(1, 5, "b", "new"), full(1, 5, "b", "new"), full(None, 6, "c", "nameless"), full(9, None, "c", "timeless"),
+        again(2, 7, "b", "one"), again(2, 7, "b", "two"), again(None, 8, "b", "three"), again(None, None, "b", "four"), again(3, 7, "a", "five"),
+    ]
+    got = warc.resolve_revisits(spark.createDataFrame(made, RECORD))
+    rows = [(r["record_id"], r["status"], r["payload"], sorted((r["headers"] or {}).items())) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted([
+        (2, "resolved", "new", [("date", "one"), ("x", "new")]), (2, "resolved", "new", [("date", "two"), ("x", "new")]),
+        (None, "resolved", "new", [("date", "three"), ("x", "new")]), (None, "unmatched", None, []), (3, "changed", None, []),
+    ], key=repr)
+
+
+def test_captures_of_odd_pages_equal_sql(spark, sf):
+    from checks.compare import difference
+    from graphsets.llm import queries as llm
+
+    pages = [
+        (1, "https://h.org:443/a", "x"), (1, "https://h.org:443/a", "x"), (1, "https://h.org/a", "y"), (None, "https://h.org/a", "x"),
+        (None, "https://h.org/a", "x"), (3, None, "z"), (4, "http://www.h.org:443/b/?ref=1", None), (5, "", ""), (10, "http://h.org:443", "q"), (20, "http://h.org:443/", "q"),
+    ]
+    path = sf(pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{path}/pages.parquet/*.parquet'")
+    name = "op1_revisit_resolution"
+    assert difference(llm.queries()[name](spark, path), con, llm.oracle_sql()[name]) is None
+
+
 # Token records
 
 def test_records_round_trip(spark, docs, tmp_path):
