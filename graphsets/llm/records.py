@@ -29,8 +29,8 @@ from graphsets.llm.store import saved, scratch_path, shuffle_parts
 END_ID = 1
 ENTRY = np.dtype([("has_id", "<u8"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("start", "<u8")])
 FRAME = 16  # bytes around a payload
-READ_BYTES = 8 << 20
-CACHED_WORDS = 1_500_000
+READ_BYTES = 1 << 20  # framing takes some 25 times as much for a moment
+CACHED_WORDS = 250_000  # about 50 MB a worker
 SEGMENT = 128  # words of 4 bytes in a segment; checksums of all segments advance side by side
 _POLY = np.uint32(0x82F63B78)
 

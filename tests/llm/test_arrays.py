@@ -286,3 +286,18 @@ def test_disguises_at_the_ends_doubled_and_split():
     one = [float(toxicity.likelihood(np.array(x), np.array([len(x)]), reader.model)[0]) for x in (symbols[:3], symbols[3:])]
     both = toxicity.likelihood(np.array(symbols), np.array([3, 2]), reader.model)
     assert np.allclose(both, one) and all(x < 0 for x in one)
+
+
+def test_pieces_of_record_files_take_little_memory():
+    import tracemalloc
+
+    counts = np.full(records.READ_BYTES // 2000, 1000)
+    units = np.arange(counts.sum(), dtype=np.uint32).astype(np.uint16)
+    tracemalloc.start()
+    raw, sizes = records.frame(units, counts)
+    entries = np.zeros(len(counts), records.ENTRY)
+    entries["length"] = sizes
+    assert len(records.unframe(raw, entries)) == len(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and records.CACHED_WORDS <= 300_000  # two workers share an executor with the JVM
