@@ -97,3 +97,21 @@ def test_json_lines_are_compressed(spark, sf_dir, tmp_path):
     files = list((tmp_path / "out").rglob("part-*"))
     assert files and all(f.name.endswith(".json.gz") for f in files if f.stat().st_size)
     assert jsonl.scan_examples(spark, str(tmp_path / "out")).count() == 20
+
+
+def test_edges_move_lines_once_and_equal_the_plain_way(spark, tmp_path):
+    days = ["1995-01-01", "1995-01-02", None]
+    rows = [(p, days[(p * 7 + i) % 3], "ANR"[i % 3] if i % 5 else None) for p in (0, 1, 2, 7, 19, 20, 39, 41, None, -1, -3) if p is not None for i in range(6)]
+    rows += [(None, "1995-01-01", "A")] * 3 + rows[:4]
+    spark.createDataFrame(rows, "l_partkey bigint, l_shipdate string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, groups = set(), {}
+    for part, day, flag in rows:
+        if part is not None:
+            groups.setdefault((part // star.BLOCK, day, flag), set()).add(part)
+    for (graph, _, _), parts in groups.items():
+        ordered = sorted(parts)
+        want |= {(graph, f"P{str(a).rjust(9, '0')}", f"P{str(b).rjust(9, '0')}") for a, b in zip(ordered, ordered[1:])}
+    found = star.edges(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
