@@ -1,12 +1,15 @@
 """Steps whose shuffles, sorts and written tables follow what is asked for; results equal the plain ways."""
 
+import itertools
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from graphsets import session
+from graphsets.functions import combinations
 from graphsets.functions.draws import draw
 from graphsets.operators import caps, closure, examples, ranking, report, specs
+from graphsets.operators.pairing import near_join
 from graphsets.plans import tables as star
 from graphsets.sources import jsonl
 
@@ -115,3 +118,46 @@ def test_edges_move_lines_once_and_equal_the_plain_way(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 5
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan
+
+
+def test_lookups_dealt_once_are_by_hash(spark):
+    rows = spark.createDataFrame([(g, e, i) for i in range(3) for g in (0, 1, None) for e in ("a", "b", "c", None)], "g bigint, e string, i int")
+    table = spark.createDataFrame([(0, "a", 1), (0, "a", 2), (0, "b", 3), (1, "c", 4), (None, "a", 5), (1, None, 6)], "g bigint, e string, v int")
+    for how in ("inner", "left"):
+        plain = near_join(rows, table, "g", ["e"], how)
+        with session.dealt_once(spark):
+            once = near_join(near_join(rows, table, "g", ["e"], how), table.withColumnRenamed("v", "w"), "g", ["e"], how)
+            assert row_shuffles(once) == 3 and "ShuffledHashJoin [g" in (plan := once._jdf.queryExecution().executedPlan().toString()) and "e#" in plan.split("ShuffledHashJoin [", 1)[1].split("]", 1)[0]
+            assert " >= " not in plan
+            found = bag(once)
+        assert found == bag(near_join(plain, table.withColumnRenamed("v", "w"), "g", ["e"], how))
+    assert not session.is_dealt_once(spark)
+
+
+def test_observed_rows_of_small_graphs_are_looked_up_by_hash(spark, sf_dir, monkeypatch):
+    builder = star.Tables(spark, sf_dir).builder()
+    seen = []
+    plain = examples.observe
+    monkeypatch.setattr(examples, "observe", lambda *a: (seen.append((a[3], session.is_dealt_once(spark))), plain(*a))[1])
+    related, words = builder.related(), builder.words()
+    rows = builder.observed()
+    assert seen == [(True, True)] and not session.is_dealt_once(spark)
+    found = specs.unrank_specs(builder.sampled(), builder.placed(), builder.queries(), 2, near=True)
+    assert bag(rows) == bag(plain(specs.label_specs(found, related, 2, True), words, 2, True))
+
+
+def test_specs_are_unranked_and_labelled_without_lambdas(spark):
+    counts = spark.range(2, 9).crossJoin(spark.createDataFrame([(1,), (2,)], "size bigint")).withColumnRenamed("id", "n")
+    numbers = counts.withColumn("rank", F.explode(F.expr("sequence(0L, if(size = 1, n, n * (n - 1) div 2) - 1)")))
+    made = combinations.unrank_sets(numbers, F.col("rank"), "n", "size", 2, "places")
+    for n in range(2, 9):
+        for size in (1, 2):
+            rows = made.filter((F.col("n") == n) & (F.col("size") == size)).orderBy("rank").collect()
+            assert [tuple(r.places) for r in rows] == list(itertools.combinations(range(n), size))
+    names = ["descendant", "independent", "ancestor", None]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    typed = pairs.withColumn("types", specs.prioritised(["a", "b"]))
+    for r in typed.collect():
+        assert r.types == ([x for x in ("ancestor", "descendant", "independent") if x in (r.a, r.b)] or ["independent"])
+    for df in (made, typed):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
