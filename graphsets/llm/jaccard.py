@@ -34,6 +34,8 @@ STEP = 16
 TOLERANCE = 1e-9
 BLOCK = 256
 CACHE_SHINGLES = 1 << 14
+VERIFIED_SHINGLES = 1 << 16  # about as many are compared with one text at once
+BATCH_ROWS = 500  # texts and sets may be long, so few at a time pass between Spark and Python
 
 
 @cache
@@ -197,14 +199,26 @@ def _candidates(threshold: float, tolerance: float):
     return group
 
 
+def _pieces(members: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``members`` cut where their sizes add up to ``VERIFIED_SHINGLES``; a larger one stands alone or ends a piece."""
+    at = np.cumsum(sizes[members]) // VERIFIED_SHINGLES
+    return np.split(members, np.flatnonzero(np.diff(at)) + 1)
+
+
 def _verify(threshold: float):
-    """Of one unit: how many links each member has, and a smaller member it is joined with."""
+    """Of one unit: how many links each member has, and a smaller member it is joined with.
+
+    The sets are read where Arrow holds them, and compared in pieces of bounded size.
+    """
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("place")
+        order = np.argsort(table["place"].to_numpy(), kind="stable")
         names = table["class"].to_pylist()
-        weights = table["copies"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        names = [names[k] for k in order]
+        weights = table["copies"].to_numpy()[order]
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        sets = [held[k] for k in order]
+        lengths = np.array([len(x) for x in sets])
         i, j = np.frombuffer(next(x for x in table["pairs"].to_pylist() if x is not None), np.int32).reshape(2, -1)
         texts, docs = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         root = list(range(len(names)))
@@ -216,14 +230,15 @@ def _verify(threshold: float):
             return x
 
         for a in np.unique(i).tolist():
-            others = j[i == a]
-            mine = sets[a]
-            sizes = np.array([len(sets[b]) for b in others.tolist()])
-            flat = np.concatenate([sets[b] for b in others.tolist()])
-            spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-            common = np.add.reduceat((mine[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-            union = sizes + len(mine) - common
-            near = others[common >= threshold * union - 1e-9 * union]
+            mine, found = sets[a], []
+            for others in _pieces(j[i == a], lengths):
+                sizes = lengths[others]
+                flat = np.concatenate([sets[b] for b in others.tolist()])
+                spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                common = np.add.reduceat((mine[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                union = sizes + len(mine) - common
+                found.append(others[common >= threshold * union - 1e-9 * union])
+            near = np.concatenate(found)
             texts[a] += len(near)
             docs[a] += weights[near].sum()
             texts[near] += 1
@@ -290,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     """
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("hash")).alias("name"), "text")
     marked = saved(
-        named.mapInArrow(_signatures, "name struct<unknown:boolean,doc_id:bigint,hash:bigint>, class binary, values binary"), "signatures"
+        named.mapInArrow(_signatures, "name struct<unknown:boolean,doc_id:bigint,hash:bigint>, class binary, values binary"), "signatures", BATCH_ROWS
     )
     members = marked.select("name", F.coalesce("class", F.to_binary(F.md5(F.to_json("name")), F.lit("hex"))).alias("class"))
     classes = saved(
@@ -309,15 +324,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     units = saved(
         groups.join(classes.select("class", "values"), "class").groupBy("band", "low", "high")
         .applyInArrow(_candidates(threshold, tolerance), "unit long, class binary, place int, pairs binary"),
-        "units",
+        "units", BATCH_ROWS,
     )
     needed = units.select("class").distinct().join(classes.select("class", "name", "copies"), "class")
     texts = named.join(needed, "name").select("class", "text")
-    sets = saved(texts.mapInArrow(_shingles, "class binary, shingles binary"), "shingles")
+    sets = saved(texts.mapInArrow(_shingles, "class binary, shingles binary"), "shingles", BATCH_ROWS)
     checked = saved(
         units.join(classes.select("class", "copies"), "class").join(sets.dropDuplicates(["class"]), "class").groupBy("unit")
         .applyInArrow(_verify(threshold), "class binary, texts long, docs long, joined binary"),
-        "checked",
+        "checked", BATCH_ROWS,
     )
     links = checked.groupBy("class").agg(F.sum("texts").alias("links"), F.sum("docs").alias("linked_docs"))
     roots = _components(links.select("class"), checked.select("class", "joined"))

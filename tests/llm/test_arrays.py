@@ -1,8 +1,10 @@
 """Numpy helpers against plain Python."""
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -301,3 +303,34 @@ def test_pieces_of_record_files_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20 and records.CACHED_WORDS <= 300_000  # two workers share an executor with the JVM
+
+
+def test_sets_of_a_unit_are_verified_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 400, np.uint64))
+    sets = [np.unique(np.concatenate([base[k % 7 :], rng.integers(0, 1 << 63, 10 * k + 1, np.uint64)])) for k in range(12)]
+    names = [bytes([65 + k]) for k in range(12)]
+    pairs = np.array(list(itertools.combinations(range(12), 2)), np.int32).T
+    rows = list(range(12))[::-1]  # rows come in any order, the pairs with the first place, in two Arrow batches
+    table = pa.concat_tables(
+        pa.table({
+            "class": pa.array([names[k] for k in part], pa.binary()), "place": pa.array(part, pa.int32()), "copies": pa.array([k + 1 for k in part], pa.int64()),
+            "pairs": pa.array([pairs.tobytes() if k == 0 else None for k in part], pa.binary()), "shingles": pa.array([sets[k].tobytes() for k in part], pa.binary()),
+        })
+        for part in (rows[:5], rows[5:])
+    )
+    links, docs = [0] * 12, [0] * 12
+    for a, b in itertools.combinations(range(12), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            links[a], links[b], docs[a], docs[b] = links[a] + 1, links[b] + 1, docs[a] + b + 1, docs[b] + a + 1
+    assert 0 < sum(links) < 12 * 11
+    compared, plain = [], np.searchsorted
+    for limit in (1, 900, 1 << 16):
+        monkeypatch.setattr(jaccard, "VERIFIED_SHINGLES", limit)
+        monkeypatch.setattr(jaccard.np, "searchsorted", lambda x, y: (compared.append(len(y)), plain(x, y))[1])
+        got = jaccard._verify(0.8)(table)
+        monkeypatch.setattr(jaccard.np, "searchsorted", plain)
+        assert got["class"].to_pylist() == names and got["texts"].to_pylist() == links and got["docs"].to_pylist() == docs
+        assert max(compared) < limit + max(map(len, sets))
+        compared.clear()

@@ -493,6 +493,18 @@ def test_rows_alike_and_unknown_ids(spark, docs):
     assert got == sorted([(None, None, 2, 0, True)] * 2 + [(None, None, 1, 0, True)] * 2 + [(3, 3, 1, 0, True)] * 2, key=repr)
 
 
+def test_few_rows_pass_to_python_at_a_time(spark, docs, monkeypatch):
+    seen, plain = [], jaccard.saved
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(jaccard, "saved", lambda df, *more: (seen.append(more), plain(df, *more))[1])
+    before = spark.conf.get(name)
+    jaccard.near_duplicates(docs([(1, "a b c d e f g"), (2, "a b c d e f g h")]))
+    assert {step[0] for step in seen if step[1:] == (jaccard.BATCH_ROWS,)} == {"signatures", "units", "shingles", "checked"}
+    sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (b for b in batches if not b.num_rows > 7), "id long")
+    assert plain(sizes, "few", 7).count() == 100 and plain(sizes, "all").count() == 0
+    assert spark.conf.get(name) == before
+
+
 # Toxicity
 
 def test_toxicity(spark, docs):
