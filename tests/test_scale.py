@@ -1,6 +1,7 @@
 """Steps whose shuffles, sorts and written tables follow what is asked for; results equal the plain ways."""
 
 import itertools
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 from graphsets import session
 from graphsets.functions import combinations
 from graphsets.functions.draws import draw
-from graphsets.operators import caps, closure, examples, ranking, report, specs
+from graphsets.operators import caps, closure, examples, graph, ranking, report, specs
 from graphsets.operators.pairing import near_join
 from graphsets.plans import tables as star
+from graphsets.plans.dataset import prepare_nodes
 from graphsets.sources import jsonl
 
 
@@ -161,3 +163,30 @@ def test_specs_are_unranked_and_labelled_without_lambdas(spark):
         assert r.types == ([x for x in ("ancestor", "descendant", "independent") if x in (r.a, r.b)] or ["independent"])
     for df in (made, typed):
         assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_join_sides_that_grow_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Every join says how it is made, so Spark broadcasts nothing because its files look small."""
+    plans, plain = [], session._written
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(session, "_written", lambda df, by: plain(planned(df), by))
+    nodes = spark.createDataFrame([(g, f"N{g}{i}", i) for g in (0, 1) for i in range(5)], "graph_idx bigint, entity string, ord bigint")
+    edges = spark.createDataFrame([(g, f"N{g}{a}", f"N{g}{b}") for g in (0, 1) for a, b in ((0, 1), (1, 3), (0, 2), (2, 3))], "graph_idx bigint, parent string, child string")
+    made = prepare_nodes(nodes, edges, 0.5, 1)
+    related = session.durable(closure.related_words(made, edges))
+    counts = planned(closure.relative_counts(nodes, related, "down", "descendants"))
+    assert {r.entity: r.descendants for r in counts.filter("graph_idx = 1").collect()} == {"N10": 3, "N11": 1, "N12": 1, "N13": 0, "N14": 0}
+    splits = nodes.select("graph_idx", "entity", F.lit("train").alias("split"))
+    rows = planned(examples.train_explanation_copies(examples.explanation_rows(made, edges, related, splits, 1), 2))
+    assert rows.count() == 3 * 2 * (5 + 3 + 3 + 5 * 4)
+    planned(graph.root_nodes(nodes, edges))
+    planned(graph.candidate_edges(nodes, []))
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"\bJoin [A-Z]", line)]
+    assert len(joins) > 20 and not [line for line in joins if "strategy=" not in line]
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    large = nodes.join(session.small_side(made.select("graph_idx", "rule")), "graph_idx")
+    assert "Hint=(strategy=merge)" in large._jdf.queryExecution().optimizedPlan().toString()
