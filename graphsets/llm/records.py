@@ -137,18 +137,31 @@ def unframe(data: bytes, entries: np.ndarray) -> list[np.ndarray]:
 
 
 class _Words(dict):
-    """Ids of words as bytes, encoded when first met; forgets all beyond a bound."""
+    """Ids of words as bytes, encoded when first met.
+
+    Half the bound are the newest words, half those before; of the latter, words that are
+    not met again are forgotten.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.before = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        out = self.before.get(word)
+        if out is None:
+            out = self.encode(word)
+        if len(self) >= CACHED_WORDS // 2:
+            self.before = dict(self)
             self.clear()
-        out = self[word] = self.encode(word)
+        self[word] = out
         return out
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
 
 class Encoder:
     """Token ids of texts with a tokenizer that drops white space.
@@ -156,10 +169,17 @@ class Encoder:
     Such a tokenizer never joins signs across white space, so each stretch between
     white space is encoded once and remembered. Words of Latin letters are cut by the
     tokenizer's own rule and go to its model directly, all others through its encode().
+    Texts or lines of such words alone are lower-cased and get a blank behind each run of
+    letters that a sign follows, where the rule cuts anyway: "Word" and "word," are one word then.
     """
 
     RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    LATIN = re.compile("[!-~\xa1-\xac\xae-\u012f]+")
+    SIGNS = "!-~\xa1-\xac\xae-\u012f\u2010-\u2027\u2030-\u205e\u20ac"  # NFC leaves them alone
+    LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f"  # those of SIGNS, in lower case
+    LATIN = re.compile(f"[{SIGNS}]+")
+    BLANKS = "\t-\r \x85\xa0"
+    LATIN_TEXT = re.compile(f"[{BLANKS}{SIGNS}]*")
+    BEHIND = re.compile(f"[^{BLANKS}{LETTERS}](?<=[{LETTERS}].)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,9 +191,10 @@ class Encoder:
         self.signs = self._byte_signs()
         self.words = _Words(self._word)
         probe = "The quick-brown fox's 12 jumps, don't!! it'll (a_b) x=3.5 we'reals Élan NAÏVE çà½²ß\u0301 Œ"
+        line = "\u201cThe fox\u2019s\u201d dén,x's''T we'RE-12½ ªb2,c\u2026 "
         self.latin = True
-        self.latin = all(self._by_rule(w) == self._whole(w) for w in probe.split())
-        self.words.clear()
+        self.latin = all(self._by_rule(w) == self._whole(w) for w in probe.split()) and self.encode(line)[: -self.dtype.itemsize] == self._whole(line)
+        self.words.forget()
 
     def _byte_signs(self) -> list[str]:
         """The sign that stands for each byte: printing Latin-1 signs for themselves, others from U+0100 on."""
@@ -201,16 +222,26 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, pieces))
 
     def _word(self, word: str) -> bytes:
+        if self.latin and word.isascii() and word.isalpha() and word.islower():
+            return self._piece(word)
         if self.latin and self.LATIN.fullmatch(word) and "<|" not in word:
             return self._by_rule(word)
         return self._whole(word)
 
+    def _cut(self, text: str) -> str | None:
+        if self.latin and self.LATIN_TEXT.fullmatch(text) and "<|" not in text:
+            return self.BEHIND.sub(r" \g<0>", text.lower())
+        return None
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text and the end id, as bytes of ``dtype``."""
         end = self._bytes([END_ID])
-        if re.search("[\x1c-\x1f]", text):  # white space for split() only
-            return self._whole(text) + end
-        return b"".join(map(self.words.__getitem__, text.split())) + end
+        cut = self._cut(text)
+        if cut is None:
+            if re.search("[\x1c-\x1f]", text):  # white space for split() only
+                return self._whole(text) + end
+            cut = "\n".join([self._cut(line) or line for line in text.split("\n")])
+        return b"".join(map(self.words.__getitem__, cut.split())) + end
 
 
 @cache

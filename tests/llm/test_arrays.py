@@ -113,6 +113,34 @@ def test_cached_words_stay_bounded(monkeypatch):
     assert ours.encode(text) == ours._whole(text) + ours._bytes([1]) and len(ours.words) <= 3
 
 
+def test_spellings_of_a_word_are_encoded_once(monkeypatch):
+    ours = records.Encoder(records.session_tokenizer())
+    seen = []
+    encode = ours.words.encode
+    monkeypatch.setattr(ours.words, "encode", lambda word: seen.append(word) or encode(word))
+    text = "\n".join(f"qua{a}x Qua{a}x, QUA{a}X\u201d qua{a}x's." for a in "abcdefghij") + "\nΣ one\n"
+    assert ours.encode(text) == ours._whole(text) + ours._bytes([1])
+    assert len(seen) == len(set(seen)) < 30, seen  # ten words, a few signs, one line with another letter
+
+
+def test_words_met_again_stay_when_the_bound_is_reached(monkeypatch):
+    monkeypatch.setattr(records, "CACHED_WORDS", 20)
+    ours = records.Encoder(records.session_tokenizer())
+    seen = []
+    encode = ours.words.encode
+    monkeypatch.setattr(ours.words, "encode", lambda word: seen.append(word) or encode(word))
+    text = " ".join(f"the q{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    assert ours.encode(text) == ours._whole(text) + ours._bytes([1])
+    assert seen.count("the") == 1 and len(ours.words) + len(ours.words.before) <= 20
+
+
+def test_encoder_on_every_sign_it_cuts_by_rule():
+    ours = records.encoder(records.session_tokenizer())
+    for c in map(chr, range(0x2100)):
+        text = f"a{c}b {c} x{c}'s{c}{c}7{c}, Don{c}t\nÉ{c}É"
+        assert ours.encode(text) == ours._whole(text) + ours._bytes([1]), hex(ord(c))
+
+
 def plain_phrases(text, sample):
     count = at = 0
     while at < len(text):
