@@ -1,11 +1,15 @@
 """Steps whose shuffles, sorts and written tables follow what is asked for; results equal the plain ways."""
 
+import gzip
 import itertools
 import re
+import zlib
 from collections import Counter
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from checks.queries import tables
 from graphsets import session
 from graphsets.functions import combinations
 from graphsets.functions.draws import draw
@@ -13,6 +17,7 @@ from graphsets.operators import caps, closure, examples, graph, ranking, report,
 from graphsets.operators.pairing import near_join
 from graphsets.plans import tables as star
 from graphsets.plans.dataset import prepare_nodes
+from graphsets.schema import EXAMPLE_SCHEMA
 from graphsets.sources import jsonl
 
 
@@ -190,3 +195,27 @@ def test_join_sides_that_grow_are_not_sent_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
     large = nodes.join(session.small_side(made.select("graph_idx", "rule")), "graph_idx")
     assert "Hint=(strategy=merge)" in large._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_written_by_split_without_a_sort(spark, tmp_path, monkeypatch):
+    splits = ["train", "val", "test", "x", "y", None]  # more than files are open at once
+    rows = [(f"a{i}", "c", None, i, ["t"], "observation", [], [], "t", f"p {i}", "q", splits[i % 6]) for i in range(60)]
+    made = spark.createDataFrame(rows, EXAMPLE_SCHEMA)
+    jsonl.write_splits(made, str(tmp_path / "out"))
+    back = jsonl.scan_examples(spark, str(tmp_path / "out"), ("train", "val", "test", "x", "y", "__HIVE_DEFAULT_PARTITION__"))
+    assert bag(back) == bag(made.select(*back.columns)) and back.count() == 60
+
+    seen = []
+    plain = DataFrameWriter.json
+    monkeypatch.setattr(DataFrameWriter, "json", lambda self, *a, **k: (seen.append(spark.conf.get(session._OPEN_FILES)), plain(self, *a, **k))[1])
+    jsonl.write_splits(made.filter("split in ('train', 'val', 'test')"), str(tmp_path / "few"))
+    assert seen == ["4"] and spark.conf.get(session._OPEN_FILES) == "0"  # Spark sorts by folder only where this is 0
+
+
+def test_least_texts_are_kept_by_hash(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "b"), (None, "c"), ("b", None)], "g string, t string")
+    found = df.groupBy("g").agg(ranking.hashed_count().alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    assert {tuple(r) for r in found.collect()} == {("a", 2, "b", "x"), (None, 1, "c", "c"), ("b", 1, None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "ObjectHashAggregate" in plan
+    assert df.filter("g = 'z'").agg(ranking.hashed_count().alias("n")).first().n == 0
