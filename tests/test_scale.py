@@ -219,3 +219,16 @@ def test_least_texts_are_kept_by_hash(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "ObjectHashAggregate" in plan
     assert df.filter("g = 'z'").agg(ranking.hashed_count().alias("n")).first().n == 0
+
+
+def test_lines_are_packed_quickly(spark, tmp_path):
+    rows = [(f"a{i}", "c", None, i, ["t"], "observation", [f"P{i * 7919 % 5000}"], ["1"], "t", f"p {i * 31 % 977}", "q", "train") for i in range(3000)]
+    jsonl.write_splits(spark.createDataFrame(rows, EXAMPLE_SCHEMA).coalesce(1), str(tmp_path / "out"))
+    [file] = (tmp_path / "out" / "part=train").glob("*.json.gz")
+    lines = gzip.decompress(file.read_bytes())
+
+    def packed(level):
+        return len(zlib.compress(lines, level))
+
+    size = file.stat().st_size
+    assert abs(size - packed(2)) < abs(size - packed(6))
