@@ -232,3 +232,27 @@ def test_lines_are_packed_quickly(spark, tmp_path):
 
     size = file.stat().st_size
     assert abs(size - packed(2)) < abs(size - packed(6))
+
+
+def raising(spark, first, count=3):
+    """Rows from two sides whose texts can be made for the rows named ``first`` only."""
+    rows = [("train", "observation", f"o|{i}", ["ancestor"] if i % 2 else ["descendant", "ancestor"], None) for i in range(count)]
+    rows += [("val", "observation", None, ["independent"], None), (None, "observation", "o|7", [], None)]
+    said = [(s, "explanation", f"e|{i}|{t}", ["rule_explanation"], t) for i in range(count) for s in ("train", "val", None) for t in ("rule", None)]
+    schema = "split string, kind string, row_key string, inference_types array<string>, explanation_type string"
+    # The key of any other row is no number, so its texts are errors.
+    texts = {
+        name: F.when(F.col("row_key").isin(first), F.concat(F.lit("p "), "row_key")).otherwise(F.col("row_key").cast(kind).cast("string"))
+        for name, kind in (("prompt", "int"), ("completion", "bigint"), ("answer", "double"))
+    }
+    sides = [spark.createDataFrame(side, schema).withColumns(texts) for side in (rows, said)]
+    return sides[0].unionByName(sides[1])
+
+
+def test_texts_are_made_for_the_first_rows_of_types_only(spark):
+    rows = raising(spark, ["o|0", "e|0|rule", "e|0|None"])
+    found = {(r.split, r.kind, r.type, r.row_key, r.prompt) for r in report.first_example_per_type(rows).collect() if r.row_key}
+    assert found == {
+        ("train", "observation", "ancestor", "o|0", "p o|0"), ("train", "observation", "descendant", "o|0", "p o|0"),
+        ("train", "explanation", "rule", "e|0|rule", "p e|0|rule"), ("val", "explanation", "rule", "e|0|rule", "p e|0|rule"),
+    }
