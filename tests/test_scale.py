@@ -256,3 +256,9 @@ def test_texts_are_made_for_the_first_rows_of_types_only(spark):
         ("train", "observation", "ancestor", "o|0", "p o|0"), ("train", "observation", "descendant", "o|0", "p o|0"),
         ("train", "explanation", "rule", "e|0|rule", "p e|0|rule"), ("val", "explanation", "rule", "e|0|rule", "p e|0|rule"),
     }
+
+
+def test_texts_are_made_for_the_first_rows_of_splits_only(spark):
+    rows = raising(spark, ["e|0|None"])
+    found = {(r.split, r.n, r.prompt) for r in report.split_preview(rows).collect()}
+    assert found == {("train", 9, "p e|0|None"), ("val", 7, "p e|0|None"), (None, 7, "p e|0|None")}
