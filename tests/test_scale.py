@@ -197,6 +197,36 @@ def test_join_sides_that_grow_are_not_sent_to_the_driver(spark, monkeypatch):
     assert "Hint=(strategy=merge)" in large._jdf.queryExecution().optimizedPlan().toString()
 
 
+def raising(spark, first, count=3):
+    """Rows from two sides whose texts can be made for the rows named ``first`` only."""
+    rows = [("train", "observation", f"o|{i}", ["ancestor"] if i % 2 else ["descendant", "ancestor"], None) for i in range(count)]
+    rows += [("val", "observation", None, ["independent"], None), (None, "observation", "o|7", [], None)]
+    said = [(s, "explanation", f"e|{i}|{t}", ["rule_explanation"], t) for i in range(count) for s in ("train", "val", None) for t in ("rule", None)]
+    schema = "split string, kind string, row_key string, inference_types array<string>, explanation_type string"
+    # The key of any other row is no number, so its texts are errors.
+    texts = {
+        name: F.when(F.col("row_key").isin(first), F.concat(F.lit("p "), "row_key")).otherwise(F.col("row_key").cast(kind).cast("string"))
+        for name, kind in (("prompt", "int"), ("completion", "bigint"), ("answer", "double"))
+    }
+    sides = [spark.createDataFrame(side, schema).withColumns(texts) for side in (rows, said)]
+    return sides[0].unionByName(sides[1])
+
+
+def test_texts_are_made_for_the_first_rows_of_types_only(spark):
+    rows = raising(spark, ["o|0", "e|0|rule", "e|0|None"])
+    found = {(r.split, r.kind, r.type, r.row_key, r.prompt) for r in report.first_example_per_type(rows).collect() if r.row_key}
+    assert found == {
+        ("train", "observation", "ancestor", "o|0", "p o|0"), ("train", "observation", "descendant", "o|0", "p o|0"),
+        ("train", "explanation", "rule", "e|0|rule", "p e|0|rule"), ("val", "explanation", "rule", "e|0|rule", "p e|0|rule"),
+    }
+
+
+def test_texts_are_made_for_the_first_rows_of_splits_only(spark):
+    rows = raising(spark, ["e|0|None"])
+    found = {(r.split, r.n, r.prompt) for r in report.split_preview(rows).collect()}
+    assert found == {("train", 9, "p e|0|None"), ("val", 7, "p e|0|None"), (None, 7, "p e|0|None")}
+
+
 def test_rows_are_written_by_split_without_a_sort(spark, tmp_path, monkeypatch):
     splits = ["train", "val", "test", "x", "y", None]  # more than files are open at once
     rows = [(f"a{i}", "c", None, i, ["t"], "observation", [], [], "t", f"p {i}", "q", splits[i % 6]) for i in range(60)]
@@ -212,15 +242,6 @@ def test_rows_are_written_by_split_without_a_sort(spark, tmp_path, monkeypatch):
     assert seen == ["4"] and spark.conf.get(session._OPEN_FILES) == "0"  # Spark sorts by folder only where this is 0
 
 
-def test_least_texts_are_kept_by_hash(spark):
-    df = spark.createDataFrame([("a", "x"), ("a", "b"), (None, "c"), ("b", None)], "g string, t string")
-    found = df.groupBy("g").agg(ranking.hashed_count().alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
-    assert {tuple(r) for r in found.collect()} == {("a", 2, "b", "x"), (None, 1, "c", "c"), ("b", 1, None, None)}
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Sort" not in plan and "ObjectHashAggregate" in plan
-    assert df.filter("g = 'z'").agg(ranking.hashed_count().alias("n")).first().n == 0
-
-
 def test_lines_are_packed_quickly(spark, tmp_path):
     rows = [(f"a{i}", "c", None, i, ["t"], "observation", [f"P{i * 7919 % 5000}"], ["1"], "t", f"p {i * 31 % 977}", "q", "train") for i in range(3000)]
     jsonl.write_splits(spark.createDataFrame(rows, EXAMPLE_SCHEMA).coalesce(1), str(tmp_path / "out"))
@@ -234,31 +255,35 @@ def test_lines_are_packed_quickly(spark, tmp_path):
     assert abs(size - packed(2)) < abs(size - packed(6))
 
 
-def raising(spark, first, count=3):
-    """Rows from two sides whose texts can be made for the rows named ``first`` only."""
-    rows = [("train", "observation", f"o|{i}", ["ancestor"] if i % 2 else ["descendant", "ancestor"], None) for i in range(count)]
-    rows += [("val", "observation", None, ["independent"], None), (None, "observation", "o|7", [], None)]
-    said = [(s, "explanation", f"e|{i}|{t}", ["rule_explanation"], t) for i in range(count) for s in ("train", "val", None) for t in ("rule", None)]
-    schema = "split string, kind string, row_key string, inference_types array<string>, explanation_type string"
-    # The key of any other row is no number, so its texts are errors.
-    texts = {
-        name: F.when(F.col("row_key").isin(first), F.concat(F.lit("p "), "row_key")).otherwise(F.col("row_key").cast(kind).cast("string"))
-        for name, kind in (("prompt", "int"), ("completion", "bigint"), ("answer", "double"))
-    }
-    sides = [spark.createDataFrame(side, schema).withColumns(texts) for side in (rows, said)]
-    return sides[0].unionByName(sides[1])
-
-
-def test_texts_are_made_for_the_first_rows_of_types_only(spark):
-    rows = raising(spark, ["o|0", "e|0|rule", "e|0|None"])
-    found = {(r.split, r.kind, r.type, r.row_key, r.prompt) for r in report.first_example_per_type(rows).collect() if r.row_key}
-    assert found == {
-        ("train", "observation", "ancestor", "o|0", "p o|0"), ("train", "observation", "descendant", "o|0", "p o|0"),
-        ("train", "explanation", "rule", "e|0|rule", "p e|0|rule"), ("val", "explanation", "rule", "e|0|rule", "p e|0|rule"),
-    }
+def test_least_texts_are_kept_by_hash(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "b"), (None, "c"), ("b", None)], "g string, t string")
+    found = df.groupBy("g").agg(ranking.hashed_count().alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    assert {tuple(r) for r in found.collect()} == {("a", 2, "b", "x"), (None, 1, "c", "c"), ("b", 1, None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "ObjectHashAggregate" in plan
+    assert df.filter("g = 'z'").agg(ranking.hashed_count().alias("n")).first().n == 0
 
 
-def test_texts_are_made_for_the_first_rows_of_splits_only(spark):
-    rows = raising(spark, ["e|0|None"])
-    found = {(r.split, r.n, r.prompt) for r in report.split_preview(rows).collect()}
-    assert found == {("train", 9, "p e|0|None"), ("val", 7, "p e|0|None"), (None, 7, "p e|0|None")}
+def test_facts_are_stated_before_there_is_a_row_for_each_wording(spark, sf_dir):
+    builder = tables(spark, sf_dir).builder()
+    rows = builder.observation_rows()
+    plan = examples.render_observations(rows)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    wordings = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    stated = [i for i, line in enumerate(plan) if "zip_with" in line]
+    assert stated and min(stated) > wordings and not any("Join" in line for line in plan)
+    plain = examples.observation_rows(builder.observed(), 10)
+    assert bag(examples.render_observations(rows)) == bag(examples.render_observations(plain))
+
+
+def test_copies_are_made_before_texts(spark, sf_dir):
+    builder = tables(spark, sf_dir).builder()
+    plain = examples.train_explanation_copies(examples.render_explanations(builder.explanation_rows()), 1)
+    made = builder.examples().filter("kind = 'explanation'")
+    assert bag(made) == bag(plain)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {name: min(line.index(name) for line in plan if name in line) for name in ("Union", "Generate explode", "Project [")}
+    assert sum("Union" in line for line in plan) == 1 and depth["Union"] < depth["Generate explode"]
+    capped = tables(spark, sf_dir).builder(max_explanations=50)
+    assert len(capped.capped_explanations()) == 1 and len(builder.capped_explanations()) == 4
+    want = examples.train_explanation_copies(examples.render_explanations(capped.capped()[1]), 1)
+    assert bag(capped.examples().filter("kind = 'explanation'")) == bag(want)
